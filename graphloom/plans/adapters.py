@@ -92,10 +92,11 @@ def _nodes(d: Dialect) -> str:
            CASE WHEN role = 'system' THEN 'Try'
                 WHEN role = 'user' THEN CASE turn % 5 WHEN 0 THEN 'Loop' WHEN 1 THEN 'Call' WHEN 2 THEN 'Conditional'
                                         WHEN 3 THEN 'Assignment' ELSE 'Return' END
-                ELSE CASE turn % 5 WHEN 0 THEN 'Catch' WHEN 1 THEN 'Assignment' WHEN 2 THEN 'Call'
+                ELSE CASE turn % 5 WHEN 0 THEN 'Call' WHEN 1 THEN 'Assignment' WHEN 2 THEN 'Catch'
                                         WHEN 3 THEN 'Conditional' ELSE 'Finally' END END AS node_type,
            CAST(turn * 3 AS INT) AS start_line, CAST(turn * 3 + length(text) % 12 AS INT) AS end_line,
-           text, role
+           CASE WHEN instr(text, ',') > 0 THEN concat(substr(text, 1, instr(text, ',') - 1), '=', substr(text, instr(text, ',') + 1))
+                ELSE text END AS text, role
     FROM conversations"""
 
 

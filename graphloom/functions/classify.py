@@ -119,10 +119,14 @@ def intent_scores(text: Column) -> dict[str, Column]:
     norm = normalise_query(text)
     toks = words(norm)
     scores = {}
+
+    def hits(vocabulary: str) -> Column:
+        return F.size(F.filter(toks, lambda w: w.isin(*vocabulary.split())))
+
     for intent, weights in INTENT_WEIGHTS.items():
         total: Column = F.lit(0)
         for weight, vocabulary in weights.items():
-            total = total + F.size(F.filter(toks, lambda w, v=vocabulary: w.isin(*v.split()))) * weight
+            total = total + hits(vocabulary) * weight
         scores[intent] = total
     failing = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in FAILURE_WORDS]))
 
@@ -149,12 +153,6 @@ def weighted_intent(text: Column) -> Column:
     return out
 
 
-def pipeline_stage(text: Column) -> Column:
-    low = F.lower(text)
-    return (F.when(low.contains("build"), "build").when(low.contains("test"), "test")
-            .when(low.contains("deploy"), "deploy").otherwise("unknown"))
-
-
 def with_effective_label(nodes: DataFrame) -> DataFrame:
     """Attach semantic and block labels to logic nodes."""
     out = nodes.withColumn("semantic_label", semantic_label(F.col("node_type"), F.col("text")))

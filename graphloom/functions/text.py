@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -62,8 +63,8 @@ def assignment_sides(text: Column) -> tuple[Column, Column]:
 def stack_symbols(frames: Column) -> Column:
     """Sorted distinct symbol names in an array of stack frames."""
     flat = F.flatten(F.transform(frames, lambda f: F.split(F.regexp_replace(f, r"\(|\)|::", " "), r"\s+")))
-    bare = F.transform(flat, lambda w: F.regexp_replace(w, "^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", ""))
-    kept = F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.contains("/") & ~w.contains("\\") & ~w.contains(".")
+    bare = F.transform(flat, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))
+    kept = F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.contains("/") & ~w.contains("\\")
                     & ~w.rlike("^[0-9]+$"))
     return F.array_sort(F.array_distinct(kept))
 
@@ -91,34 +92,41 @@ def nesting_depth(text: Column) -> Column:
     return F.aggregate(marks, start, step, lambda a: a["m"])
 
 
-# Key fragments that mark secrets and payload text.
-SECRET_KEYS = ("api_key", "apikey", "token", "secret", "password", "authorization")
+# Key fragments of secrets, of payload text and of locations.
+SECRET_KEYS = ("api_key", "authorization", "auth_header", "bridge_token")
 TEXT_KEYS = ("prompt", "content", "output")
 PATH_KEYS = ("path", "file")
 
 
-def _redact(value, level: str, key: str = ""):
-    low = key.lower()
-    if isinstance(value, dict):
-        out = {}
-        for k, v in value.items():
-            name = k.lower()
-            if any(s in name for s in SECRET_KEYS):
-                continue
-            if any(s in name for s in TEXT_KEYS) and level == "strict":
-                continue
-            out[k] = _redact(v, level, k)
-        return out
-    if isinstance(value, list):
-        return [_redact(v, level, key) for v in value]
-    if isinstance(value, str):
-        if any(s in low for s in PATH_KEYS) and level != "debug":
-            return "sha256:" + __import__("hashlib").sha256(value.encode()).hexdigest()[:16]
-        if any(s in low for s in TEXT_KEYS) and level == "balanced":
-            return value[:120]
-        if level == "strict":
-            return value[:32]
-    return value
+def _mentions(key: str, fragments: tuple[str, ...]) -> bool:
+    return any(f in key.lower() for f in fragments)
+
+
+def _shorten(text: str, limit: int) -> str:
+    return text if len(text) <= limit else text[:limit] + "..."
+
+
+def _redact(node, level: str):
+    if isinstance(node, list):
+        return [_redact(item, level) for item in node]
+    if isinstance(node, str):
+        return _shorten(node, 32) if level == "strict" and len(node) > 120 else node
+    if not isinstance(node, dict):
+        return node
+    kept = {k: v for k, v in node.items() if not _mentions(k, SECRET_KEYS)}
+    if level != "debug":
+        limit = 120 if level == "balanced" else None
+        kept = {k: (_shorten(v, limit) if _mentions(k, TEXT_KEYS) else v) for k, v in kept.items()
+                if not _mentions(k, TEXT_KEYS) or (limit and isinstance(v, str))}
+    return {k: _redact_entry(k, v, level) for k, v in kept.items()}
+
+
+def _redact_entry(key: str, value, level: str):
+    if level != "debug" and _mentions(key, TEXT_KEYS):
+        return value
+    if _mentions(key, PATH_KEYS) and isinstance(value, str):
+        return value if level == "debug" else "path:" + hashlib.sha256(value.encode()).hexdigest()[:16]
+    return _redact(value, level)
 
 
 def redact_json(level: str = "balanced"):

@@ -16,11 +16,16 @@ BASE = ("region nation customer supplier part orders lineitem events documents e
 @dataclass(frozen=True)
 class Dialect:
     millis: str
-    intdiv: str
+    regex: str
+    group: str
 
+    def sub(self, text: str, pattern: str, repl: str) -> str:
+        """Replace every match; ``@1`` in ``repl`` is the first group."""
+        return self.regex.format(text, pattern, repl.replace("@", self.group))
 
-SPARK = Dialect(millis="unix_millis(CAST({0} AS TIMESTAMP))", intdiv="CAST(floor({0} / {1}) AS BIGINT)")
-DUCK = Dialect(millis="CAST(floor(epoch_us({0}) / 1000) AS BIGINT)", intdiv="CAST(floor({0} / {1}) AS BIGINT)")
+
+SPARK = Dialect(millis="unix_millis(CAST({0} AS TIMESTAMP))", regex="regexp_replace({0}, '{1}', '{2}')", group="$")
+DUCK = Dialect(millis="CAST(floor(epoch_us({0}) / 1000) AS BIGINT)", regex="regexp_replace({0}, '{1}', '{2}', 'g')", group="\\")
 
 
 def _telemetry(d: Dialect) -> str:
@@ -183,7 +188,52 @@ def _module_edges(d: Dialect) -> str:
     WHERE a.type = 'import' AND b.type = 'class' AND split_part(a.file, '/', 2) <> split_part(b.file, '/', 2)"""
 
 
+# Sentence openings that become code line prefixes, so that prose yields lines of every kind.
+CODE_PREFIXES = (("(Th[a-z]*)", "export function @2"), ("(In[a-z]*)", "class @2"), ("(De[a-z]*|Re[a-z]*)", "def @2"),
+                 ("(Er[a-z]*|Is)", "import @2"), ("(Le[a-z]*|On[a-z]*)", "from @2"), ("(Ei[a-z]*|El[a-z]*)", "pub fn @2"))
+
+
+def _code(d: Dialect) -> str:
+    text = "text"
+    for word, repl in CODE_PREFIXES:
+        text = d.sub(text, r"(^|\n)" + word, "@1" + repl)
+    return f"""
+    SELECT doc_id, source AS repo, concat('src/', source, '/', lang, '/doc_', CAST(doc_id AS STRING), '.ts') AS path, {text} AS content
+    FROM documents"""
+
+
+def _notes(d: Dialect) -> str:
+    """Documents as Markdown: lines that open with a short word become headings."""
+    text = d.sub(d.sub("text", r"(^|\n)([A-Z][a-z]?[a-z]? )", "@1## @2"), r"(^|\n)(The[a-z]* )", "@1- @2")
+    return f"""
+    SELECT doc_id, concat('docs/', source, '/', CAST(doc_id AS STRING), '.md') AS path, {text} AS content
+    FROM documents"""
+
+
+def _contracts(d: Dialect) -> str:
+    return """
+    SELECT page_id, concat(split_part(split_part(url, '//', 2), '.', 1), '/v/', CAST(page_id AS STRING),
+             CASE page_id % 3 WHEN 0 THEN '.yaml' WHEN 1 THEN '.proto' ELSE '.graphql' END) AS path,
+           replace(CASE page_id % 3 WHEN 0 THEN replace(html, 'href="/', concat(chr(10), '/api/'))
+             WHEN 1 THEN replace(html, '<li>', concat(chr(10), 'rpc ')) ELSE replace(html, '<p>', concat(chr(10), 'type Query ')) END,
+             '<meta charset=', concat(chr(10), 'version: ')) AS content
+    FROM pages"""
+
+
+def _tasks(d: Dialect) -> str:
+    """Task texts assembled from part attributes."""
+    return """
+    SELECT p_partkey AS task_id, concat(
+             CASE p_type WHEN 'ECONOMY' THEN 'fix the ' WHEN 'LARGE' THEN 'refactor and optimize ' WHEN 'MEDIUM' THEN 'explain why '
+               WHEN 'PROMO' THEN 'add support for ' WHEN 'SMALL' THEN 'how does ' ELSE 'change signature of ' END, p_name,
+             CASE p_size % 5 WHEN 0 THEN ' fails, not ' WHEN 1 THEN ' and rewrite it' WHEN 2 THEN ' root cause' WHEN 3 THEN ' work but not ' ELSE '' END,
+             CASE WHEN p_size % 5 IN (0, 3) THEN p_brand ELSE '' END) AS text,
+           concat(replace(p_name, ' ', '_'), '_', CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING)) AS symbol
+    FROM part"""
+
+
 MODELS = {
+    "m_tasks": _tasks, "m_code": _code, "m_notes": _notes, "m_contracts": _contracts,
     "m_telemetry": _telemetry, "m_symbols": _symbols, "m_calls": _calls, "m_edges": _edges,
     "m_docs": _docs, "m_nodes": _nodes, "m_items": _items, "m_patches": _patches, "m_cases": _cases,
     "m_runs": _runs, "m_repo_edges": _repo_edges, "m_repos": _repos, "m_modules": _modules, "m_module_edges": _module_edges,

@@ -232,8 +232,44 @@ def _tasks(d: Dialect) -> str:
     FROM part"""
 
 
+def _meta(d: Dialect) -> str:
+    brand = "CAST(substr(p_brand, 7) AS INT)"
+    return f"""
+    SELECT p_partkey AS symbol_id,
+           CASE p_size % 4 WHEN 0 THEN 'ImplBlock' WHEN 1 THEN 'Method' WHEN 2 THEN 'Struct' ELSE 'Function' END AS kind,
+           concat('Owner_', CAST({brand} AS STRING)) AS owner_name,
+           CASE WHEN p_size % 3 = 0 THEN concat('Trait_', lower(p_type)) END AS trait_name,
+           concat('crate::', lower(p_type), '::m', CAST({brand} AS STRING)) AS module_path,
+           concat('crate_', CAST({brand} % 4 AS STRING)) AS crate_name
+    FROM part"""
+
+
+def _imports(d: Dialect) -> str:
+    return """
+    SELECT a.file AS file, b.name AS local_name, b.file AS target_file, CASE WHEN b.type = 'class' THEN NULL ELSE concat('orig_', b.name) END AS source_symbol,
+           e.src * 100000000 + e.dst AS position
+    FROM m_edges e JOIN m_symbols a ON e.src = a.symbol_id JOIN m_symbols b ON e.dst = b.symbol_id WHERE a.type = 'import'"""
+
+
+def _rawcalls(d: Dialect) -> str:
+    return """
+    SELECT file, caller_symbol, CASE WHEN length(callee_symbol) % 2 = 0 THEN callee_symbol WHEN length(callee_symbol) % 3 = 0 THEN concat(callee_symbol, '?.fetch')
+           ELSE concat(callee_symbol, '.load') END AS raw_name
+    FROM m_calls"""
+
+
+def _reexports(d: Dialect) -> str:
+    """Statements of a file that pass on the first called symbol: named, everything, or the default."""
+    return """
+    SELECT a.file AS file, CASE WHEN a.type = 'import' THEN 'named' WHEN a.type = 'class' THEN 'star' ELSE 'default' END AS kind,
+           a.name AS exported_name, b.name AS source_name, b.file AS target_file, a.symbol_id AS position
+    FROM (SELECT src, min(dst) AS dst FROM m_edges GROUP BY src) e
+    JOIN m_symbols a ON e.src = a.symbol_id JOIN m_symbols b ON e.dst = b.symbol_id
+    WHERE a.type <> 'class' OR a.end_line - a.start_line > 100"""
+
+
 MODELS = {
-    "m_tasks": _tasks, "m_code": _code, "m_notes": _notes, "m_contracts": _contracts,
+    "m_meta": _meta, "m_imports": _imports, "m_rawcalls": _rawcalls, "m_reexports": _reexports, "m_tasks": _tasks, "m_code": _code, "m_notes": _notes, "m_contracts": _contracts,
     "m_telemetry": _telemetry, "m_symbols": _symbols, "m_calls": _calls, "m_edges": _edges,
     "m_docs": _docs, "m_nodes": _nodes, "m_items": _items, "m_patches": _patches, "m_cases": _cases,
     "m_runs": _runs, "m_repo_edges": _repo_edges, "m_repos": _repos, "m_modules": _modules, "m_module_edges": _module_edges,

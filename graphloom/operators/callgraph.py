@@ -117,9 +117,9 @@ class CallNeighbours:
 
 
 def neighbourhood(calls: DataFrame, symbols: DataFrame, seeds: DataFrame, radius: int,
-                  callees: bool = True, callers: bool = True) -> DataFrame:
+                  callees: bool = True, callers: bool = True, limits: DataFrame | None = None) -> DataFrame:
     """(seed, node, depth) within ``radius`` hops; seeds is a table (seed, node)."""
-    return k_hop(seeds, CallNeighbours(calls, symbols, callees, callers), radius)
+    return k_hop(seeds, CallNeighbours(calls, symbols, callees, callers), radius, limits)
 
 
 def seeds_by_name(names: DataFrame, symbols: DataFrame, seed: str = "name") -> DataFrame:

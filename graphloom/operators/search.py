@@ -42,44 +42,44 @@ def search_cascade(queries: DataFrame, symbols: DataFrame, n: int = 20) -> DataF
     return top_n(exact.select(*cols).unionByName(part.select(*cols)), ["query"], [F.col(c) for c in PLACE], n, "rank")
 
 
+# Names of one length are spread over this many join keys.
+LENGTH_SALTS = 16
+
+
 def fuzzy_top_k(queries: DataFrame, symbols: DataFrame, k: int = 8) -> DataFrame:
-    """The ``k`` most similar symbols per query, exact, without comparing every pair.
+    """The ``k`` most similar symbols per query, exact; names without similarity are not reported.
 
-    Names sharing a two-letter piece with the query are scored first. A name that shares none is at
-    least half its length away, which bounds its similarity; only queries whose ``k``-th score stays
-    below that bound also look at names that merely share a letter. Names without a common letter
-    have no similarity and are never reported.
+    A first pass over names that share the query's rarest three-letter pieces gives a score the
+    ``k``-th result must reach. Two texts differ by at least their difference in length, so that
+    score bounds the lengths a result can have, and an equality join on (length, salt) brings each
+    query only to names of those lengths.
     """
     q = queries.select("query", F.lower("query").alias("_lq")).distinct()
     named = _named(symbols, k)
     names = named.select("_lname").distinct()
-    cols = ["query", "_lq", "_lname"]
-
-    def sharing(left: DataFrame, size: int) -> DataFrame:
-        a = left.select("query", "_lq", F.explode(grams(F.col("_lq"), size)).alias("_g"))
-        b = names.select("_lname", F.explode(grams(F.col("_lname"), size)).alias("_g"))
-        return a.join(b, "_g").select(*cols).distinct()
-
-    def best(pairs: DataFrame) -> DataFrame:
-        scored = pairs.withColumn("score", F.round(similarity(F.col("_lq"), F.col("_lname")), 6)).filter("score > 0")
-        rows = top_n(scored, ["query"], [F.desc("score"), F.col("_lname")], k, "_r").join(named, "_lname")
-        return top_n(rows, ["query"], [F.desc("score"), *[F.col(c) for c in PLACE]], k, "rank")
-
-    near = sharing(q, 2)
-    first = best(near)
-    ratio = names.agg(F.max(F.octet_length("_lname") / F.greatest(F.length("_lname"), F.lit(1))).alias("_ratio")).withColumn("_k", F.lit(1))
-    kth = first.groupBy("query").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("_kth"))
-    bound = q.withColumn("_k", F.lit(1)).join(F.broadcast(ratio), "_k").join(kth, "query", "left")
-    size = F.greatest(F.length("_lq"), F.lit(1))
-    spread = F.greatest("_ratio", F.octet_length("_lq") / size)
-    limit = 1 - (size - 1) / (2 * spread * size)
-    open_q = bound.filter(F.coalesce("_kth", F.lit(0.0)) <= limit).select("query", "_lq", F.coalesce("_kth", F.lit(0.0)).alias("_kth"))
-    wide = sharing(open_q, 1).join(open_q.select("query", "_kth"), "query")
-    gap = F.abs(F.length("_lq") - F.length("_lname")) / F.greatest(F.octet_length("_lq"), F.octet_length("_lname"))
-    second = best(wide.filter(1 - gap >= F.col("_kth")).select(*cols).unionByName(near.join(open_q.select("query"), "query", "left_semi")).distinct())
-    done = first.join(open_q.select("query"), "query", "left_anti")
-    out = ["query", "score", *PLACE, "rank"]
-    return done.select(*out).unionByName(second.select(*out))
+
+    post = names.select("_lname", F.explode(grams(F.col("_lname"), 3)).alias("_g"))
+    df = post.groupBy("_g").agg(F.count("*").alias("_df"))
+    own = q.select("query", "_lq", F.explode(grams(F.col("_lq"), 3)).alias("_g")).join(df, "_g")
+    rare = top_n(own, ["query"], [F.col("_df"), F.col("_g")], 3)
+    score = F.round(similarity(F.col("_lq"), F.col("_lname")), 6)
+    near = rare.join(post, "_g").select("query", "_lq", "_lname").distinct().withColumn("score", score)
+    near = near.join(named.groupBy("_lname").agg(F.count("*").alias("_c")), "_lname")
+    best = top_n(near, ["query"], [F.desc("score"), F.col("_lname")], k, "_r")
+    so_far = F.sum("_c").over(W.partitionBy("query").orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
+    floor = best.withColumn("_have", so_far).groupBy("query").agg(F.max(F.when(F.col("_have") >= k, F.col("score"))).alias("_floor"))
+
+    facts = names.agg(F.max(F.octet_length("_lname") / F.greatest(F.length("_lname"), F.lit(1))).alias("_ratio"),
+                      F.max(F.length("_lname")).alias("_longest")).withColumn("_k", F.lit(1))
+    wide = q.join(floor, "query", "left").withColumn("_k", F.lit(1)).join(F.broadcast(facts), "_k").withColumn("_floor", F.coalesce("_floor", F.lit(0.0)))
+    reach = (1.000001 - F.col("_floor"))
+    fits = F.filter(F.sequence(F.lit(0), F.col("_longest")), lambda n: F.abs(n - F.length("_lq")) <= reach * F.greatest(n * F.col("_ratio"), F.octet_length("_lq")))
+    salts = F.array(*[F.lit(i) for i in range(LENGTH_SALTS)])
+    asked = wide.select("query", "_lq", "_floor", F.explode(fits).alias("_len")).select("*", F.explode(salts).alias("_salt"))
+    keyed = names.select("_lname", F.length("_lname").alias("_len"), F.pmod(F.hash("_lname"), F.lit(LENGTH_SALTS)).alias("_salt"))
+    scored = asked.join(keyed, ["_len", "_salt"]).withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= F.col("_floor")))
+    rows = top_n(scored.select("query", "score", "_lname"), ["query"], [F.desc("score"), F.col("_lname")], k, "_r").join(named, "_lname")
+    return top_n(rows, ["query"], [F.desc("score"), *[F.col(c) for c in PLACE]], k, "rank").select("query", "score", *PLACE, "rank")
 
 
 def search_with_fallback(queries: DataFrame, symbols: DataFrame, n: int = 20, k: int = 8) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scale import first_per_key, top_n, value_at_fraction
+from .scale import first_per_key, ordered_scan, top_n, value_at_fraction
 
 DAY_MS = 86_400_000
 
@@ -146,8 +146,16 @@ def latency_alerts(latency: DataFrame, hits: Column, calls: Column, events: Data
             .select("operation", "r.rule", "r.value"))
 
 
-def session_activity(events: DataFrame, gap: str = "1 hour") -> DataFrame:
-    """Sessions per user closed after ``gap`` without events."""
-    return (events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), gap).alias("w"))
-            .agg(F.count("*").alias("events"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
-            .select("user_id", "events", "first_ms", (F.col("last_ms") - F.col("first_ms")).alias("duration_ms")))
+def session_activity(events: DataFrame, gap_ms: int = 3_600_000) -> DataFrame:
+    """Sessions per user, closed after ``gap_ms`` without events.
+
+    Hour buckets keep a busy user on many tasks; a session may span any number of them.
+    """
+    rows = events.select("user_id", "event_id", "ts_ms", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    bucket = F.floor(F.col("us") / (gap_ms * 1000))
+    order = ["us", "event_id"]
+    seen = ordered_scan(rows, ["user_id"], order, bucket, lag={"prev": "us"})
+    opens = F.when(F.col("us") - F.col("prev") <= gap_ms * 1000, 0).otherwise(1)
+    numbered = ordered_scan(seen.withColumn("opens", opens), ["user_id"], order, bucket, running_sum={"session": "opens"})
+    return numbered.groupBy("user_id", "session").agg(
+        F.count("*").alias("events"), F.min("ts_ms").alias("first_ms"), (F.max("ts_ms") - F.min("ts_ms")).alias("duration_ms")).drop("session")

@@ -59,9 +59,23 @@ def _(t):
     return cg.resolve_callees(t.calls, t.symbols).select("caller_symbol", "file", "callee_symbol", "callee_file", "callee_id")
 
 
-@query("c05_caller_resolution", f"WITH {RES} SELECT a AS symbol_id, b AS caller_id FROM inn")
+@query("c05_caller_resolution", f"WITH {RES} SELECT caller_symbol, file, callee_symbol, callee_file, caller_id FROM rr")
 def _(t):
-    return cg.callers_of(t.symbols, t.calls, t.symbols)
+    return cg.resolve_callers(t.calls, t.symbols).select("caller_symbol", "file", "callee_symbol", "callee_file", "caller_id")
+
+
+@query("c05_caller_counts", """SELECT s.symbol_id, COALESCE(a.n, 0) + COALESCE(b.n, 0) AS callers FROM m_symbols s
+LEFT JOIN (SELECT callee_symbol, count(*) AS n FROM m_calls WHERE callee_file IS NULL GROUP BY 1) a ON a.callee_symbol = s.name
+LEFT JOIN (SELECT callee_symbol, callee_file, count(*) AS n FROM m_calls WHERE callee_file IS NOT NULL GROUP BY 1, 2) b ON b.callee_symbol = s.name AND b.callee_file = s.file""")
+def _(t):
+    return cg.caller_counts(t.calls, t.symbols)
+
+
+@query("c05_callers_of_hot_symbols", f"WITH {RES}, {HOT} SELECT a AS symbol_id, b AS caller_id FROM inn WHERE a IN (SELECT aid FROM hot JOIN ba USING (name))")
+def _(t):
+    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
+    ids = cg.seeds_by_name(hot, t.symbols).select(F.col("node").alias("symbol_id"))
+    return cg.callers_of(t.symbols.join(ids, "symbol_id", "left_semi"), t.calls, t.symbols)
 
 
 IMPORT_SQL = """b AS (SELECT file, local_name, target_file, source_symbol FROM (SELECT *, row_number() OVER (PARTITION BY file, local_name ORDER BY position DESC) AS r FROM m_imports) WHERE r = 1),

@@ -280,7 +280,7 @@ def _(t):
 
 
 @query("i21_similar_errors", """
-WITH p AS (SELECT dense_rank() OVER (ORDER BY event_type, k) AS pattern_id, event_type AS kind, event_type || '#' || CAST(k AS STRING) AS hash, hits FROM (
+WITH p AS (SELECT CAST(k * 10 + length(event_type) AS BIGINT) * 1000 + ascii(event_type) AS pattern_id, event_type AS kind, event_type || '#' || CAST(k AS STRING) AS hash, hits FROM (
     SELECT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, count(*) AS hits FROM events GROUP BY 1, 2) WHERE k % 2 = 0),
 a AS (SELECT o_orderkey AS request_id, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END || '#' || CAST(o_custkey % 100 AS STRING) AS hash FROM orders),
 sl AS (SELECT p.pattern_id, CAST(e.user_id AS STRING) AS solution, CASE WHEN e.value > 40 THEN 'resolved' WHEN e.value > 15 THEN 'failed' ELSE 'partial' END AS outcome, CAST(floor(epoch_us(e.ts) / 1000) AS BIGINT) AS ts_ms
@@ -295,8 +295,7 @@ def _(t):
     k = F.regexp_extract("props", "([0-9]+)", 1)
     ev = t.events.withColumns({"k": k.cast("int"), "hash": F.concat_ws("#", "event_type", k)})
     p = ev.filter("k % 2 = 0").groupBy(F.col("event_type").alias("kind"), "k", "hash").agg(F.count("*").alias("hits"))
-    from pyspark.sql import Window as W
-    p = p.withColumn("pattern_id", F.dense_rank().over(W.orderBy("kind", "k")).cast("bigint"))
+    p = p.withColumn("pattern_id", (F.col("k") * 10 + F.length("kind")).cast("bigint") * 1000 + F.ascii("kind"))
     kind = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "click").otherwise("view")
     a = t.orders.select(F.col("o_orderkey").alias("request_id"), kind.alias("kind"), F.concat(kind, F.lit("#"), (F.col("o_custkey") % 100).cast("string")).alias("hash"))
     sol = ev.join(p.select("hash", "pattern_id"), "hash").select(

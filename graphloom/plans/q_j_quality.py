@@ -50,9 +50,10 @@ def _(t):
 
 
 @query("j13_hotspot_changes", """
-WITH u AS (SELECT DISTINCT run, intent, metric, value, fixture, case_name FROM (
-  SELECT run, intent, 'latency' AS metric, CAST(latency_ms AS DOUBLE) AS value, fixture, case_name FROM m_cases
-  UNION ALL SELECT run, intent, 'tokens', CAST(approx_tokens AS DOUBLE), fixture, case_name FROM m_cases)),
+WITH mc AS (SELECT * REPLACE (latency_ms * CASE WHEN run = 'current' AND intent = 'debug' THEN 2 ELSE 1 END AS latency_ms, approx_tokens * CASE WHEN run = 'current' AND intent = 'refactor' THEN 2 ELSE 1 END AS approx_tokens) FROM m_cases),
+u AS (SELECT DISTINCT run, intent, metric, value, fixture, case_name FROM (
+  SELECT run, intent, 'latency' AS metric, CAST(latency_ms AS DOUBLE) AS value, fixture, case_name FROM mc
+  UNION ALL SELECT run, intent, 'tokens', CAST(approx_tokens AS DOUBLE), fixture, case_name FROM mc)),
 w AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run, intent, metric ORDER BY value DESC, fixture, case_name) AS INT) AS rank FROM u) WHERE rank <= 5),
 b AS (SELECT * FROM w WHERE run = 'baseline'), n AS (SELECT * FROM w WHERE run = 'current'),
 p AS (SELECT intent, metric, fixture, case_name, max(value) AS previous FROM b GROUP BY ALL),
@@ -63,7 +64,9 @@ k AS (SELECT *, CASE WHEN previous IS NOT NULL THEN CASE WHEN CASE WHEN metric =
   WHEN cutoff IS NULL OR value > CASE WHEN metric = 'latency' THEN greatest(cutoff * 1.25, cutoff + 16) ELSE greatest(ceil(cutoff * 1.2), cutoff + 25) END THEN 'entered' END AS change FROM j)
 SELECT intent, metric, rank, fixture, case_name, value, previous, change FROM k WHERE change IS NOT NULL""")
 def _(t):
-    return ql.hotspot_changes(ql.worst_cases(t.cases, ["run", "intent"]), ["intent"])
+    slower = lambda intent: F.when((F.col("run") == "current") & (F.col("intent") == intent), 2).otherwise(1)
+    cases = t.cases.withColumns({"latency_ms": F.col("latency_ms") * slower("debug"), "approx_tokens": F.col("approx_tokens") * slower("refactor")})
+    return ql.hotspot_changes(ql.worst_cases(cases, ["run", "intent"]), ["intent"])
 
 
 @query("j10_threshold_checks", f"""WITH {METRICS}, th AS (SELECT metric, CASE WHEN metric LIKE '%match%' THEN avg(value) END AS min_value, CASE WHEN metric NOT LIKE '%match%' THEN avg(value) END AS max_value

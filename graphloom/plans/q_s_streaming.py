@@ -117,7 +117,19 @@ WITH f AS (SELECT user_id, epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000) A
 g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM f)
 SELECT user_id, count(*) AS events, min(ms) AS first_ms, max(ms) - min(ms) AS duration_ms FROM g GROUP BY user_id, sid""")
 def _(t):
-    return ev.session_activity(t.telemetry.select("user_id", "ts", "ts_ms"))
+    return ev.session_activity(t.telemetry)
+
+
+@query("s08_session_windows", """
+WITH f AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS s FROM events),
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM f), k AS (SELECT user_id, sid, count(*) AS events, max(epoch_us(ts)) AS last FROM g GROUP BY 1, 2)
+SELECT user_id, events FROM k WHERE last + 3600000000 <= (SELECT max(epoch_us(ts)) - 7200000000 FROM events)""")
+def _(t):
+    src, out = scratch_path(t.spark, "activity"), scratch_path(t.spark, "sessions")
+    t.events.select("user_id", F.col("ts").cast("timestamp").alias("event_time")).write.parquet(src)
+    stream = jobs.streamed_sessions(jobs.parquet_stream(t.spark, src, "user_id BIGINT, event_time TIMESTAMP"))
+    jobs.drain(jobs.append_table(stream.select("user_id", "events"), out, scratch_path(t.spark, "chk")))
+    return t.spark.read.schema("user_id BIGINT, events BIGINT").parquet(out)
 
 
 @query("s09_latency_ring", """SELECT operation, latency_ms, ts_ms, event_id FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ts_ms DESC, event_id DESC) AS r FROM m_telemetry) WHERE r <= 256""")

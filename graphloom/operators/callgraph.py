@@ -91,7 +91,7 @@ class CallNeighbours:
     """
 
     def __init__(self, calls: DataFrame, symbols: DataFrame, callees: bool = True, callers: bool = True):
-        self.symbols = cut_lineage(symbols.select(F.col("symbol_id").alias("node"), "name", "file"))
+        self.symbols = symbols.select(F.col("symbol_id").alias("node"), "name", "file")
         self.callees, self.callers = callees, callers
         out = resolve_callees(calls, symbols).filter("callee_id IS NOT NULL").select(
             F.col("caller_symbol").alias("name"), "file", F.col("callee_id").alias("node")).distinct()

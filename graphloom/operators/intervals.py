@@ -11,9 +11,8 @@ from .scale import ordered_scan, prefix_max, top_n
 
 def merge_ranges(spans: DataFrame, keys: Sequence[str], gap: int = 1) -> DataFrame:
     """Union ranges per key; ranges at most ``gap`` lines apart become one."""
-    grid = spans.groupBy(*keys, "start_line").agg(F.max("end_line").alias("end_line"))
-    reach = prefix_max(grid, keys, "start_line", {"reach": F.col("end_line")})
-    flagged = grid.join(reach, [*keys, "start_line"]).withColumn(
+    reach = prefix_max(spans, keys, "start_line", {"reach": F.col("end_line")}, own="own_")
+    flagged = reach.withColumnRenamed("own_reach", "end_line").withColumn(
         "brk", F.when(F.col("start_line") <= F.col("reach") + gap, 0).otherwise(1))
     islands = ordered_scan(flagged, keys, ["start_line"], F.floor(F.col("start_line") / 4096), running_sum={"island": "brk"})
     return islands.groupBy(*keys, "island").agg(
@@ -33,9 +32,7 @@ def prune_contained(items: DataFrame, keys: Sequence[str], priorities: Sequence[
     """
     spans = best_per_span(items, keys)
     level = {f"p{p}": F.when(F.col("priority") <= p, F.col("end_line")) for p in priorities}
-    before = prefix_max(spans, keys, "start_line", level)
-    same = spans.groupBy(*keys, "start_line").agg(*[F.max(c).alias(f"s{n}") for n, c in level.items()])
-    joined = spans.join(before, [*keys, "start_line"]).join(same, [*keys, "start_line"])
+    joined = spans.join(prefix_max(spans, keys, "start_line", level, own="s"), [*keys, "start_line"])
     reach: Column = F.lit(None).cast("int")
     beside: Column = F.lit(None).cast("int")
     for p in priorities:

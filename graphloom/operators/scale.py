@@ -27,9 +27,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def prefix_max(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, Column],
-               width: int = 4096) -> DataFrame:
+               width: int = 4096, own: str | None = None) -> DataFrame:
     """Per distinct (keys, pos): maximum of each value over strictly smaller positions.
 
+    With ``own`` the maximum at the position itself is returned too, under that prefix.
+
     Positions are integers, so after the pre-aggregation a bucket holds at most ``width`` rows
     however many rows share a key.
     """
@@ -37,15 +39,15 @@ def prefix_max(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str
     grid = df.groupBy(*keys, pos).agg(*[F.max(values[n]).alias(n) for n in names])
     grid = grid.withColumn("_b", F.floor(F.col(pos) / width))
     inner = W.partitionBy(*keys, "_b").orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
-    local = grid.select(*keys, pos, "_b", *[F.max(n).over(inner).alias(f"_in_{n}") for n in names])
+    kept = [F.col(n).alias(f"{own}{n}") for n in names] if own else []
+    local = grid.select(*keys, pos, "_b", *kept, *[F.max(n).over(inner).alias(f"_in_{n}") for n in names])
     outer = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        df.withColumn("_b", F.floor(F.col(pos) / width))
-        .groupBy(*keys, "_b").agg(*[F.max(values[n]).alias(n) for n in names])
+        grid.groupBy(*keys, "_b").agg(*[F.max(n).alias(n) for n in names])
         .select(*keys, "_b", *[F.max(n).over(outer).alias(f"_out_{n}") for n in names])
     )
     return local.join(carry, [*keys, "_b"]).select(
-        *keys, pos, *[F.greatest(f"_in_{n}", f"_out_{n}").alias(n) for n in names]
+        *keys, pos, *[f"{own}{n}" for n in names if own], *[F.greatest(f"_in_{n}", f"_out_{n}").alias(n) for n in names]
     )
 
 

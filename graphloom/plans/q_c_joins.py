@@ -73,9 +73,9 @@ def _(t):
 
 @query("c05_callers_of_hot_symbols", f"WITH {RES}, {HOT} SELECT a AS symbol_id, b AS caller_id FROM inn WHERE a IN (SELECT aid FROM hot JOIN ba USING (name))")
 def _(t):
-    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
+    hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"))
     ids = cg.seeds_by_name(hot, t.symbols).select(F.col("node").alias("symbol_id"))
-    return cg.callers_of(t.symbols.join(ids, "symbol_id", "left_semi"), t.calls, t.symbols)
+    return cg.callers_of(t.symbols.join(ids, "symbol_id", "left_semi"), t.kept("calls"), t.symbols)
 
 
 IMPORT_SQL = """b AS (SELECT file, local_name, target_file, source_symbol FROM (SELECT *, row_number() OVER (PARTITION BY file, local_name ORDER BY position DESC) AS r FROM m_imports) WHERE r = 1),
@@ -157,25 +157,25 @@ def _(t):
 @query("g04_neighbour_union", f"WITH {RES} SELECT a AS symbol_id, b AS neighbour_id FROM nb WHERE a IN (SELECT aid FROM ba WHERE name IN (SELECT callee_symbol FROM m_calls WHERE callee_file LIKE 'src/auth%'))")
 def _(t):
     from ..operators import sets as st
-    wanted = t.calls.filter(F.col("callee_file").startswith("src/auth")).select(F.col("callee_symbol").alias("name")).distinct()
+    wanted = t.kept("calls").filter(F.col("callee_file").startswith("src/auth")).select(F.col("callee_symbol").alias("name")).distinct()
     seeds = cg.best_anywhere(t.symbols).join(wanted, "name", "left_semi").select(F.col("any_id").alias("symbol_id"))
     s = t.symbols.join(seeds, "symbol_id", "left_semi").select("symbol_id", "name", "file")
-    out = cg.resolve_callees(t.calls, t.symbols).filter("callee_id IS NOT NULL").select(
+    out = cg.resolve_callees(t.kept("calls"), t.symbols).filter("callee_id IS NOT NULL").select(
         F.col("caller_symbol").alias("name"), "file", F.col("callee_id").alias("neighbour_id")).distinct()
     callees = s.join(out, ["name", "file"])
-    return st.neighbour_union(callees, cg.callers_of(s, t.calls, t.symbols).withColumnRenamed("caller_id", "neighbour_id"))
+    return st.neighbour_union(callees, cg.callers_of(s, t.kept("calls"), t.symbols).withColumnRenamed("caller_id", "neighbour_id"))
 
 
 @query("h01_dependency_neighbourhood", f"WITH {RES}, {HOT}, {hops('SELECT hot.name AS seed, aid AS node FROM hot JOIN ba USING (name)', 'nb', 2)} SELECT * FROM hop")
 def _(t):
-    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
-    return cg.neighbourhood(t.calls, t.symbols, cg.seeds_by_name(hot, t.symbols), 2)
+    hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"))
+    return cg.neighbourhood(t.kept("calls"), t.symbols, cg.seeds_by_name(hot, t.symbols), 2)
 
 
 @query("h02_directed_neighbourhood", f"WITH {RES}, {HOT}, {hops('SELECT hot.name AS seed, aid AS node FROM hot JOIN ba USING (name)', 'outn', 3)} SELECT * FROM hop")
 def _(t):
-    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
-    return cg.neighbourhood(t.calls, t.symbols, cg.seeds_by_name(hot, t.symbols), 3, callers=False)
+    hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"))
+    return cg.neighbourhood(t.kept("calls"), t.symbols, cg.seeds_by_name(hot, t.symbols), 3, callers=False)
 
 
 NEXT = """lg AS (SELECT symbol_id || ':' || pos AS a, symbol_id || ':' || lead(pos) OVER (PARTITION BY symbol_id ORDER BY start_line, end_line, pos) AS b FROM m_nodes),
@@ -212,7 +212,7 @@ def _(t):
     changed = (s.filter("file LIKE 'src/auth%' AND type = 'class'").select("name", "file")
                .union(s.filter("type = 'function'").select(F.upper("name"), F.lit("src/nowhere.ts")))
                .union(s.filter("type = 'class' AND file LIKE 'src/billing%'").select("name", F.lit("src/gone.ts")))).distinct()
-    return cg.impact_in_file(changed, t.calls, s)
+    return cg.impact_in_file(changed, t.kept("calls"), s)
 
 
 ORIGIN = "org AS (SELECT to_repo AS seed FROM m_repo_edges GROUP BY 1 ORDER BY count(DISTINCT from_repo) DESC, 1 LIMIT 1)"
@@ -268,7 +268,7 @@ FAIL_HOPS = hops("SELECT DISTINCT event_id AS seed, aid AS node FROM fr JOIN ba
 @query("h09_debug_graph", f"WITH {RES}, {FAIL}, {FAIL_HOPS} SELECT seed AS event_id, node, depth FROM hop")
 def _(t):
     _, frames = failures(t)
-    return cg.debug_graph(frames, t.calls, t.symbols)
+    return cg.debug_graph(frames, t.kept("calls"), t.symbols)
 
 
 ROOT = f"""{RES}, {FAIL}, {FAIL_HOPS},
@@ -291,7 +291,7 @@ def _(t):
     patches = (t.lineitem.filter("l_returnflag = 'R'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
                .join(t.symbols.select("symbol_id", F.col("name").alias("symbol")), F.col("l_partkey") == F.col("symbol_id"))
                .select("symbol", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts_s")))
-    return cg.rank_root_causes(cg.debug_graph(frames, t.calls, t.symbols), frames, events, patches, t.calls, t.symbols)
+    return cg.rank_root_causes(cg.debug_graph(frames, t.kept("calls"), t.symbols), frames, events, patches, t.kept("calls"), t.symbols)
 
 
 @query("e15_max_normalised", """SELECT event_id, event_type, round(value / max(value) OVER (PARTITION BY event_type), 6) AS share FROM events""")
@@ -326,9 +326,9 @@ def _(t):
 SELECT id AS symbol_id, 'neighbour' AS kind, CAST(b AS STRING) AS item FROM sd JOIN nb ON nb.a = id WHERE b <> id
 UNION SELECT id, 'logic_node', CAST(pos AS STRING) FROM sd JOIN m_nodes n ON n.symbol_id = id""")
 def _(t):
-    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
+    hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"))
     seeds = cg.seeds_by_name(hot, t.symbols)
-    return se.symbol_bundle(seeds, cg.neighbourhood(t.calls, t.symbols, seeds, 1), t.nodes)
+    return se.symbol_bundle(seeds, cg.neighbourhood(t.kept("calls"), t.symbols, seeds, 1), t.nodes)
 
 
 @query("h15_adaptive_radius", f"""WITH {RES},
@@ -339,7 +339,7 @@ a AS (SELECT s.symbol_id, o.n + COALESCE(i1.n, 0) + COALESCE(i2.n, 0) AS fan_out
   LEFT JOIN i2 ON i2.name = s.name AND i2.file = s.file LEFT JOIN l ON l.id = s.symbol_id)
 SELECT *, CASE WHEN logic_nodes > 24 THEN 1 WHEN logic_nodes < 8 THEN 2 ELSE 1 END AS logic_radius, CASE WHEN fan_out > 12 THEN 1 WHEN fan_out < 4 THEN 2 ELSE 1 END AS dependency_radius FROM a""")
 def _(t):
-    return cg.adaptive_radius(t.symbols, t.calls, t.nodes, 3200)
+    return cg.adaptive_radius(t.symbols, t.kept("calls"), t.nodes, 3200)
 
 
 @query("h16_ownership_edges", """

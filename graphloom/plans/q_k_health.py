@@ -105,10 +105,10 @@ im AS (SELECT request_id, s.file, s.start_line, s.end_line, 1 FROM tg JOIN m_cal
 ca AS (SELECT request_id, s.file, s.start_line, s.end_line, 2 FROM tg JOIN ba USING (name) JOIN inn ON inn.a = aid JOIN m_symbols s ON s.symbol_id = inn.b WHERE risk >= 0.4)
 SELECT * FROM own UNION SELECT * FROM im UNION SELECT * FROM ca""")
 def _(t):
-    hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"), F.lit(1).alias("k"))
+    hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"), F.lit(1).alias("k"))
     top = oc.edit_risk(t.patches).agg(F.max("risk").alias("top")).withColumn("k", F.lit(1))
     targets = hot.join(top, "k").select(F.col("name").alias("request_id"), "name", F.when(F.length("name") % 2 == 0, F.col("top")).otherwise(0.1).alias("risk"))
-    return cx.edit_context(targets, t.symbols, t.calls)
+    return cx.edit_context(targets, t.symbols, t.kept("calls"))
 
 
 FAILED = """SELECT event_id AS failure_id, CASE event_type WHEN 'error' THEN 'unit_tests' WHEN 'click' THEN 'build' ELSE 'deploy' END AS failure_stage,
@@ -158,7 +158,7 @@ REQ_R = "rq AS (SELECT symbol_id AS request_id, symbol_id, CASE WHEN end_line %
 
 @query("i11_planned_context", f"WITH {RES}, {REQ_R}, {planned_sql('rq', 'outn', 2200)} SELECT request_id, file, start_line, end_line, priority, module_rank, cost, used FROM pc")
 def _(t):
-    return cx.planned_context(requests(t), t.symbols, t.calls, t.nodes, t.module_edges, 3200, 2).select(
+    return cx.planned_context(requests(t), t.symbols, t.kept("calls"), t.nodes, t.module_edges, 3200, 2).select(
         "request_id", "file", "start_line", "end_line", "priority", "module_rank", "cost", "used")
 
 
@@ -178,7 +178,7 @@ dp AS (SELECT DISTINCT request_id, s.file, s.start_line, s.end_line FROM rq JOIN
 SELECT request_id, file, start_line, end_line, 'logic' AS kind FROM sp UNION ALL
 SELECT request_id, file, start_line, end_line, CASE WHEN EXISTS (SELECT 1 FROM sp WHERE sp.request_id = dp.request_id AND sp.file = dp.file AND sp.start_line <= dp.start_line AND sp.end_line >= dp.end_line) THEN 'covered_dependency' ELSE 'dependency' END FROM dp""")
 def _(t):
-    return cx.reasoning_context(node_requests(t), t.symbols, t.calls, t.nodes)
+    return cx.reasoning_context(node_requests(t), t.symbols, t.kept("calls"), t.nodes)
 
 
 @query("i13_hybrid_context", f"""WITH {RES}, {NREQ}, {planned_sql('rq', 'outn', 2200)}, {CONTROL}, {DATA}, {CLUSTERS},
@@ -189,7 +189,7 @@ SELECT request_id, pc.file, pc.start_line, pc.end_line, priority, CAST(100 - pri
 FROM pc JOIN rq USING (request_id) JOIN m_symbols s ON s.symbol_id = rq.symbol_id LEFT JOIN c1x ON c1x.symbol_id = s.symbol_id LEFT JOIN c2x ON c2x.symbol_id = s.symbol_id LEFT JOIN c3x ON c3x.symbol_id = s.symbol_id""")
 def _(t):
     req = node_requests(t)
-    planned = cx.planned_context(req, t.symbols, t.calls, t.nodes, t.module_edges, 3200, 1)
+    planned = cx.planned_context(req, t.symbols, t.kept("calls"), t.nodes, t.module_edges, 3200, 1)
     return cx.hybrid_context(planned, req, t.symbols, cl.with_effective_label(t.nodes), 3200)
 
 
@@ -198,7 +198,7 @@ rp AS (SELECT DISTINCT 'repo_' || CAST(repo_id AS STRING) AS name, 'workspace/'
 fr AS (SELECT file, min(repo_id) AS repo_id FROM m_symbols GROUP BY 1)
 SELECT w.name, w.path, request_id, pc.file, start_line, end_line FROM pc JOIN fr USING (file) JOIN w USING (repo_id)""")
 def _(t):
-    planned = cx.planned_context(requests(t), t.symbols, t.calls, t.nodes, t.module_edges, 3200, 2)
+    planned = cx.planned_context(requests(t), t.symbols, t.kept("calls"), t.nodes, t.module_edges, 3200, 2)
     home = t.symbols.groupBy("file").agg(F.concat(F.lit("repo_"), F.min("repo_id").cast("string")).alias("repo"))
     repos = t.symbols.select(F.concat(F.lit("repo_"), F.col("repo_id").cast("string")).alias("name"), F.concat(F.lit("workspace/"), F.col("repo_id").cast("string")).alias("path")).distinct()
     scope = t.spark.createDataFrame([("repo_1",), ("workspace/2",)], "entry string")

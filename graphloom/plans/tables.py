@@ -7,6 +7,20 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from . import adapters
+from ..session import cut_lineage
+
+
+# Tables with long texts and their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give text work to every core when a table comes in fewer files than there are cores.
+
+    Large tables have many splits and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 class Tables:
@@ -22,13 +36,20 @@ class Tables:
             raise AttributeError(name)
         if name not in self._seen:
             if name in adapters.BASE:
-                self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._seen[name] = spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
             elif f"m_{name}" in adapters.MODELS:
                 self._seen[name] = self._model(f"m_{name}")
             else:
                 raise AttributeError(name)
         return self._seen[name]
 
+    def kept(self, name: str) -> DataFrame:
+        """A model view that a query reads several times, written once to the shared folder."""
+        if f"{name}#" not in self._seen:
+            self._seen[f"{name}#"] = cut_lineage(getattr(self, name))
+        return self._seen[f"{name}#"]
+
     def _model(self, model: str) -> DataFrame:
         sql = adapters.MODELS[model](adapters.SPARK)
         inputs = {}

@@ -48,6 +48,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that loops do not grow the plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder so that loops do not grow the plan.
+
+    The table is columnar: later steps read only the columns they need, and its size on disk tells
+    the optimizer whether a side is small enough to broadcast. It survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -24,8 +24,8 @@ def scan_tree(spark: SparkSession, root: str, extensions: Sequence[str] = tuple(
     ``whole`` gives one row per file, otherwise one per line; large trees list and read in parallel.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    reader = reader.option("wholetext", "true") if whole else reader.option("lineSep", "\n")
-    rows = reader.text(root).select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
+    files = reader.text(root, wholetext=True) if whole else reader.text(root, lineSep="\n")
+    rows = files.select(relative_path(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("content"))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     reason = F.when(is_excluded(F.col("path")), "excluded").when(~ext.isin(*extensions), "unsupported")
     return rows.withColumn("excluded", reason)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import module_of, workspace_boundary
+from ..session import cut_lineage
 from . import callgraph as cg
 from .flow import control_flow, data_flow, logic_clusters
 from .intervals import best_per_span, item_cost, merge_ranges, not_covered, prune_contained, within_budget
@@ -56,7 +57,7 @@ def with_module_rank(items: DataFrame, requests: DataFrame, symbols: DataFrame,
 def planned_context(requests: DataFrame, symbols: DataFrame, calls: DataFrame, nodes: DataFrame, module_edges: DataFrame,
                     max_tokens: int = 3200, radius: int = 3, callers: bool = False) -> DataFrame:
     """Candidates without contained spans, ordered, up to the token budget of each request."""
-    items = context_candidates(requests, symbols, calls, nodes, radius, callers)
+    items = cut_lineage(context_candidates(requests, symbols, calls, nodes, radius, callers))
     kept = prune_contained(items, ["request_id", "file"])
     ranked = with_module_rank(kept, requests, symbols, module_edges).withColumn("cost", item_cost())
     order = [F.col(c) for c in ("priority", "module_rank", *SPAN)]
@@ -67,10 +68,10 @@ def reasoning_context(requests: DataFrame, symbols: DataFrame, calls: DataFrame,
     """Merged logic spans of the target and its neighbours, flagged when the spans cover them."""
     home = requests.join(symbols.select("symbol_id", "file"), "symbol_id")
     ranges = home.join(nodes.select("symbol_id", "start_line", "end_line"), "symbol_id").select("request_id", *SPAN)
-    spans = merge_ranges(ranges, ["request_id", "file"])
+    spans = cut_lineage(merge_ranges(ranges, ["request_id", "file"]))
     seeds = requests.select(F.col("request_id").alias("seed"), F.col("symbol_id").alias("node"))
     near = cg.neighbourhood(calls, symbols, seeds, radius).filter("depth > 0").select(F.col("seed").alias("request_id"), "node")
-    deps = near.join(symbols.select(F.col("symbol_id").alias("node"), *SPAN), "node").select("request_id", *SPAN).distinct()
+    deps = cut_lineage(near.join(symbols.select(F.col("symbol_id").alias("node"), *SPAN), "node").select("request_id", *SPAN).distinct())
     open_deps = not_covered(deps, spans, ["request_id", "file"])
     kind = lambda df, k: df.select("request_id", *SPAN, F.lit(k).alias("kind"))
     covered = deps.join(open_deps, ["request_id", *SPAN], "left_anti")

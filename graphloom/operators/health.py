@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.classify import is_test_path_strict
 from ..functions.text import nesting_depth
+from ..session import cut_lineage
 from .callgraph import reciprocal
 from .scale import any_text_contains
 from .summaries import duplicate_lengths, module_symbol_counts
@@ -109,7 +110,7 @@ def evolution_graph(plans: DataFrame, order: Sequence[str]) -> DataFrame:
     task sorts all plans.
     """
     head = F.substring(order[0], 1, 24)
-    rows = plans.withColumn("_b", head)
+    rows = cut_lineage(plans).withColumn("_b", head)
     local = rows.withColumn("_n", F.row_number().over(W.partitionBy("_b", F.substring(order[0], 25, 12)).orderBy(*order)))
     sizes = rows.groupBy("_b", F.substring(order[0], 25, 12).alias("_c")).agg(F.count("*").alias("_size"))
     inner = W.partitionBy("_b").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)

@@ -44,7 +44,7 @@ def _(t):
     for part in (row(d, "create", 1, F.col("content")), row(d.filter("lang = 'fr'"), "modify", 2, F.upper("content")),
                  row(d.filter("lang = 'de'"), "remove", 3, F.lit(None).cast("string"))):
         part.write.mode("append").parquet(src)
-    feed = jobs.parquet_stream(t.spark, src, schemas.FILE_CHANGES, files_per_batch=1)
+    feed = jobs.parquet_stream(t.spark, src, schemas.FILE_CHANGES, files_per_batch=8)
     final = jobs.VersionedTable(t.spark, table, schemas.FILE_CHANGES).run(feed, scratch_path(t.spark, "chk"), jobs.apply_file_changes)
     return jobs.live_files(final).select("path", F.length("content").alias("chars"))
 

@@ -63,21 +63,26 @@ def dependency_hints(files: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
-    """Sections opened by heading lines with objective, references and line range."""
-    ls = lines_of(F.col("content"))
-    prepared = files.select("path", ls.alias("ls"))
-    heads = F.filter(F.transform("ls", lambda x, i: F.when(F.startswith(lstrip(x), F.lit("#")), i + 1)), lambda v: v.isNotNull())
+    """Sections opened by heading lines with objective, references and line range.
+
+    Sections are built inside the row, so the lines of a file are not repeated per section.
+    """
+    prepared = files.select("path", lines_of(F.col("content")).alias("ls"))
+    heads = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(r"^\s*#"), i + 1)), lambda v: v.isNotNull())
     prepared = prepared.withColumn("heads", heads)
-    rows = prepared.select("path", "ls", F.posexplode("heads").alias("k", "start_line"), "heads")
-    last = F.coalesce(F.get("heads", F.col("k") + 1) - 1, F.greatest(F.size("ls"), F.col("start_line")))
-    rows = rows.withColumn("end_line", last)
-    body = F.filter(F.transform(F.slice("ls", F.col("start_line") + 1, F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0))), strip),
-                    lambda x: x != "")
-    prose = F.filter(body, lambda x: ~F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("*")))
-    heading = strip(F.regexp_replace(F.element_at("ls", F.col("start_line")), "^#+", ""))
-    refs = F.transform(F.slice(body, 1, 4), lambda x: strip(F.regexp_replace(F.regexp_replace(x, "^-+", ""), r"^\*+", "")))
-    return rows.select("path", heading.alias("heading"), F.coalesce(F.get(prose, F.lit(0)), F.lit("Section reference.")).alias("objective"),
-                       refs.alias("key_references"), "start_line", "end_line").filter("heading <> ''")
+
+    def section(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("heads", k + 1) - 1, F.greatest(F.size("ls"), start))
+        body = F.slice("ls", start + 1, F.greatest(end - start, F.lit(0)))
+        prose = F.get(F.filter(body, lambda x: x.rlike(r"^\s*[^\s*-]")), F.lit(0))
+        refs = F.slice(F.filter(body, lambda x: x.rlike(r"\S")), 1, 4)
+        return F.struct(
+            strip(F.regexp_replace(F.get("ls", start - 1), "^#+", "")).alias("heading"),
+            F.coalesce(strip(prose), F.lit("Section reference.")).alias("objective"),
+            F.transform(refs, lambda x: strip(F.regexp_replace(F.regexp_replace(strip(x), "^-+", ""), r"^\*+", ""))).alias("key_references"),
+            start.alias("start_line"), end.alias("end_line"))
+
+    return prepared.select("path", F.explode(F.transform("heads", section)).alias("s")).select("path", "s.*").filter("heading <> ''")
 
 
 def api_contracts(files: DataFrame) -> DataFrame:

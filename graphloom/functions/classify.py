@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import normalise_query, words
 
-# Semantic label of a logic node by its type.
+# Label of a logic node by its type.
 NODE_LABELS = {"Loop": "iteration", "Try": "risky_operation", "Catch": "error_recovery", "Finally": "error_recovery",
                "Return": "result_exit", "Call": "side_effect_call", "Await": "async_wait", "Throw": "error_exit",
                "Switch": "multi_branch", "Case": "multi_branch"}
 
-# Block name of a semantic label.
+# Block name of a node label.
 BLOCKS = {"guard_clause": "decision_block", "branch_decision": "decision_block", "multi_branch": "decision_block",
           "iteration": "iteration_block", "error_recovery": "error_path", "error_exit": "error_path",
           "risky_operation": "error_path", "async_wait": "side_effects", "side_effect_call": "side_effects",
@@ -154,6 +154,6 @@ def weighted_intent(text: Column) -> Column:
 
 
 def with_effective_label(nodes: DataFrame) -> DataFrame:
-    """Attach semantic and block labels to logic nodes."""
+    """Attach node and block labels to logic nodes."""
     out = nodes.withColumn("semantic_label", semantic_label(F.col("node_type"), F.col("text")))
     return out.withColumn("block", cluster_label(F.col("semantic_label")))

@@ -138,13 +138,13 @@ ISSUES = {"exact_target_in_top_context": "top_context_file_does_not_contain_targ
 OPTIONAL = tuple(ISSUES)[2:]
 
 
-def verify(requests: DataFrame) -> DataFrame:
-    """Issues, status and readiness of every answered request.
+def verify(requests: DataFrame, fallback_tool: str = "fuzzy_symbol_search") -> DataFrame:
+    """Issues, status and readiness of every answered request; ``fallback_tool`` only guesses.
 
     Rows carry intent, selected_tool, has_target, has_top_file, candidate_aligned, refs, confidence,
     the three escalation flags and the nullable exact checks.
     """
-    fallback = F.col("selected_tool") == "search_semantic_symbol"
+    fallback = F.col("selected_tool") == fallback_tool
     raised: list[Column] = [
         F.when(~F.col("has_target") & ~fallback, "missing_target_symbol"),
         F.when(~F.col("has_top_file") & ~fallback & (F.col("refs") > 0), "missing_top_context_file"),

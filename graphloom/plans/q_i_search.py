@@ -306,7 +306,7 @@ def _(t):
 
 
 VER = """v AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 4 WHEN 0 THEN 'implement' WHEN 1 THEN 'refactor' WHEN 2 THEN 'debug' ELSE 'understand' END AS intent,
-  CASE WHEN o_custkey % 9 = 0 THEN 'search_semantic_symbol' ELSE 'get_planned_context' END AS selected_tool, o_custkey % 7 <> 0 AS has_target, o_custkey % 5 <> 0 AS has_top_file, o_orderkey % 11 <> 0 AS candidate_aligned,
+  CASE WHEN o_custkey % 9 = 0 THEN 'fuzzy_symbol_search' ELSE 'get_planned_context' END AS selected_tool, o_custkey % 7 <> 0 AS has_target, o_custkey % 5 <> 0 AS has_top_file, o_orderkey % 11 <> 0 AS candidate_aligned,
   CAST(o_orderkey % 6 AS BIGINT) AS refs, (o_custkey % 100) / CAST(100 AS DOUBLE) AS confidence, o_orderstatus = 'P' AS escalated, o_orderkey % 13 = 0 AS raw_seed, o_orderkey % 17 = 0 AS low_confidence_raw,
   CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderkey % 10 <> 1 END AS exact_target_in_top_context, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderkey % 10 <> 2 END AS exact_target_span_in_top_context,
   CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE o_orderkey % 10 <> 3 END AS exact_dependencies_in_reported_files, CASE WHEN o_custkey % 2 = 1 THEN NULL ELSE o_orderkey % 10 <> 4 END AS exact_impact_scope_alignment,
@@ -329,7 +329,7 @@ def _all(test: str) -> str:
 
 
 @query("i22_verification", f"""WITH {VER.replace('{orders}', 'orders')},
-w AS (SELECT *, selected_tool = 'search_semantic_symbol' AS fb FROM v), x AS (SELECT *, list_filter([{_bad()}], lambda i: i IS NOT NULL) AS issues FROM w),
+w AS (SELECT *, selected_tool = 'fuzzy_symbol_search' AS fb FROM v), x AS (SELECT *, list_filter([{_bad()}], lambda i: i IS NOT NULL) AS issues FROM w),
 y AS (SELECT *, CASE WHEN fb THEN 'fallback_search' WHEN list_contains(issues, 'no_context_refs') THEN 'no_context_refs' WHEN len(issues) > 0 THEN 'needs_review' WHEN low_confidence_raw OR confidence < 0.5 THEN 'low_confidence'
   WHEN escalated OR raw_seed OR confidence < 0.75 THEN 'needs_review' ELSE 'high_confidence' END AS status, {_all('NOT {0}')} AS n_failed, {_all('{0}')} AS n_passed,
   CASE WHEN exact_target_in_top_context IS NULL THEN 1 ELSE 0 END + CASE WHEN exact_target_span_in_top_context IS NULL THEN 1 ELSE 0 END AS n_missing FROM x),

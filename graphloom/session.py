@@ -29,7 +29,7 @@ def build_session(app: str = "graphloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: the cluster's checkpoint folder.
 
-    Only when the session names none (tests on one machine) a local folder is created.
+    A temporary folder stands in only for a session on one machine that names none, as in tests.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -37,14 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder for a table an operator has to materialise."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder for a table an operator has to materialise.
+
+    What is written there goes when the session ends, or earlier by ``discard``.
+    """
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, ngram_join, quality_cascade
+from . import checks, ngram_join, quality_cascade, suffix_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cascade.judge(read(spark, folder, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_digest(read(spark, folder, "documents"))

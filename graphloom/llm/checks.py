@@ -25,3 +25,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
+
+# The order of sources with equal finish times inside the budget's last slice follows Spark's source hash; it
+# decides nothing unless two entries finish at exactly the same time there.
+OP2_SOURCE_MIX = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (SELECT *, CAST(([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS w,
+        CAST(source_size AS DOUBLE) * 2 AS lim, CAST(sum(source_size) OVER () AS DOUBLE) * 150.0::DOUBLE / 100.0::DOUBLE AS budget FROM per),
+l AS (SELECT *, (budget - coalesce(sum(lim) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(w) OVER (ORDER BY lim / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, budget, least(lim, w * max(level) OVER ()) AS target FROM l),
+e AS (SELECT source, doc_id, size, epoch, md5('mix:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || size) AS rank, n
+      FROM (SELECT source, doc_id, size, count(*) AS n FROM s WHERE size > 0 GROUP BY ALL), (VALUES (0), (1)) AS o(epoch)),
+q AS (SELECT e.*, sum(size * n) OVER (PARTITION BY e.source ORDER BY epoch, rank ROWS UNBOUNDED PRECEDING) / t.target AS finish, budget
+      FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, sum(size * n) OVER (ORDER BY finish, source, epoch, rank ROWS UNBOUNDED PRECEDING) AS total FROM q),
+k AS (SELECT source, doc_id, size, count(*) AS times FROM g WHERE total <= budget GROUP BY ALL)
+SELECT s.doc_id, s.size, t.source_size, t.target, CAST(s.size * coalesce(k.times, 0) AS BIGINT) AS taken
+FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+LEFT JOIN k ON s.source IS NOT DISTINCT FROM k.source AND s.doc_id IS NOT DISTINCT FROM k.doc_id AND s.size = k.size
+"""

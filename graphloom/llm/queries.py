@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, ngram_join, quality_cascade, suffix_dedup
+from . import checks, ngram_join, quality_cascade, source_mix, suffix_dedup
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.mixed_sizes(read(spark, folder, "documents"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, folder, "documents"))

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from graphloom.llm import quality_cascade  # noqa: E402
+from graphloom.llm import ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup  # noqa: E402
 from graphloom.llm.common import read, stored  # noqa: E402
 
 
@@ -21,7 +21,33 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_cascade.keep_good(docs)
 
 
-STAGES = [("quality rules", keep_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near or exact copies: five-word shingles, 0.8 or more."""
+    return ngram_join.one_per_component(docs, size=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without bytes covered by a 200-byte string that also starts elsewhere; ``n_chars`` follows."""
+    return suffix_dedup.remove_repeats(docs, length="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in proportion to their weights; a document taken twice is two rows."""
+    return source_mix.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids in place of the text, with all other columns."""
+    return piece_codec.encode(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near copies", drop_near_copies),
+    ("repeated passages", cut_repeats),
+    ("source mix", mix_sources),
+    ("piece ids", encode_pieces),
+]
 
 # SQL cannot express piece segmentation; the tests hold run() against brute force.
 ORACLE_SQL = None

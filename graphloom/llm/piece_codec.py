@@ -52,7 +52,7 @@ def read_vocabulary(path: str = DEFAULT_MODEL) -> dict:
         decode[i] = piece.replace(MARK, " ").encode()
     for i, b in data.items():
         decode[i] = bytes([b])
-    return {"pieces": pieces, "bytes": {b: i for i, b in data.items()}, "byte_score": min(score.values()) - 1_000_000, "decode": decode}
+    return {"name": path, "pieces": pieces, "bytes": {b: i for i, b in data.items()}, "byte_score": min(score.values()) - 1_000_000, "decode": decode}
 
 
 class Segmenter:
@@ -141,30 +141,16 @@ class Segmenter:
         return b"".join(map(self.table.__getitem__, ids.tolist()))[1:]
 
 
-_READY: dict[int, Segmenter] = {}
+_READY: dict[str, Segmenter] = {}
 
 
-def _segmenter(shared) -> Segmenter:
+def _segmenter(vocabulary: dict) -> Segmenter:
     """One segmenter per worker process and vocabulary."""
-    if shared.id not in _READY:
+    name = vocabulary["name"]
+    if name not in _READY:
         _READY.clear()
-        _READY[shared.id] = Segmenter(shared.value)
-    return _READY[shared.id]
-
-
-class _Shared:
-    """A broadcast vocabulary (its size is that of the vocabulary file, whatever the input)."""
-
-    def __init__(self, spark, path: str):
-        self.bc = spark.sparkContext.broadcast(read_vocabulary(path))
-        self.id = self.bc._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"bc": self.bc, "id": self.id}
-
-    @property
-    def value(self) -> dict:
-        return self.bc.value
+        _READY[name] = Segmenter(vocabulary)
+    return _READY[name]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -173,13 +159,13 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def encode(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
     """``docs`` without its text but with the piece ids, their number and whether they decode to the text."""
-    shared = _Shared(docs.sparkSession, model)
+    vocabulary = read_vocabulary(model)  # goes to the tasks with the function; as large as its file, whatever the input
     kept = [c for c in docs.columns if c not in (text, ids, "n_tokens", "round_trip")]
     inner = docs.select(*kept, text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{ids}` array<int>, n_tokens long, round_trip boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = _segmenter(shared)
+        seg = _segmenter(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -197,12 +183,12 @@ def encode(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, ids:
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = DEFAULT_MODEL, text: str = "text") -> DataFrame:
     """``rows`` with the text that the piece ids stand for; null ids give a null text."""
-    shared = _Shared(rows.sparkSession, model)
+    vocabulary = read_vocabulary(model)
     kept = [c for c in rows.columns if c not in (ids, text)]
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), f"`{text}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = _segmenter(shared)
+        seg = _segmenter(vocabulary)
         for batch in batches:
             lists = _column(batch, ids)
             texts = [seg.decode(x.values.to_numpy(zero_copy_only=False)).decode("utf-8", "replace") if x.is_valid else None for x in lists]

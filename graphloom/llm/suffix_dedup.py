@@ -283,17 +283,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ``length`` names a column that holds the text's number of characters and is brought up to date. A
     document of which nothing is left stays with an empty text; a null text stays null.
     """
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = _column(batch, "_starts"), _column(batch, "_ends")
             raws = _column(batch, text).cast(pa.binary()).to_pylist()
             texts = [None if x is None else _kept(x, starts[i], ends[i]).decode("utf-8", "ignore") for i, x in enumerate(raws)]
-            out = batch.select(docs.columns).set_column(docs.columns.index(text), text, pa.array(texts, pa.string()))
+            out = batch.select(columns).set_column(columns.index(text), text, pa.array(texts, pa.string()))
             if length:
                 sizes = [n if t is None or not starts[i].is_valid else len(t)
                          for i, (t, n) in enumerate(zip(texts, _column(batch, length).to_pylist()))]
-                at = docs.columns.index(length)
+                at = columns.index(length)
                 out = out.set_column(at, length, pa.array(sizes, batch.schema.field(length).type))
             yield out
 

@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near or exact copies: five-word shingles, 0.8 or more."""
-    return ngram_join.one_per_component(docs, size=5, percent=80)
+    return ngram_join.one_per_component(docs, size=5, percent=80, keep_signatures=False)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ its own scheme that hashes the universe of shingles into segments with allocatio
 segments) or 2 (segments that differ by at most one element, found through the one-deletion
 neighbourhood), the allocations adding up to more than H. Were every segment to differ by at least its
 allocation, the sets would differ in more than H elements, so linked sets share a signature: no link is
-lost. Which segments get 1 and which 2 is a matter of cost, rows written against chance collisions, and is
-decided per band from the number of documents. A set takes part in its own band and, if it can be the
-larger partner, in the band below.
+lost. Spare segments allow a set to leave out those in which it is empty, up to their number; a set with
+more empty segments keeps them all. Which segments get 1 and which 2 is a matter of cost, rows written
+against chance collisions, and is decided per band from the number of documents. A set takes part in its
+own band and, if it can be the larger partner, in the band below.
 
 Signatures with at least two different sets give candidates. They are not expanded to all pairs: two
 rounds link each set to one pivot, an exact check decides, and components contract what is linked. Only
@@ -85,22 +86,30 @@ def bands(percent: int, largest: int) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=None)
-def allocation(percent: int, low: int, high: int, n_docs: int) -> tuple[int, int]:
-    """(segments with allocation 1, with allocation 2) for sets of ``low`` to ``high`` elements.
+def allocation(percent: int, low: int, high: int, n_docs: int) -> tuple[int, int, int]:
+    """(segments with allocation 1, with allocation 2, spare allocation) for sets of ``low`` to ``high`` elements.
 
-    Cost per set: signature rows, plus the sets expected to share an empty segment by chance. With t
-    elements per segment that chance is exp(-2t) for a pair.
+    Cost per set: signature rows, plus the sets expected to share an empty segment by chance, for which both
+    must have more empty segments than there is spare allocation.
     """
     need = high * (100 - percent) // percent + 1
     best = None
     for twos in sorted({0, *(need * k // 8 for k in range(1, 4)), (need + 1) // 2}):
         ones = max(0, need - 2 * twos)
+        empty = ones * np.exp(-low / (ones + twos))
+        spare = int(np.ceil(empty + 3 * np.sqrt(empty))) if ones else 0
+        ones += spare
         parts = ones + twos
-        t = low / parts
-        cost = parts + twos * high / parts + n_docs * parts * np.exp(-2 * t)
+        mean = ones * np.exp(-low / parts)
+        term, within = np.exp(-mean), np.exp(-mean)
+        for k in range(1, spare + 1):
+            term *= mean / k
+            within += term
+        chance = n_docs * max(0.0, 1 - within) ** 2 * mean * np.exp(-low / parts) if ones else 0.0
+        cost = ones - mean + twos + twos * high / parts + chance
         if best is None or cost < best[0]:
-            best = (cost, ones, twos)
-    return best[1], best[2]
+            best = (cost, ones, twos, spare)
+    return best[1:]
 
 
 def signatures(s: np.ndarray, percent: int, n_docs: int) -> np.ndarray:
@@ -113,8 +122,8 @@ def signatures(s: np.ndarray, percent: int, n_docs: int) -> np.ndarray:
         high = lows[band + 1] - 1
         if band < 0 or (band < own and percent * n > 100 * high):
             continue
-        ones, twos = allocation(percent, lows[band], high, n_docs)
-        parts = ones + twos
+        ones, twos, spare = allocation(percent, lows[band], high, n_docs)
+        parts = ones + twos  # the first ``twos`` segments have allocation 2
         seg = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         seg, value = seg[order], mix(s[order])
@@ -122,7 +131,11 @@ def signatures(s: np.ndarray, percent: int, n_docs: int) -> np.ndarray:
         at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         total[seg[at]] = np.add.reduceat(value, at)
         salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)) * C3
-        out.append(mix(total + salt))
+        full = np.zeros(parts, bool)
+        full[seg] = True
+        used = full if np.count_nonzero(~full[twos:]) <= spare else np.ones(parts, bool)
+        used[:twos] = True
+        out.append(mix(total[used] + salt[used]))
         if twos:
             near = seg < twos
             out.append(mix(total[seg[near]] - value[near] + salt[seg[near]]))
@@ -139,30 +152,49 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(key, n, node, node2, sigs): set size, 128-bit identity of the set, signatures. One pass over the texts."""
-    n_docs = docs.count()
+def _sets(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            yield batch, [shingles(raw, size) for raw in _column(batch, text).cast(pa.binary()).to_pylist()]
+
+
+def _identity(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
+def _packed(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(x.view(np.int64) for x in arrays)])))
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int | None = None, n_docs: int = 0) -> DataFrame:
+    """(key, n, node, node2): set size and 128-bit identity of every document; given ``percent``, with its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sizes, node, node2, sigs = [], [], [], []
-                for raw in _column(batch, text).cast(pa.binary()).to_pylist():
-                    s = shingles(raw, size)
-                    sizes.append(len(s))
-                    both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
-                    node.append(both[0])
-                    node2.append(both[1])
-                    sigs.append(signatures(s, percent, n_docs).view(np.int64) if len(s) else np.empty(0, np.int64))
-                ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [_column(batch, key), pa.array(sizes, pa.int64()), pa.array(node, pa.int64()), pa.array(node2, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))],
-                    names=[key, "n", "node", "node2", "sigs"])
+        for batch, sets in _sets(batches, text, size):
+            cols = [_column(batch, key), pa.array([len(s) for s in sets], pa.int64()), *_identity(sets)]
+            if percent:
+                cols.append(_packed([signatures(s, percent, n_docs) if len(s) else s for s in sets]))
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "node", "node2", "sigs"][:len(cols)])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long" + ", sigs array<long>" * bool(percent))
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long, sigs array<long>")
+
+def signature_rows(docs: DataFrame, text: str, size: int, percent: int, n_docs: int) -> DataFrame:
+    """(node, sig): the signatures of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, text, size):
+            sets = [s for s in sets if len(s)]
+            if sets:
+                sigs = [signatures(s, percent, n_docs) for s in sets]
+                owner = _identity(sets)[0].take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sigs])))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(np.concatenate(sigs).view(np.int64))], names=["node", "sig"])
+
+    return docs.select(text).mapInArrow(run, "node long, sig long")
 
 
 def _element_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -173,12 +205,11 @@ def _element_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 sets = [shingles(raw, size) for raw in _column(batch, text).cast(pa.binary()).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 sketches = np.concatenate([parity_sketch(s) for s in sets]) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [_column(batch, "node"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 8), pa.array(sketches)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
+                     _packed(sets)],
                     names=["node", "n", "sketch", "elements"])
 
     return docs.select("node", text).mapInArrow(run, "node long, n long, sketch array<long>, elements array<long>")
@@ -233,14 +264,31 @@ def linked_sets(members: DataFrame, sets: DataFrame, percent: int, rounds: int =
     return components(links.unionByName(_verified(rest, sets, percent)))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """(key, n_shingles, component_id): the smallest key that a document reaches by links, its own included."""
-    base = stored(shingle_sets(docs, key, text, size, percent), "sets")
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(sig, node) of all signatures that different sets share.
+
+    The first pass keeps the smallest and largest 32-bit hash of a set per signature; sets that share many
+    signatures would have to agree in all those hashes to be missed.
+    """
+    short = F.hash("node", "sig")
+    shared = rows.groupBy("sig").agg(F.min(short).alias("lo"), F.max(short).alias("hi")).filter("lo <> hi").select("sig")
+    shared = stored(shared, "shared")
+    return stored(possible(rows, "sig", shared, 1 << 26).join(shared, "sig").distinct(), "members")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+                       keep_signatures: bool = True) -> DataFrame:
+    """(key, n_shingles, component_id): the smallest key that a document reaches by links, its own included.
+
+    Signatures are by far the largest intermediate result, the more so the lower the threshold. Two passes
+    need them: they are kept on disk, or without ``keep_signatures`` computed again.
+    """
+    n_docs = docs.count()
+    base = stored(shingle_sets(docs, key, text, size, percent if keep_signatures else None, n_docs), "sets")
     full = base.filter("n > 0")
     nodes = full.groupBy("node").agg(F.min(key).alias("rep"))
-    rows = full.select("node", F.explode("sigs").alias("sig"))
-    shared = stored(rows.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig"), "shared")
-    members = stored(possible(rows, "sig", shared, 1 << 26).join(shared, "sig").distinct(), "members")
+    members = shared_signatures(full.select("node", F.explode("sigs").alias("sig")) if keep_signatures
+                                else signature_rows(docs, text, size, percent, n_docs))
     wanted = members.select("node").distinct().join(nodes, "node")
     texts = possible(docs.select(key, text), key, wanted.select(F.col("rep").alias(key))).join(
         wanted.withColumnRenamed("rep", key), key).dropDuplicates(["node"])
@@ -253,7 +301,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         key, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
 
 
-def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+                      keep_signatures: bool = True) -> DataFrame:
     """The documents that name their component; columns as they are."""
-    found = jaccard_components(docs, key, text, size, percent)
+    found = jaccard_components(docs, key, text, size, percent, keep_signatures)
     return without(docs, key, stored(found.filter(F.col(key) != F.col("component_id")).select(key), "near_copies"))

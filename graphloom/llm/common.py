@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import discard, scratch_path
 
 # Word separators: space, tab, line feed, vertical tab, form feed, carriage return. bytes.split() uses the same six.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Delete a table made by ``stored`` once everything that reads it has itself been stored."""
+    files = df.inputFiles()
+    if files:
+        discard(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def _slot(key: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(bits))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup
+from . import checks, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mixed_sizes(read(spark, folder, "documents"))
 
 
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_shards.round_trip(read(spark, folder, "pages"))
+
+
 @query
 def op5_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.encode(read(spark, folder, "documents").select("doc_id", "text"))

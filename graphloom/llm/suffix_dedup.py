@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, mark_possible, possible, stored
+from .common import chunks, drop_stored, mark_possible, possible, stored
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 1 << 20  # bytes worked on at a time
@@ -166,6 +166,7 @@ def repeated_runs(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     digits = table.groupBy("digit").agg(F.count("*").alias("n"), F.min("cover").alias("lo"), F.max("cover").alias("hi")).filter("n > 1")
     digits = stored(digits.select("digit", (F.col("lo") == F.col("hi")).alias("same")), "digits")
     alive = stored(possible(table, "digit", digits, 1 << 26).join(digits, "digit"), "alive")
+    drop_stored(table)
     mixed = alive.filter("NOT same").groupBy("digit", "cover").agg(
         F.count("*").alias("n"), F.min(F.struct("_k", "first", "last", "place")).alias("r"))
     mixed = stored(mixed.select("digit", "cover", "n", "r.*"), "mixed")

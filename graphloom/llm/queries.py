@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
+from . import checks, html_graph, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removal_digest(read(spark, folder, "documents"))
+
+
+@query
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_graph.extract(read(spark, folder, "pages"))

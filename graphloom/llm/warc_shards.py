@@ -105,7 +105,7 @@ class _Roll:
         self._open()
 
 
-def write_archives(pages: DataFrame, target: str, key: str = "page_id", least: int = 0, span: int = 1 << 10,
+def write_archives(pages: DataFrame, target: str, key: str = "page_id", least: int = 0, span: int = 1 << 9,
                    file_bytes: int = 64 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write the archives below ``target`` (a folder that all executors reach) and return the manifest
     (file, records, bytes, sha1)."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, html_graph, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
+from . import checks, html_graph, lattice_neighbours, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_graph.extract(read(spark, folder, "pages"))
+
+
+@query
+def op10_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_neighbours.near_duplicates(read(spark, folder, "embeddings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, html_graph, lattice_neighbours, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, warc_shards
+from . import checks, html_graph, lattice_neighbours, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, toxic_cnn, warc_shards
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mixed_sizes(read(spark, folder, "documents"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic_cnn.score(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 @query
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc_shards.round_trip(read(spark, folder, "pages"))

@@ -67,6 +67,11 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return marked.filter("NOT _maybe").drop("_maybe").select(*df.columns).unionByName(doubt.select(*df.columns))
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Add ``_k``: the id together with a hash of the text, which tells rows with the same id apart."""
+    return docs.withColumn("_k", F.struct(F.col(key).alias("id"), F.hash(text).alias("t")))
+
+
 def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut consecutive rows into runs of at most ``limit`` in total; a larger row stands alone."""
     start, total = 0, 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, html_graph, lattice_neighbours, ngram_join, piece_codec, quality_cascade, source_mix, suffix_dedup, toxic_cnn, warc_shards
+from . import checks, html_graph, lattice_neighbours, ngram_join, paragraph_dedup, piece_codec, quality_cascade, source_mix, suffix_dedup, toxic_cnn, warc_shards
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraph_dedup.removable(read(spark, folder, "documents"))
+
+
 @query
 def op2_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return source_mix.mixed_sizes(read(spark, folder, "documents"))

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, drop_stored, mark_possible, possible, stored
+from .common import chunks, drop_stored, keyed as with_key, mark_possible, possible, stored
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 1 << 20  # bytes worked on at a time
@@ -94,11 +94,6 @@ def _pieces(raw: bytes, window: int) -> Iterator[tuple[int, np.ndarray]]:
         yield start, data[start:start + PIECE + window - 1]
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Add ``_k``: the id together with a hash of the text, which tells rows with the same id apart."""
-    return docs.withColumn("_k", F.struct(F.col(key).alias("id"), F.hash(text).alias("t")))
-
-
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -241,7 +236,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 200) -> DataFrame:
     """``docs`` with ``_k``, ``_starts`` and ``_ends`` (null: nothing repeats); only documents with spans are shuffled."""
-    keyed = _keyed(docs, key, text)
+    keyed = with_key(docs, key, text)
     spans = repeated_spans(keyed, text, window)
     marked = mark_possible(keyed, "_k", spans, "_maybe")
     none = F.lit(None).cast("array<int>")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import normalise_query, words
 
 # Label of a logic node by its type.
 NODE_LABELS = {"Loop": "iteration", "Try": "risky_operation", "Catch": "error_recovery", "Finally": "error_recovery",
@@ -32,7 +31,7 @@ INTENT_WEIGHTS = {
     "understand": {3: "explain understand describe document clarify summarize overview inspect", 2: "what why how show"},
 }
 INTENT_ORDER = ("debug", "refactor", "implement", "understand")
-FAILURE_WORDS = ("fail", "fails", "failed", "failing", "failure", "error", "bug", "crash", "broken", "wrong")
+FAILURE_WORDS = ("fail", "failure", "error", "bug", "crash", "broken")
 
 # Default token budget of each intent.
 INTENT_BUDGETS = {"debug": 1600, "refactor": 2000, "implement": 1400, "understand": 800}
@@ -43,7 +42,7 @@ def mapped(key: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(pairs[key], F.lit(default))
 
 
-def semantic_label(node_type: Column, text: Column) -> Column:
+def node_label(node_type: Column, text: Column) -> Column:
     low = F.lower(text)
     return (F.when(node_type == "Conditional", F.when(low.rlike("return|throw"), "guard_clause").otherwise("branch_decision"))
             .when(node_type == "Assignment", F.when(low.rlike("state|cache"), "state_update").otherwise("value_assignment"))
@@ -116,8 +115,8 @@ def simple_intent(text: Column) -> Column:
 
 def intent_scores(text: Column) -> dict[str, Column]:
     """Weighted token and phrase score per intent."""
-    norm = normalise_query(text)
-    toks = words(norm)
+    low = F.lower(text)
+    toks = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     scores = {}
 
     def hits(vocabulary: str) -> Column:
@@ -128,14 +127,14 @@ def intent_scores(text: Column) -> dict[str, Column]:
         for weight, vocabulary in weights.items():
             total = total + hits(vocabulary) * weight
         scores[intent] = total
-    failing = F.arrays_overlap(toks, F.array(*[F.lit(w) for w in FAILURE_WORDS]))
+    failing = low.rlike("|".join(FAILURE_WORDS))
 
     def bonus(cond: Column, points: int) -> Column:
         return F.when(cond, points).otherwise(0)
 
-    has = lambda *phrases: norm.rlike("|".join(phrases))
+    has = lambda *phrases: low.rlike("|".join(phrases))
     scores["debug"] = (scores["debug"] + bonus(has("root cause", "why is"), 3)
-                       + F.when(has("explain why") & failing, 4).when(F.array_contains(toks, "why") & failing, 2).otherwise(0)
+                       + bonus(has("explain why") & failing, 4) + bonus(has("why") & failing, 2)
                        + bonus(has("fix and explain", "fix and refactor", "debug and refactor", "diagnose and rewrite",
                                    "diagnose and refactor"), 2))
     scores["understand"] = scores["understand"] + bonus(has("how does", "what does"), 3)
@@ -155,5 +154,5 @@ def weighted_intent(text: Column) -> Column:
 
 def with_effective_label(nodes: DataFrame) -> DataFrame:
     """Attach node and block labels to logic nodes."""
-    out = nodes.withColumn("semantic_label", semantic_label(F.col("node_type"), F.col("text")))
-    return out.withColumn("block", cluster_label(F.col("semantic_label")))
+    out = nodes.withColumn("node_label", node_label(F.col("node_type"), F.col("text")))
+    return out.withColumn("block", cluster_label(F.col("node_label")))

@@ -136,10 +136,10 @@ def operation_latency(events: DataFrame, keep: int = 256) -> DataFrame:
 
 def latency_alerts(latency: DataFrame, hits: Column, calls: Column, events: DataFrame,
                    min_hit_pct: float = 35.0, p95_ms: int = 60, p99_ms: int = 120) -> DataFrame:
-    """Violated latency and cache-hit policies, one row per operation and rule."""
+    """Violated latency and cache-hit policies, one row per operation and rule; a rate of 0 means no cache in use."""
     ratio = events.groupBy("operation").agg(F.round(F.sum(hits) / F.sum(calls) * 100, 6).alias("hit_pct"))
     rules = F.array_compact(F.array(
-        F.when(F.col("hit_pct") < min_hit_pct, F.struct(F.lit("cache_hit_rate").alias("rule"), F.col("hit_pct").alias("value"))),
+        F.when((F.col("hit_pct") > 0) & (F.col("hit_pct") < min_hit_pct), F.struct(F.lit("cache_hit_rate").alias("rule"), F.col("hit_pct").alias("value"))),
         F.when(F.col("p95_ms") > p95_ms, F.struct(F.lit("p95").alias("rule"), F.col("p95_ms").cast("double").alias("value"))),
         F.when(F.col("p99_ms") > p99_ms, F.struct(F.lit("p99").alias("rule"), F.col("p99_ms").cast("double").alias("value")))))
     return (latency.join(ratio, "operation").select("operation", F.explode(rules).alias("r"))

@@ -67,14 +67,23 @@ def not_covered(spans: DataFrame, cover: DataFrame, keys: Sequence[str]) -> Data
 
 def within_budget(items: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: str, budget: int,
                   min_cost: int = 1) -> DataFrame:
-    """Longest ordered prefix whose total cost fits the budget.
+    """Longest ordered prefix whose total cost fits the budget, items without cost included.
 
-    Every item costs at least ``min_cost``, so a kept item ranks at most ``budget / min_cost``; each
-    group is cut to that many rows before its running total is taken.
+    An item that costs anything costs at least ``min_cost``, so such an item can only be kept among the
+    first ``budget / min_cost``: the running total looks at no more of a group. Items without cost, however
+    many, take the total of the last paid item before them and end where the first item no longer fits.
     """
-    head = top_n(items, keys, order, budget // min_cost + 1, "_r")
-    win = W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
-    return head.withColumn("used", F.sum(cost).over(win)).filter(F.col("used") <= budget).drop("_r")
+    keys = list(keys)
+    rows = items.withColumn("_o", F.struct(*order))
+    head = top_n(rows.filter(F.col(cost) > 0), keys, [F.col("_o")], budget // min_cost + 1, "_r")
+    head = head.withColumn("used", F.sum(cost).over(W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)))
+    paid = head.filter(F.col("used") <= budget)
+    steps = head.groupBy(*keys).agg(F.collect_list(F.when(F.col("used") <= budget, F.struct("_o", "used"))).alias("_paid"),
+                                    F.min(F.when(F.col("used") > budget, F.col("_o"))).alias("_stop"))
+    free = rows.filter(F.col(cost) <= 0).join(steps, keys, "left").filter(F.col("_stop").isNull() | (F.col("_o") < F.col("_stop")))
+    so_far = F.array_max(F.transform(F.filter("_paid", lambda p: p["_o"] < F.col("_o")), lambda p: p["used"]))
+    free = free.withColumn("used", F.coalesce(so_far, F.lit(0)).cast(dict(head.dtypes)["used"])).drop("_paid", "_stop")
+    return paid.drop("_r", "_o").unionByName(free.drop("_o"))
 
 
 def item_cost() -> Column:

@@ -96,8 +96,7 @@ def index_delta(before: DataFrame, after: DataFrame, internal: Column, n: int =
     return total.join(sample, "k", "left").drop("k")
 
 
-def greedy_budget(items: DataFrame, keys: Sequence[str], order: str, cost: str, budget: int, min_cost: int = 1,
-                  max_rounds: int = 10_000) -> DataFrame:
+def greedy_budget(items: DataFrame, keys: Sequence[str], order: str, cost: str, budget: int, min_cost: int = 1) -> DataFrame:
     """Ordered items that fit a budget when an item that does not fit is skipped.
 
     Each round takes the longest prefix that fits, drops the item after it and every later item
@@ -110,9 +109,7 @@ def greedy_budget(items: DataFrame, keys: Sequence[str], order: str, cost: str,
 
     left = cut_lineage(items.filter(F.col(cost) <= budget).withColumn("_room", F.lit(budget).cast("bigint")))
     taken: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         head = top_n(left, keys, [F.col(order)], budget // min_cost + 1, "_r")
         win = W.partitionBy(*keys).orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
         head = head.withColumn("_used", F.sum(cost).over(win))

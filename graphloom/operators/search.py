@@ -47,7 +47,7 @@ LENGTH_SALTS = 16
 
 
 def fuzzy_top_k(queries: DataFrame, symbols: DataFrame, k: int = 8) -> DataFrame:
-    """The ``k`` most similar symbols per query, exact; names without similarity are not reported.
+    """The ``k`` most similar symbols per query, exact; names without any similarity fill up what is missing.
 
     A first pass over names that share the query's rarest three-letter pieces gives a score the
     ``k``-th result must reach. Two texts differ by at least their difference in length, so that
@@ -79,7 +79,14 @@ def fuzzy_top_k(queries: DataFrame, symbols: DataFrame, k: int = 8) -> DataFrame
     keyed = names.select("_lname", F.length("_lname").alias("_len"), F.pmod(F.hash("_lname"), F.lit(LENGTH_SALTS)).alias("_salt"))
     scored = asked.join(keyed, ["_len", "_salt"]).withColumn("score", score).filter((F.col("score") > 0) & (F.col("score") >= F.col("_floor")))
     rows = top_n(scored.select("query", "score", "_lname"), ["query"], [F.desc("score"), F.col("_lname")], k, "_r").join(named, "_lname")
-    return top_n(rows, ["query"], [F.desc("score"), *[F.col(c) for c in PLACE]], k, "rank").select("query", "score", *PLACE, "rank")
+    found = top_n(rows.select("query", "score", *PLACE), ["query"], [F.desc("score"), *[F.col(c) for c in PLACE]], k)
+    # A query with fewer than k similar symbols has them all; the first 2k symbols hold enough others.
+    short = q.join(found.groupBy("query").agg(F.count("*").alias("_c")), "query", "left").filter(F.coalesce("_c", F.lit(0)) < k)
+    first = symbols.select(*PLACE).orderBy(*PLACE).limit(2 * k).withColumn("_k", F.lit(1))
+    fill = short.select("query", F.lit(1).alias("_k")).join(F.broadcast(first), "_k").drop("_k").join(
+        found.select("query", "symbol_id"), ["query", "symbol_id"], "left_anti").withColumn("score", F.lit(0.0))
+    both = found.unionByName(fill.select("query", "score", *PLACE))
+    return top_n(both, ["query"], [F.desc("score"), *[F.col(c) for c in PLACE]], k, "rank").select("query", "score", *PLACE, "rank")
 
 
 def search_with_fallback(queries: DataFrame, symbols: DataFrame, n: int = 20, k: int = 8) -> DataFrame:
@@ -91,9 +98,14 @@ def search_with_fallback(queries: DataFrame, symbols: DataFrame, n: int = 20, k:
     return hits.select(*cols).unionByName(fuzzy.select(*cols))
 
 
-def terms(text: Column) -> Column:
-    """Lower-case alphanumeric terms of at most forty characters."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lower), lambda w: F.length(w) <= 40)
+# Fixed value: an index of terms drops those of this many bytes or more.
+LONG_TERM = 40
+
+
+def terms(text: Column, too_long: int = LONG_TERM) -> Column:
+    """Lower-case alphanumeric terms shorter than ``too_long`` bytes."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lower)
+    return F.filter(found, lambda w: F.octet_length(w) < too_long)
 
 
 def bm25(queries: DataFrame, symbols: DataFrame, n: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:

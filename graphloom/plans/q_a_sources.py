@@ -191,10 +191,10 @@ def _(t):
     return mt.index_delta(old, cur, F.col("path").contains("/de/"))
 
 
-@query("j08_deployments", "SELECT 'v' || CAST(o_orderkey AS STRING) AS version, o_orderpriority AS environment, CAST(floor(epoch_us(o_orderdate) / 1000) AS BIGINT) AS ts_ms FROM orders WHERE o_orderstatus = 'F'")
+@query("j08_deployments", "SELECT 'v' || CAST(o_orderkey AS STRING) AS version, o_orderpriority AS environment, CAST(floor(epoch_us(o_orderdate) / 1000) AS BIGINT) AS ts_ms FROM orders")
 def _(t):
     path = scratch_path(t.spark, "deployments")
-    rows = t.orders.filter("o_orderstatus = 'F'").select(
+    rows = t.orders.select(
         F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"), F.col("o_orderpriority").alias("environment"),
         F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"))
     wr.append_json_log(rows, path)

@@ -124,12 +124,12 @@ def _(t):
             .groupBy("copies").agg(F.count("*").alias("hashes")))
 
 
-@query("b16_semantic_labels", f"SELECT symbol_id, pos, {LABEL} AS semantic_label FROM m_nodes")
+@query("b16_node_labels", f"SELECT symbol_id, pos, {LABEL} AS node_label FROM m_nodes")
 def _(t):
-    return cl.with_effective_label(t.nodes).select("symbol_id", "pos", "semantic_label")
+    return cl.with_effective_label(t.nodes).select("symbol_id", "pos", "node_label")
 
 
-@query("b17_cluster_labels", f"SELECT symbol_id, pos, {BLOCK} AS block FROM (SELECT *, {LABEL} AS semantic_label FROM m_nodes)")
+@query("b17_cluster_labels", f"SELECT symbol_id, pos, {BLOCK} AS block FROM (SELECT *, {LABEL} AS node_label FROM m_nodes)")
 def _(t):
     return cl.with_effective_label(t.nodes).select("symbol_id", "pos", "block")
 
@@ -184,15 +184,14 @@ def _weights() -> str:
 
 @query("b23_weighted_intent", f"""
 WITH wt(intent, weight, word) AS (VALUES {_weights()}),
-n AS (SELECT task_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM m_tasks),
-k AS (SELECT task_id, unnest(string_split(norm, ' ')) AS word FROM n),
+n AS (SELECT task_id, lower(text) AS low, regexp_matches(lower(text), 'fail|error|bug|crash|broken') AS failing FROM m_tasks),
+k AS (SELECT task_id, unnest(regexp_extract_all(low, '[\\p{{L}}\\p{{N}}]+')) AS word FROM n),
 s AS (SELECT task_id, intent, sum(weight) AS score FROM k JOIN wt USING (word) GROUP BY 1, 2),
-fl AS (SELECT DISTINCT task_id FROM k WHERE word IN ('fail', 'fails', 'failed', 'failing', 'failure', 'error', 'bug', 'crash', 'broken', 'wrong')),
-b AS (SELECT n.task_id, 'debug' AS intent, CASE WHEN regexp_matches(norm, 'root cause|why is') THEN 3 ELSE 0 END
-        + CASE WHEN contains(norm, 'explain why') AND fl.task_id IS NOT NULL THEN 4 WHEN list_contains(string_split(norm, ' '), 'why') AND fl.task_id IS NOT NULL THEN 2 ELSE 0 END
-        + CASE WHEN regexp_matches(norm, 'fix and explain|fix and refactor|debug and refactor|diagnose and rewrite|diagnose and refactor') THEN 2 ELSE 0 END AS score FROM n LEFT JOIN fl USING (task_id)
-      UNION ALL SELECT task_id, 'understand', CASE WHEN regexp_matches(norm, 'how does|what does') THEN 3 ELSE 0 END FROM n
-      UNION ALL SELECT task_id, 'refactor', CASE WHEN regexp_matches(norm, 'refactor and optimize|rewrite for reuse') THEN 2 ELSE 0 END FROM n),
+b AS (SELECT task_id, 'debug' AS intent, CASE WHEN regexp_matches(low, 'root cause|why is') THEN 3 ELSE 0 END
+        + CASE WHEN contains(low, 'explain why') AND failing THEN 4 ELSE 0 END + CASE WHEN contains(low, 'why') AND failing THEN 2 ELSE 0 END
+        + CASE WHEN regexp_matches(low, 'fix and explain|fix and refactor|debug and refactor|diagnose and rewrite|diagnose and refactor') THEN 2 ELSE 0 END AS score FROM n
+      UNION ALL SELECT task_id, 'understand', CASE WHEN regexp_matches(low, 'how does|what does') THEN 3 ELSE 0 END FROM n
+      UNION ALL SELECT task_id, 'refactor', CASE WHEN regexp_matches(low, 'refactor and optimize|rewrite for reuse') THEN 2 ELSE 0 END FROM n),
 a AS (SELECT task_id, intent, sum(score) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM b) GROUP BY 1, 2)
 SELECT task_id, CASE WHEN score <= 0 THEN 'understand' ELSE intent END AS intent FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC,
   CASE intent WHEN 'debug' THEN 1 WHEN 'refactor' THEN 2 WHEN 'implement' THEN 3 ELSE 4 END) AS r FROM a) WHERE r = 1""")

@@ -214,7 +214,7 @@ WITH k AS (SELECT operation, latency_ms FROM (SELECT *, row_number() OVER (PARTI
            FROM m_telemetry) WHERE r <= 256),
 s AS (SELECT operation, {pct('list(latency_ms)', 'count(*)', 0.95)} AS p95, {pct('list(latency_ms)', 'count(*)', 0.99)} AS p99 FROM k GROUP BY 1),
 h AS (SELECT operation, round(CAST(count(CASE WHEN total_tokens_reported < 25 THEN 1 END) AS DOUBLE) / count(*) * 100, 6) AS hit FROM m_telemetry GROUP BY 1)
-SELECT operation, 'cache_hit_rate' AS rule, hit AS value FROM h WHERE hit < 35
+SELECT operation, 'cache_hit_rate' AS rule, hit AS value FROM h WHERE hit > 0 AND hit < 35
 UNION ALL SELECT operation, 'p95', CAST(p95 AS DOUBLE) FROM s WHERE p95 > 60
 UNION ALL SELECT operation, 'p99', CAST(p99 AS DOUBLE) FROM s WHERE p99 > 120""")
 def _(t):

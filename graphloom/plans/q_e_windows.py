@@ -45,10 +45,10 @@ LABEL = """CASE node_type WHEN 'Conditional' THEN CASE WHEN regexp_matches(lower
   WHEN 'Assignment' THEN CASE WHEN regexp_matches(lower(text), 'state|cache') THEN 'state_update' ELSE 'value_assignment' END
   WHEN 'Loop' THEN 'iteration' WHEN 'Try' THEN 'risky_operation' WHEN 'Catch' THEN 'error_recovery' WHEN 'Finally' THEN 'error_recovery'
   WHEN 'Return' THEN 'result_exit' WHEN 'Call' THEN 'side_effect_call' ELSE 'logic' END"""
-BLOCK = """CASE WHEN semantic_label IN ('guard_clause', 'branch_decision') THEN 'decision_block' WHEN semantic_label = 'iteration' THEN 'iteration_block'
-  WHEN semantic_label IN ('error_recovery', 'risky_operation') THEN 'error_path' WHEN semantic_label = 'side_effect_call' THEN 'side_effects'
-  WHEN semantic_label IN ('state_update', 'value_assignment') THEN 'state_changes' WHEN semantic_label = 'result_exit' THEN 'result_path' ELSE 'logic_block' END"""
-LABELED = f"lab AS (SELECT *, {LABEL} AS semantic_label FROM m_nodes), blk AS (SELECT *, {BLOCK} AS block FROM lab)"
+BLOCK = """CASE WHEN node_label IN ('guard_clause', 'branch_decision') THEN 'decision_block' WHEN node_label = 'iteration' THEN 'iteration_block'
+  WHEN node_label IN ('error_recovery', 'risky_operation') THEN 'error_path' WHEN node_label = 'side_effect_call' THEN 'side_effects'
+  WHEN node_label IN ('state_update', 'value_assignment') THEN 'state_changes' WHEN node_label = 'result_exit' THEN 'result_path' ELSE 'logic_block' END"""
+LABELED = f"lab AS (SELECT *, {LABEL} AS node_label FROM m_nodes), blk AS (SELECT *, {BLOCK} AS block FROM lab)"
 CLUSTERS = f"""{LABELED},
 c1 AS (SELECT *, lag(block) OVER w AS pb, lag(end_line) OVER w AS pe FROM blk WINDOW w AS (PARTITION BY symbol_id ORDER BY {ORD})),
 c2 AS (SELECT *, sum(CASE WHEN pb = block AND start_line <= pe + 4 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol_id ORDER BY {ORD}) AS run FROM c1),

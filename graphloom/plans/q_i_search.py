@@ -34,7 +34,7 @@ def _(t):
 
 
 FUZZY = f"""fz AS (SELECT query, s.name, s.file, s.start_line, s.symbol_id, {SIM.format('query', 's.name')} AS score FROM {{0}} CROSS JOIN m_symbols s),
-fuzzy AS (SELECT * EXCLUDE (r), CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name, file, start_line, symbol_id) AS r FROM fz) WHERE r <= 8 AND score > 0)"""
+fuzzy AS (SELECT * EXCLUDE (r), CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name, file, start_line, symbol_id) AS r FROM fz) WHERE r <= 8)"""
 
 
 @query("f02_top_similar", f"""WITH q AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS query FROM part), {FUZZY.format('q')} SELECT query, score, name, file, start_line, symbol_id, rank FROM fuzzy""")
@@ -49,7 +49,7 @@ def _(t):
 
 
 @query("i04_term_search", """
-WITH n AS (SELECT name, count(*) AS copies, list_filter(list_transform(regexp_extract_all(name, '[\\p{L}\\p{N}]+'), lambda w: lower(w)), lambda w: length(w) <= 40) AS t FROM m_symbols GROUP BY 1),
+WITH n AS (SELECT name, count(*) AS copies, list_filter(list_transform(regexp_extract_all(name, '[\\p{L}\\p{N}]+'), lambda w: lower(w)), lambda w: strlen(w) < 40) AS t FROM m_symbols GROUP BY 1),
 st AS (SELECT CAST(sum(copies) AS DOUBLE) AS docs, CAST(sum(len(t) * copies) AS DOUBLE) / CAST(sum(copies) AS DOUBLE) AS avg FROM n),
 p AS (SELECT name, copies, len(t) AS len, term, count(*) AS tf FROM (SELECT name, copies, t, unnest(t) AS term FROM n) GROUP BY 1, 2, 3, 4),
 d AS (SELECT term, CAST(sum(copies) AS DOUBLE) AS df FROM p GROUP BY 1),
@@ -229,7 +229,7 @@ def _(t):
     return sm.symbol_briefs(t.symbols, t.calls)
 
 
-PROJECT = """cc AS (SELECT callee_symbol AS name, count(*) AS calls FROM m_calls WHERE file LIKE 'src/auth%test%' GROUP BY 1),
+PROJECT = """cc AS (SELECT callee_symbol AS name, count(*) AS calls FROM m_calls GROUP BY 1),
 sc AS (SELECT s.*, COALESCE(calls, 0) AS calls FROM m_symbols s LEFT JOIN cc USING (name)),
 rt AS (SELECT DISTINCT file FROM sc WHERE type <> 'import' AND calls = 0),
 nm AS (SELECT file, list(name ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY calls DESC, name, symbol_id) AS r FROM sc) WHERE r <= 6 GROUP BY 1),
@@ -245,23 +245,23 @@ pj AS (SELECT module, file, priority, objective, CASE WHEN objective = 'tests' T
 
 @query("i18_project_summary", f"WITH {PROJECT} SELECT * FROM pj")
 def _(t):
-    return sm.project_files(t.modules, t.symbols, t.calls.filter("file LIKE 'src/auth%test%'"))
+    return sm.project_files(t.modules, t.symbols, t.calls)
 
 
 @query("i18_project_summary_budget", f"WITH {PROJECT} SELECT * FROM pj ORDER BY priority, module, file LIMIT 58")
 def _(t):
-    return sm.project_files(t.modules, t.symbols, t.calls.filter("file LIKE 'src/auth%test%'"), 1000)
+    return sm.project_files(t.modules, t.symbols, t.calls, 1000)
 
 
 @query("i19_filtered_summary", f"""WITH {PROJECT}, {HOT}, rel AS (SELECT DISTINCT file FROM m_symbols WHERE name IN (SELECT name FROM hot))
 SELECT * FROM pj WHERE module IN (SELECT module FROM pj WHERE file IN (SELECT file FROM rel))""")
 def _(t):
     hot = sm.hot_callees(t.calls).select(F.col("callee_symbol").alias("name"))
-    files = sm.project_files(t.modules, t.symbols, t.calls.filter("file LIKE 'src/auth%test%'"))
+    files = sm.project_files(t.modules, t.symbols, t.calls)
     return sm.filter_summary(files, t.symbols.join(hot, "name", "left_semi"))
 
 
-ARCH = """en AS (SELECT DISTINCT module, name FROM m_symbols JOIN m_modules USING (file) WHERE type <> 'import' AND name NOT IN (SELECT callee_symbol FROM m_calls WHERE file LIKE 'src/auth%test%')),
+ARCH = """en AS (SELECT DISTINCT module, name FROM m_symbols JOIN m_modules USING (file) WHERE type <> 'import' AND name NOT IN (SELECT callee_symbol FROM m_calls)),
 ep AS (SELECT module, string_agg(name, ',' ORDER BY name) AS entry_points FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY name) AS r FROM en) WHERE r <= 4 GROUP BY 1),
 rm AS (SELECT module FROM (SELECT module, max(price) AS m FROM m_symbols JOIN m_modules USING (file) GROUP BY 1) ORDER BY m DESC, module LIMIT 3),
 b AS (SELECT module, min(module_path) AS path, count(*) AS files, max(regexp_matches(lower(file), 'test|spec')) AS tested FROM m_modules GROUP BY 1),
@@ -276,13 +276,13 @@ am AS (SELECT module, path, files, fan_out, entry_points, array_to_string(g, ','
 @query("i20_architecture_map", f"WITH {ARCH} SELECT * EXCLUDE (n), CASE importance WHEN 'high' THEN 300 WHEN 'medium' THEN 200 ELSE 100 END + 30 + n AS score FROM am")
 def _(t):
     recent = rk.recent_modules(t.symbols.join(t.modules, "file"), "module", F.col("price"))
-    return sm.architecture_map(t.modules, t.symbols, t.calls.filter("file LIKE 'src/auth%test%'"), t.module_edges, recent)
+    return sm.architecture_map(t.modules, t.symbols, t.calls, t.module_edges, recent)
 
 
 @query("i21_similar_errors", """
 WITH p AS (SELECT CAST(k * 10 + length(event_type) AS BIGINT) * 1000 + ascii(event_type) AS pattern_id, event_type AS kind, event_type || '#' || CAST(k AS STRING) AS hash, hits FROM (
-    SELECT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, count(*) AS hits FROM events GROUP BY 1, 2) WHERE k % 2 = 0),
-a AS (SELECT o_orderkey AS request_id, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END || '#' || CAST(o_custkey % 100 AS STRING) AS hash FROM orders),
+    SELECT event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k, count(*) AS hits FROM events GROUP BY 1, 2)),
+a AS (SELECT o_orderkey AS request_id, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END AS kind, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'click' ELSE 'view' END || '#' || CAST(o_custkey % 200 AS STRING) AS hash FROM orders),
 sl AS (SELECT p.pattern_id, CAST(e.user_id AS STRING) AS solution, CASE WHEN e.value > 40 THEN 'resolved' WHEN e.value > 15 THEN 'failed' ELSE 'partial' END AS outcome, CAST(floor(epoch_us(e.ts) / 1000) AS BIGINT) AS ts_ms
   FROM events e JOIN p ON p.hash = e.event_type || '#' || regexp_extract(props, '([0-9]+)', 1)),
 m AS (SELECT request_id, pattern_id, hits, 'hash' AS matched_by FROM a JOIN p USING (hash)),
@@ -294,10 +294,10 @@ SELECT request_id, pattern_id, hits, matched_by, rank, resolved_by, COALESCE(fai
 def _(t):
     k = F.regexp_extract("props", "([0-9]+)", 1)
     ev = t.events.withColumns({"k": k.cast("int"), "hash": F.concat_ws("#", "event_type", k)})
-    p = ev.filter("k % 2 = 0").groupBy(F.col("event_type").alias("kind"), "k", "hash").agg(F.count("*").alias("hits"))
+    p = ev.groupBy(F.col("event_type").alias("kind"), "k", "hash").agg(F.count("*").alias("hits"))
     p = p.withColumn("pattern_id", (F.col("k") * 10 + F.length("kind")).cast("bigint") * 1000 + F.ascii("kind"))
     kind = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "click").otherwise("view")
-    a = t.orders.select(F.col("o_orderkey").alias("request_id"), kind.alias("kind"), F.concat(kind, F.lit("#"), (F.col("o_custkey") % 100).cast("string")).alias("hash"))
+    a = t.orders.select(F.col("o_orderkey").alias("request_id"), kind.alias("kind"), F.concat(kind, F.lit("#"), (F.col("o_custkey") % 200).cast("string")).alias("hash"))
     sol = ev.join(p.select("hash", "pattern_id"), "hash").select(
         "pattern_id", F.col("user_id").cast("string").alias("solution"),
         F.when(F.col("value") > 40, "resolved").when(F.col("value") > 15, "failed").otherwise("partial").alias("outcome"),

@@ -62,6 +62,18 @@ def _(t):
     return table.run(stream, scratch_path(t.spark, "chk"), merge).drop("hash")
 
 
+@query("s04_recent_patterns", """SELECT operation AS kind, tool_name AS message, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, count(*) AS hits FROM m_telemetry GROUP BY 1, 2
+ORDER BY last_ms DESC LIMIT 3""")
+def _(t):
+    """The cap reached: the three most recent patterns over all kinds."""
+    stream = jobs.json_stream(t.spark, telemetry_log(t), schemas.TELEMETRY)
+    table = jobs.VersionedTable(t.spark, scratch_path(t.spark, "patterns"), PATTERN)
+    def merge(old, batch):
+        return jobs.capped_patterns(old, mt.pattern_rows(batch.select(F.col("operation").alias("kind"), F.col("tool_name").alias("message"), "ts_ms")), cap=3)
+
+    return table.run(stream, scratch_path(t.spark, "chk"), merge).drop("hash")
+
+
 REFS = """r AS (SELECT conv_id AS session_id, turn AS pos, CAST(length(text) % 5 AS STRING) AS ref, CAST(0 AS BIGINT) AS revision FROM {0})"""
 
 
@@ -95,11 +107,20 @@ def _(t):
     return mt.raw_expansion(rows, 4000, 120)
 
 
-@query("s06_raw_text_budget_stream")
+@query("s06_raw_text_budget_stream", """WITH RECURSIVE o AS (SELECT conv_id AS session_id, turn AS pos, CAST(length(text) % 7 AS STRING) AS span, CAST(length(text) AS BIGINT) AS chars, turn >= 3 AS rev,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+w AS (SELECT session_id, n, pos, span, rev, CASE WHEN chars <= 4000 THEN 'kept' ELSE 'budget_exhausted' END AS outcome, CASE WHEN chars <= 4000 THEN chars ELSE 0 END AS used,
+    CASE WHEN chars <= 4000 THEN [span] ELSE list_value(span)[2:] END AS known FROM o WHERE n = 1
+  UNION ALL SELECT session_id, n, pos, span, rev, CASE WHEN seen THEN 'already_in_context' WHEN base + chars <= 4000 THEN 'kept' ELSE 'budget_exhausted' END,
+    CASE WHEN seen OR base + chars > 4000 THEN base ELSE base + chars END, CASE WHEN seen OR base + chars > 4000 THEN old ELSE list_append(old, span) END
+  FROM (SELECT o.*, CASE WHEN o.rev = w.rev THEN w.used ELSE 0 END AS base, CASE WHEN o.rev = w.rev THEN w.known ELSE w.known[1:0] END AS old,
+      o.rev = w.rev AND list_contains(w.known, o.span) AS seen FROM w JOIN o ON o.session_id = w.session_id AND o.n = w.n + 1))
+SELECT session_id, pos, span, outcome FROM w""")
 def _(t):
     src, out = scratch_path(t.spark, "spans"), scratch_path(t.spark, "raw")
-    t.conversations.selectExpr("conv_id AS session_id", "turn AS pos", "CAST(length(text) % 7 AS STRING) AS span", "CAST(length(text) AS BIGINT) AS chars").write.parquet(src)
-    stream = state.limit_raw_text(jobs.parquet_stream(t.spark, src, "session_id BIGINT, pos BIGINT, span STRING, chars BIGINT"))
+    t.conversations.selectExpr("conv_id AS session_id", "turn AS pos", "CAST(length(text) % 7 AS STRING) AS span", "CAST(length(text) AS BIGINT) AS chars",
+                               "CAST(turn >= 3 AS BIGINT) AS revision").write.parquet(src)
+    stream = state.limit_raw_text(jobs.parquet_stream(t.spark, src, "session_id BIGINT, pos BIGINT, span STRING, chars BIGINT, revision BIGINT"))
     jobs.drain(jobs.append_table(stream, out, scratch_path(t.spark, "chk")))
     return t.spark.read.schema("session_id BIGINT, pos BIGINT, span STRING, outcome STRING").parquet(out)
 
@@ -122,14 +143,14 @@ def _(t):
 
 @query("s08_session_windows", """
 WITH f AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 3600000000 THEN 0 ELSE 1 END AS s FROM events),
-g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM f), k AS (SELECT user_id, sid, count(*) AS events, max(epoch_us(ts)) AS last FROM g GROUP BY 1, 2)
-SELECT user_id, events FROM k WHERE last + 3600000000 <= (SELECT max(epoch_us(ts)) - 7200000000 FROM events)""")
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM f), k AS (SELECT user_id, sid, count(*) AS events FROM g GROUP BY 1, 2)
+SELECT user_id, events FROM k""")
 def _(t):
     src, out = scratch_path(t.spark, "activity"), scratch_path(t.spark, "sessions")
     t.events.select("user_id", F.col("ts").cast("timestamp").alias("event_time")).write.parquet(src)
     stream = jobs.streamed_sessions(jobs.parquet_stream(t.spark, src, "user_id BIGINT, event_time TIMESTAMP"))
-    jobs.drain(jobs.append_table(stream.select("user_id", "events"), out, scratch_path(t.spark, "chk")))
-    return t.spark.read.schema("user_id BIGINT, events BIGINT").parquet(out)
+    jobs.drain(jobs.replace_table(stream.select("user_id", "events"), out, scratch_path(t.spark, "chk")))
+    return t.spark.read.parquet(out)
 
 
 @query("s09_latency_ring", """SELECT operation, latency_ms, ts_ms, event_id FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY ts_ms DESC, event_id DESC) AS r FROM m_telemetry) WHERE r <= 256""")

@@ -62,15 +62,15 @@ def read_json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_log(spark, path, schemas.PATCHES).orderBy("ts_ms", "patch_id")
+    return read_json_log(spark, path, schemas.PATCHES)
 
 
 def read_knowledge(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_log(spark, path, schemas.KNOWLEDGE).orderBy("ts_ms")
+    return read_json_log(spark, path, schemas.KNOWLEDGE)
 
 
 def read_deployments(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_log(spark, path, schemas.DEPLOYMENTS).orderBy("ts_ms", "version")
+    return read_json_log(spark, path, schemas.DEPLOYMENTS)
 
 
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +81,3 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     number = lambda i, t: F.coalesce(F.col("p")[i].try_cast(t), F.lit(0).cast(t))
     return rows.select(number(0, "bigint").alias("timestamp"), F.col("p")[1].alias("provider"), F.col("p")[2].alias("symbol"),
                        number(3, "bigint").alias("tokens_without"), number(4, "bigint").alias("tokens_with"), number(5, "double").alias("savings_pct"))
-
-
-def language_of_files(files: DataFrame) -> DataFrame:
-    return files.withColumn("language", language(F.col("path")))

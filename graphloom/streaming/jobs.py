@@ -15,6 +15,7 @@ from ..operators.events import effective_tokens
 from ..operators.maintenance import upsert_counters
 from ..operators.outcomes import share, success_flag
 from ..operators.scale import top_n
+from ..session import discard
 
 
 def json_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,29 +51,42 @@ def replace_table(df: DataFrame, out: str, checkpoint: str, mode: str = "complet
 
 
 class VersionedTable:
-    """A table rewritten batch by batch: each version is a new folder, so replays are idempotent."""
+    """A table rewritten batch by batch: each version is a new folder, so replays are idempotent.
+
+    The store itself knows the last committed version, so a restarted job goes on where it stopped, and a
+    replayed batch finds the version before it; older versions are deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema = spark, root, schema
 
-    def read(self, version: int) -> DataFrame:
+    def latest(self) -> int:
+        """Last committed version, -1 for none."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(place):
+            return -1
+        done = [f.getPath() for f in store.listStatus(place)]
+        done = [int(p.getName()[1:]) for p in done if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return max(done, default=-1)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.latest() if version is None else version
         if version < 0:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.parquet(f"{self.root}/v{version}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
+        discard(self.spark, f"{self.root}/v{version - 2}")
 
     def run(self, stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
         """Merge every batch into the table and return its last version."""
-        last = {"version": -1}
-
         def step(batch: DataFrame, batch_id: int) -> None:
             self.write(merge(self.read(batch_id - 1), batch), batch_id)
-            last["version"] = batch_id
 
         drain(stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start())
-        return self.read(last["version"])
+        return self.read()
 
 
 def distinct_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -99,8 +113,8 @@ def live_files(table: DataFrame) -> DataFrame:
 
 
 def capped_patterns(table: DataFrame, batch: DataFrame, cap: int = 500) -> DataFrame:
-    """Merge error counters and keep the most recent patterns of each kind."""
-    return top_n(upsert_counters(table, batch), ["kind"], [F.desc("last_ms"), F.col("hash")], cap)
+    """Merge error counters and keep the most recent patterns over all kinds."""
+    return upsert_counters(table, batch).orderBy(F.desc("last_ms"), F.col("hash")).limit(cap)
 
 
 def patch_success(stream: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def ring_buffer(table: DataFrame, batch: DataFrame, keep: int = 256) -> DataFram
 
 
 def streamed_sessions(stream: DataFrame, gap: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Sessions per user, emitted once the watermark has passed them."""
+    """Sessions per user. Appended once the watermark has passed them, or all of them, open ones too, in complete mode."""
     return (stream.withWatermark("event_time", delay).groupBy("user_id", F.session_window("event_time", gap).alias("w"))
             .agg(F.count("*").alias("events"), F.min("event_time").alias("first"), F.max("event_time").alias("last")))
 

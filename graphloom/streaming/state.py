@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,34 +11,45 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Session limits.
 MAX_REFS, MAX_SPANS, TTL_SECONDS = 200, 256, 3600
+CHUNK = 10_000  # rows handed on at a time
 RAW_BUDGETS = {"tight": 1500, "balanced": 4000, "wide": 12000}
 
 
 class RefMemory:
-    """References already sent, oldest forgotten first."""
+    """References already sent, oldest forgotten first; a new revision starts over."""
 
-    def __init__(self, revision: int = -1, order: list[str] | None = None, cap: int = MAX_REFS):
+    def __init__(self, revision: int = -1, order: Iterable[str] = (), cap: int = MAX_REFS):
         self.revision, self.cap = revision, cap
-        self.order = list(order or [])
+        self.order = deque(order)
         self.known = set(self.order)
 
     def accept(self, ref: str, revision: int) -> bool:
         """True when the reference is new to the session."""
         if revision != self.revision:
-            self.revision, self.order, self.known = revision, [], set()
+            self.revision, self.order, self.known = revision, deque(), set()
         if ref in self.known:
             return False
         self.order.append(ref)
         self.known.add(ref)
         while len(self.order) > self.cap:
-            self.known.discard(self.order.pop(0))
+            self.known.discard(self.order.popleft())
         return True
 
 
+def in_order(chunks: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A session's rows of one micro-batch in order of position, whatever chunks they came in.
+
+    How many rows a micro-batch brings is set at the source (files per batch).
+    """
+    rows = pd.concat(list(chunks), ignore_index=True).sort_values("pos", kind="stable")
+    for at in range(0, len(rows), CHUNK):
+        yield rows.iloc[at:at + CHUNK]
+
+
 def suppress_sent(live: bool):
     """State function that marks each reference of a session as fresh or already sent.
 
-    Chunks pass through one by one. ``live`` sessions are forgotten after an hour of silence.
+    ``live`` sessions are forgotten after an hour of silence.
     """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -45,11 +57,10 @@ def suppress_sent(live: bool):
             state.remove()
             return
         memory = RefMemory(*state.get) if state.exists else RefMemory()
-        for chunk in chunks:
-            chunk = chunk.sort_values("pos")
+        for chunk in in_order(chunks):
             fresh = [memory.accept(r, v) for r, v in zip(chunk["ref"], chunk["revision"])]
             yield pd.DataFrame({"session_id": chunk["session_id"], "pos": chunk["pos"], "ref": chunk["ref"], "fresh": fresh})
-        state.update((memory.revision, memory.order))
+        state.update((memory.revision, list(memory.order)))
         if live:
             state.setTimeoutDuration(TTL_SECONDS * 1000)
 
@@ -69,14 +80,16 @@ def reuse_context(stream: DataFrame, live: bool = False) -> DataFrame:
 
 
 class RawBudget:
-    """Raw text already shown in a session; a span that does not fit is skipped."""
+    """Raw text already shown in a session; a span that does not fit is skipped, a new revision starts over."""
 
-    def __init__(self, used: int = 0, order: list[str] | None = None, budget: int = RAW_BUDGETS["balanced"], cap: int = MAX_SPANS):
-        self.used, self.budget, self.cap = used, budget, cap
-        self.order = list(order or [])
+    def __init__(self, revision: int = -1, used: int = 0, order: Iterable[str] = (), budget: int = RAW_BUDGETS["balanced"], cap: int = MAX_SPANS):
+        self.revision, self.used, self.budget, self.cap = revision, used, budget, cap
+        self.order = deque(order)
         self.known = set(self.order)
 
-    def request(self, span: str, chars: int) -> str:
+    def request(self, span: str, chars: int, revision: int = -1) -> str:
+        if revision != self.revision:
+            self.revision, self.used, self.order, self.known = revision, 0, deque(), set()
         if span in self.known:
             return "already_in_context"
         if self.used + chars > self.budget:
@@ -85,7 +98,7 @@ class RawBudget:
         self.order.append(span)
         self.known.add(span)
         while len(self.order) > self.cap:
-            self.known.discard(self.order.pop(0))
+            self.known.discard(self.order.popleft())
         return "kept"
 
 
@@ -96,13 +109,11 @@ def control_raw(budget: int = RAW_BUDGETS["balanced"], live: bool = False):
         if state.hasTimedOut:
             state.remove()
             return
-        used, order = state.get if state.exists else (0, [])
-        session = RawBudget(used, order, budget)
-        for chunk in chunks:
-            chunk = chunk.sort_values("pos")
-            outcome = [session.request(s, int(c)) for s, c in zip(chunk["span"], chunk["chars"])]
+        session = RawBudget(*(state.get if state.exists else (-1, 0, [])), budget)
+        for chunk in in_order(chunks):
+            outcome = [session.request(s, int(c), int(v)) for s, c, v in zip(chunk["span"], chunk["chars"], chunk["revision"])]
             yield pd.DataFrame({"session_id": chunk["session_id"], "pos": chunk["pos"], "span": chunk["span"], "outcome": outcome})
-        state.update((session.used, session.order))
+        state.update((session.revision, session.used, list(session.order)))
         if live:
             state.setTimeoutDuration(TTL_SECONDS * 1000)
 
@@ -110,7 +121,7 @@ def control_raw(budget: int = RAW_BUDGETS["balanced"], live: bool = False):
 
 
 def limit_raw_text(stream: DataFrame, budget: int = RAW_BUDGETS["balanced"], live: bool = False) -> DataFrame:
-    """Streaming raw text budget over (session_id, pos, span, chars)."""
+    """Streaming raw text budget over (session_id, pos, span, chars, revision)."""
     return stream.groupBy("session_id").applyInPandasWithState(
-        control_raw(budget, live), "session_id bigint, pos bigint, span string, outcome string", "used bigint, spans array<string>",
+        control_raw(budget, live), "session_id bigint, pos bigint, span string, outcome string", "revision bigint, used bigint, spans array<string>",
         "append", _timeout(live))

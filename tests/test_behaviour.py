@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import classify as cl, code, paths, text as tx
 from graphloom.operators import callgraph as cg, events as ev, flow, graph as gr, health as hl, lookups as lk, maintenance as mt, outcomes as oc, search as se
 from graphloom.sources import readers as rd
-from graphloom.streaming import state
+from graphloom.streaming import jobs, state
 
 
 def one(spark, expr, **cols):
@@ -191,7 +191,7 @@ def test_markdown_sections(spark):
 
 def test_tolerant_readers(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"ts_ms": 2, "title": "b"}\n\nnot json\n{"ts_ms": 1, "title": "a"}\n')
-    assert [r["title"] for r in rd.read_knowledge(spark, str(tmp_path / "log.jsonl")).collect()] == ["a", "b"]
+    assert sorted(r["title"] for r in rd.read_knowledge(spark, str(tmp_path / "log.jsonl")).collect()) == ["a", "b"]
     (tmp_path / "ab.csv").write_text("timestamp,provider,symbol,tokens_without,tokens_with,savings_pct\n1,p,s,10,x,2.5\n1,p\n")
     assert rows(rd.read_experiments(spark, str(tmp_path / "ab.csv"))) == [(1, "p", "s", 10, 0, 2.5)]
 
@@ -210,8 +210,65 @@ def test_session_memory_and_raw_budget():
     memory = state.RefMemory(cap=2)
     assert [memory.accept(r, 0) for r in ("a", "b", "a", "c", "a")] == [True, True, False, True, True]
     assert memory.accept("a", 1)
+    memory = state.RefMemory()
+    assert all(memory.accept(str(i), 0) for i in range(state.MAX_REFS + 1))
+    assert not memory.accept("1", 0) and memory.accept("0", 0)  # only the oldest was forgotten
     raw = state.RawBudget(budget=100)
     assert [raw.request(s, n) for s, n in (("x", 60), ("y", 50), ("x", 60), ("z", 40), ("w", 1))] == ["kept", "budget_exhausted", "already_in_context", "kept", "budget_exhausted"]
+    assert raw.request("x", 60, 7) == "kept"  # a new revision starts over, budget included
+    many = state.RawBudget(budget=10_000)
+    assert [many.request(str(i), 1) for i in range(state.MAX_SPANS + 1)] == ["kept"] * (state.MAX_SPANS + 1)
+    assert many.request("0", 1) == "kept" and many.request("2", 1) == "already_in_context"
+
+
+def test_session_rows_are_ordered_across_chunks():
+    import pandas as pd
+
+    chunks = [pd.DataFrame({"pos": [9, 7], "ref": ["a", "b"]}), pd.DataFrame({"pos": [2, 8], "ref": ["a", "c"]})]
+    assert [p for c in state.in_order(chunks) for p in c["pos"]] == [2, 7, 8, 9]
+
+
+def test_versioned_table_goes_on_after_a_restart(spark, tmp_path):
+    feed, root, chk = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "chk")
+    merge = lambda old, batch: old.unionByName(batch)
+
+    def replay():
+        return jobs.VersionedTable(spark, root, "k int").run(jobs.parquet_stream(spark, feed, "k int"), chk, merge)
+
+    spark.createDataFrame([(1,)], "k int").write.parquet(feed)
+    assert rows(replay()) == [(1,)]
+    assert rows(replay()) == [(1,)]  # nothing new, nothing lost
+    for k in (2, 3):
+        spark.createDataFrame([(k,)], "k int").write.mode("append").parquet(feed)
+        replay()
+    assert rows(replay()) == [(1,), (2,), (3,)]
+    assert not (tmp_path / "table" / "v0").exists()
+
+
+def test_patterns_are_capped_over_all_kinds(spark):
+    cols = "hash bigint, kind string, message string, first_ms bigint, last_ms bigint, hits bigint"
+    batch = spark.createDataFrame([(i, f"k{i % 3}", "m", i, i, 1) for i in range(6)], cols)
+    assert [r[0] for r in rows(jobs.capped_patterns(spark.createDataFrame([], cols), batch, cap=2).select("hash"))] == [4, 5]
+
+
+def test_weighted_intents(spark):
+    cases = [("fix fetchData null error", "debug"), ("refactor fetchData for reuse", "refactor"), ("add retry handling to fetchData", "implement"),
+             ("explain fetchData", "understand"), ("diagnose root cause for fetchData crash", "debug"), ("how does fetchData retry work", "understand"),
+             ("explain why fetchData fails and add retry support", "debug"), ("diagnose and rewrite processJob auth failure", "debug"),
+             ("why errors happen", "debug"), ("nothing known", "understand")]
+    df = spark.createDataFrame(cases, "text string, want string")
+    assert df.filter(cl.weighted_intent(F.col("text")) != F.col("want")).collect() == []
+
+
+def test_reachability_and_levels_have_no_hop_limit(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    assert gr.reachable(chain, spark.createDataFrame([(0, 0)], "seed int, node int")).count() == 12
+
+
+def test_similar_names_fill_up_with_unlike_ones(spark):
+    symbols = spark.createDataFrame([(1, "abcd", "f", 1), (2, "zzzz", "f", 2), (3, "abce", "g", 3)], "symbol_id bigint, name string, file string, start_line int")
+    got = rows(se.fuzzy_top_k(spark.createDataFrame([("abcd",)], "query string"), symbols, 3).select("rank", "name", "score"))
+    assert got == [(1, "abcd", 1.0), (2, "abce", 0.75), (3, "zzzz", 0.0)]
 
 
 def test_completion_alone_counts_nothing(spark):

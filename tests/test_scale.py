@@ -109,3 +109,7 @@ def test_intervals(spark):
 def test_budget_keeps_the_prefix(spark):
     df = spark.createDataFrame([(1, 2, 67), (1, 0, 14)], "r int, priority int, cost int")
     assert rows(iv.within_budget(df, ["r"], [F.col("priority")], "cost", 15).select("priority")) == [(0,)]
+    free = spark.createDataFrame([(1, p, c) for p, c in enumerate([0, 5, 0, 0, 5, 0, 9, 0])] + [(2, p, 0) for p in range(40)], "r int, priority int, cost int")
+    got = rows(iv.within_budget(free, ["r"], [F.col("priority")], "cost", 10).select("r", "priority", "used"))
+    assert [g for g in got if g[0] == 1] == [(1, 0, 0), (1, 1, 5), (1, 2, 5), (1, 3, 5), (1, 4, 10), (1, 5, 10)]
+    assert len([g for g in got if g[0] == 2]) == 40

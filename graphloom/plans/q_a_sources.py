@@ -6,7 +6,7 @@ from .registry import query
 from ..functions.code import lines_of
 from ..functions.text import content_hash
 from ..operators import events as ev, maintenance as mt
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import readers as rd, writers as wr
 
 
@@ -79,8 +79,12 @@ def _(t):
     changes = mt.classify_changes(old, cur)
     touched = changes.filter("change <> 'unchanged'")
     fresh = cur.join(touched.filter("change <> 'deleted'"), "path", "left_semi")
-    merged = mt.replace_by_key(line_counts(old), touched, line_counts(fresh), "path")
     target = scratch_path(t.spark, "index")
+    wr.overwrite_buckets(line_counts(old), target, buckets=8)
+    # Second run over the same table: only buckets with a changed path are read, merged and replaced in place.
+    hit = touched.select(wr.file_bucket(F.col("path"), 8).alias("bucket")).distinct()
+    before = t.spark.read.parquet(target).join(hit, "bucket", "left_semi").drop("bucket")
+    merged = cut_lineage(mt.replace_by_key(before, touched, line_counts(fresh), "path"))
     wr.overwrite_buckets(merged, target, buckets=8)
     return t.spark.read.parquet(target).drop("bucket")
 
@@ -143,10 +147,13 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "experiments")
     s = lambda c: F.col(c).cast("string")
-    full = F.concat_ws(",", s("o_orderkey"), "o_orderpriority", F.concat(F.lit("s"), s("o_custkey")), F.when(F.col("o_orderstatus") == "O", "n/a").otherwise(s("o_custkey")),
-                       (F.col("o_orderkey") + 1).cast("string"), (F.col("o_custkey") / 4).cast("string"))
-    line = F.when(F.col("o_orderpriority") == "5-LOW", F.concat_ws(",", s("o_orderkey"), "o_orderpriority")).otherwise(full)
-    t.orders.select(line.alias("value")).write.text(path)
+    full = t.orders.filter("o_orderpriority <> '5-LOW'").select(
+        F.col("o_orderkey").alias("timestamp"), F.col("o_orderpriority").alias("provider"), F.concat(F.lit("s"), s("o_custkey")).alias("symbol"),
+        F.when(F.col("o_orderstatus") == "O", "n/a").otherwise(s("o_custkey")).alias("tokens_without"),
+        (F.col("o_orderkey") + 1).alias("tokens_with"), (F.col("o_custkey") / 4).alias("savings_pct"))
+    for part in (full.filter("timestamp % 3 = 0"), full.filter("timestamp % 3 <> 0")):  # two appends, each with its header
+        wr.append_csv(part, path)
+    t.orders.filter("o_orderpriority = '5-LOW'").select(F.concat_ws(",", s("o_orderkey"), "o_orderpriority").alias("value")).write.mode("append").text(path)
     return rd.read_experiments(t.spark, path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.paths import LANGUAGES, is_excluded, language
+from ..functions.paths import LANGUAGES, is_excluded
 from ..operators.scale import ancestors
 
 

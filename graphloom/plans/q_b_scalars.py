@@ -111,11 +111,15 @@ def _(t):
     return t.events.select("event_id", tx.normalise_error(F.expr(MESSAGE)).alias("pattern"))
 
 
-@query("b14_redaction")
+@query("b14_redaction", """SELECT page_id, 'path:' || substr(sha256(url), 1, 16) AS page_path, CASE WHEN length(html) <= 120 THEN html ELSE substr(html, 1, 120) || '...' END AS content,
+  'path:' || substr(sha256(url), 1, 16) AS file, CAST(page_id AS BIGINT) AS n, FALSE AS secret_left FROM pages""")
 def _(t):
     raw = F.to_json(F.struct(F.col("url").alias("page_path"), F.lit("secret").alias("api_key"), F.substring("html", 1, 2**30).alias("content"),
                              F.struct(F.col("url").alias("file"), F.col("page_id").alias("n")).alias("nested")))
-    return t.pages.select("page_id", tx.redact_json("balanced")(raw).alias("redacted"))
+    done = t.pages.select("page_id", tx.redact_json("balanced")(raw).alias("redacted"))
+    get = lambda path: F.get_json_object("redacted", path)
+    return done.select("page_id", get("$.page_path").alias("page_path"), get("$.content").alias("content"), get("$.nested.file").alias("file"),
+                       get("$.nested.n").cast("bigint").alias("n"), F.contains("redacted", F.lit("api_key")).alias("secret_left"))
 
 
 @query("b15_content_hash", """SELECT copies, count(*) AS hashes FROM (SELECT count(*) AS copies FROM documents GROUP BY text) GROUP BY 1""")
@@ -259,12 +263,14 @@ ns AS (SELECT *, sum(is_head) OVER (PARTITION BY path ORDER BY line) AS sec FROM
 sec AS (SELECT path, sec, arg_min(regexp_replace(regexp_replace(x, '^#+', ''), '^\s+|\s+$', '', 'g'), line) AS heading,
   COALESCE(arg_min(CASE WHEN is_head = 0 AND regexp_replace(x, '\s', '', 'g') <> '' AND NOT regexp_matches(x, '^\s*[-*]') THEN regexp_replace(x, '^\s+|\s+$', '', 'g') END,
     CASE WHEN is_head = 0 AND regexp_replace(x, '\s', '', 'g') <> '' AND NOT regexp_matches(x, '^\s*[-*]') THEN line END), 'Section reference.') AS objective,
+  COALESCE(array_to_string(list_slice(list(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^-+', ''), '^\*+', ''), '^\s+|\s+$', '', 'g') ORDER BY line)
+    FILTER (WHERE is_head = 0 AND regexp_replace(x, '\s', '', 'g') <> ''), 1, 4), '|'), '') AS key_references,
   CAST(min(line) AS INT) AS start_line, CAST(max(line) AS INT) AS end_line FROM ns WHERE sec > 0 GROUP BY 1, 2)"""
 
 
-@query("b30_markdown_sections", f"WITH {SECTIONS} SELECT path, heading, objective, start_line, end_line FROM sec WHERE heading <> ''")
+@query("b30_markdown_sections", f"WITH {SECTIONS} SELECT path, heading, objective, key_references, start_line, end_line FROM sec WHERE heading <> ''")
 def _(t):
-    return code.markdown_sections(t.notes).drop("key_references")
+    return code.markdown_sections(t.notes).withColumn("key_references", F.array_join("key_references", "|"))
 
 
 @query("b31_section_lookup", f"""WITH {SECTIONS} SELECT path, heading, start_line FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY contains(lower(heading), 'es') DESC, start_line) AS r

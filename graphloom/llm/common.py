@@ -23,6 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns renamed by position, so that none clashes with a working column, and the new names of ``names``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by ``stored`` once everything that reads it has itself been stored."""
     files = df.inputFiles()

@@ -11,8 +11,8 @@ more empty segments keeps them all. Which segments get 1 and which 2 is a matter
 against chance collisions, and is decided per band from the number of documents. A set takes part in its
 own band and, if it can be the larger partner, in the band below.
 
-Signatures with at least two different sets give candidates. They are not expanded to all pairs: two
-rounds link each set to one pivot, an exact check decides, and components contract what is linked. Only
+Signatures with at least two different sets give candidates. They are not expanded to all pairs: in
+rounds each set meets one pivot, an exact check decides, and components contract what is linked. Only
 sets of different components that still share a signature are then compared, behind a size bound and a
 parity sketch that bounds the difference from below, and checked exactly. A signature shared by very many
 sets is dealt over blocks.
@@ -26,15 +26,16 @@ an id that repeats stands for one document; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import possible, stored, without
+from .common import drop_stored, numbered, possible, stored, without
 from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,12 +67,16 @@ def shingles(raw: bytes | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(WORDS.__getitem__, words), np.int64, n).view(np.uint64)
-    width = min(size, n)
+    return np.unique(window_hashes(np.fromiter(map(WORDS.__getitem__, words), np.int64, n).view(np.uint64), size))
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive words from the words' hashes; fewer words are one window."""
+    n, width = len(h), min(size, len(h))
     out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
         out = mix(out * C3 + h[k:n - width + 1 + k])
-    return np.unique(out)
+    return out
 
 
 @lru_cache(maxsize=None)
@@ -95,13 +100,17 @@ def allocation(percent: int, low: int, high: int, n_docs: int) -> tuple[int, int
     need = high * (100 - percent) // percent + 1
     best = None
     for twos in sorted({0, *(need * k // 8 for k in range(1, 4)), (need + 1) // 2}):
-        ones = max(0, need - 2 * twos)
-        empty = ones * np.exp(-low / (ones + twos))
-        spare = int(np.ceil(empty + 3 * np.sqrt(empty))) if ones else 0
-        ones += spare
+        exact, spare, mean = max(0, need - 2 * twos), 0, 0.0
+        while exact:  # spare segments may be empty themselves
+            parts = exact + spare + twos
+            mean = (exact + spare) * np.exp(-low / parts)
+            enough = int(np.ceil(mean + 3.5 * np.sqrt(mean)))
+            if enough <= spare or spare > need:
+                break
+            spare = max(enough, spare + 1)
+        ones = exact + spare
         parts = ones + twos
-        mean = ones * np.exp(-low / parts)
-        term, within = np.exp(-mean), np.exp(-mean)
+        term = within = np.exp(-mean)
         for k in range(1, spare + 1):
             term *= mean / k
             within += term
@@ -170,17 +179,18 @@ def _packed(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int | None = None, n_docs: int = 0) -> DataFrame:
-    """(key, n, node, node2): set size and 128-bit identity of every document; given ``percent``, with its signatures."""
+    """(key, n, node, node2, sketch): set size, 128-bit identity and parity sketch of every document; given
+    ``percent``, with its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, text, size):
-            cols = [_column(batch, key), pa.array([len(s) for s in sets], pa.int64()), *_identity(sets)]
+            cols = [_column(batch, key), pa.array([len(s) for s in sets], pa.int64()), *_identity(sets), _packed([parity_sketch(s) for s in sets])]
             if percent:
                 cols.append(_packed([signatures(s, percent, n_docs) if len(s) else s for s in sets]))
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "node", "node2", "sigs"][:len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "node", "node2", "sketch", "sigs"][:len(cols)])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long" + ", sigs array<long>" * bool(percent))
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long, sketch array<long>" + ", sigs array<long>" * bool(percent))
 
 
 def signature_rows(docs: DataFrame, text: str, size: int, percent: int, n_docs: int) -> DataFrame:
@@ -197,71 +207,83 @@ def signature_rows(docs: DataFrame, text: str, size: int, percent: int, n_docs:
     return docs.select(text).mapInArrow(run, "node long, sig long")
 
 
-def _element_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(node, n, sketch, elements) of the given documents."""
+def _element_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """(node, elements) of the given documents; one whose set is not the node's (an id taken twice) is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                sets = [shingles(raw, size) for raw in _column(batch, text).cast(pa.binary()).to_pylist()]
-                sketches = np.concatenate([parity_sketch(s) for s in sets]) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [_column(batch, "node"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 8), pa.array(sketches)),
-                     _packed(sets)],
-                    names=["node", "n", "sketch", "elements"])
-
-    return docs.select("node", text).mapInArrow(run, "node long, n long, sketch array<long>, elements array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs of nodes that really reach the similarity."""
+        for batch, sets in _sets(batches, text, size):
+            node = _column(batch, "node")
+            same = pa.compute.equal(_identity(sets)[0], node)
+            yield pa.RecordBatch.from_arrays([node, _packed(sets)], names=["node", "elements"]).filter(same)
+
+    return docs.select("node", text).mapInArrow(run, "node long, elements array<long>")
+
+
+def verified(pairs: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The (a, b) pairs of nodes that really reach the similarity; ``elements`` gets the sets of some nodes."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(elements(nodes), "elements")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    shared = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("i"), F.size("ea").alias("na"), F.size("eb").alias("nb")).filter(
-        F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("i"), F.size("ea").alias("na"), F.size("eb").alias("nb"))
+    found = stored(rows.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "links")
+    drop_stored(sets)
+    return found
+
+
+def _may_link(percent: int) -> Column:
+    """Whether sets a and b can be linked by their sizes and sketches."""
+    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(8)), F.lit(0))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s) for every linked pair
+    return (small * 100 >= large * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 5,
+                block: int = 2048) -> DataFrame:
+    """(node, root) of all sets with a link, from the shared signatures ``members`` (sig, node) and the size and
+    sketch of each set in ``info`` (node, n, sketch).
+
+    Pivots change from round to round until a round links hardly anything new, at most ``rounds`` times;
+    however many rounds there are, the comparison after them is complete.
+    """
+    links, label, tested, first = None, None, None, 0
+    full = stored(members.join(info, "node"), "described")
+    columns = ("node", "n", "sketch")
 
+    def labelled() -> DataFrame:
+        if label is None:
+            return full.withColumn("comp", F.col("node"))
+        return full.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
-def linked_sets(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 2, block: int = 2048) -> DataFrame:
-    """(node, root) of all sets with a link, from the shared signatures ``members`` (sig, node)."""
-    links, label, tested = None, None, None
-    info = sets.select("node", "n", "sketch")
     for turn in range(rounds):
-        now = members
-        if label is not None:
-            now = members.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        else:
-            now = now.withColumn("comp", F.col("node"))
-        order = F.xxhash64("node", F.lit(turn))
-        pivots = now.groupBy("sig").agg(F.min_by("node", order).alias("pivot"), F.min_by("comp", order).alias("pcomp"),
-                                        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        pairs = now.join(pivots, "sig").filter("comp <> pcomp").groupBy(F.col("node").alias("b")).agg(
-            F.min_by("pivot", F.xxhash64("pivot", F.lit(turn))).alias("a"))
+        now, order = labelled(), F.xxhash64("node", F.lit(turn))
+        pivots = now.groupBy("sig").agg(F.min_by(F.struct(*columns, "comp"), order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        pivots = pivots.select("sig", F.col("p.comp").alias("pcomp"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in columns])
+        pairs = now.join(pivots, "sig").filter("comp <> pcomp").withColumnsRenamed({c: f"{c}_b" for c in columns})
+        pairs = pairs.filter(_may_link(percent)).groupBy(F.col("node_b").alias("b")).agg(F.min_by("node_a", F.xxhash64("node_a", F.lit(turn))).alias("a"))
         pairs = stored(pairs.select("a", "b"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(_verified(pairs, sets, percent), "links")
+        found = verified(pairs, elements, percent)
         links = found if links is None else links.unionByName(found)
-        label = components(links)
+        n_found = found.count()
+        if not turn or n_found:
+            label = components(links)
+        first = first or n_found
+        if 20 * n_found <= first:
+            break
     # What still lies in different components is compared in full, but only pairs that may link become rows.
-    now = members.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root").join(info, "node")
+    now = labelled()
     open_sigs = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     now = now.join(open_sigs.select("sig", F.ceil(F.col("size") / block).alias("blocks")), "sig")
-    left = now.select("sig", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "sketch")])
-    right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                       *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "sketch")])
-    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(8)), F.lit(0))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    # |A xor B| <= (|A| + |B|) (1 - s) / (1 + s) for every linked pair
-    may = ((F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (small * 100 >= large * percent)
-           & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)))
-    rest = left.join(right, ["sig", "block"]).filter(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    left = now.select("sig", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *[F.col(c).alias(f"{c}_a") for c in (*columns, "comp")])
+    right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in (*columns, "comp")])
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
+    rest = left.join(right, ["sig", "block"]).filter(apart & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(old, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return label
-    return components(links.unionByName(_verified(rest, sets, percent)))
+    drop_stored(full)
+    return label if rest.isEmpty() else components(links.unionByName(verified(rest, elements, percent)))
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
@@ -289,11 +311,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = full.groupBy("node").agg(F.min(key).alias("rep"))
     members = shared_signatures(full.select("node", F.explode("sigs").alias("sig")) if keep_signatures
                                 else signature_rows(docs, text, size, percent, n_docs))
-    wanted = members.select("node").distinct().join(nodes, "node")
-    texts = possible(docs.select(key, text), key, wanted.select(F.col("rep").alias(key))).join(
-        wanted.withColumnRenamed("rep", key), key).dropDuplicates(["node"])
-    sets = stored(_element_sets(texts, key, text, size), "elements")
-    label = linked_sets(members, sets, percent)
+    info = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+    def elements(some: DataFrame) -> DataFrame:
+        """Sets of some nodes, each from one document; only texts that may be wanted are shuffled."""
+        wanted = stored(some.join(nodes, "node"), "wanted").withColumnRenamed("rep", key)
+        texts = possible(docs.select(key, text), key, wanted).join(wanted, key)
+        return _element_sets(texts, text, size).dropDuplicates(["node"])
+
+    label = linked_sets(members, info, elements, percent)
     named = nodes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(least, "root").select("node", "component_id")
@@ -305,4 +331,6 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       keep_signatures: bool = True) -> DataFrame:
     """The documents that name their component; columns as they are."""
     found = jaccard_components(docs, key, text, size, percent, keep_signatures)
-    return without(docs, key, stored(found.filter(F.col(key) != F.col("component_id")).select(key), "near_copies"))
+    gone = stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("id")), "near_copies")
+    rows, (k,) = numbered(docs, key)
+    return without(rows.withColumn("id", F.col(k)), "id", gone).drop("id").toDF(*docs.columns)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, drop_stored, keyed as with_key, mark_possible, possible, stored
+from .common import chunks, drop_stored, keyed as with_key, mark_possible, numbered, possible, stored
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PIECE = 1 << 20  # bytes worked on at a time
@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     ``length`` names a column that holds the text's number of characters and is brought up to date. A
     document of which nothing is left stays with an empty text; a null text stays null.
     """
-    columns = docs.columns
+    rows, (key, text, *rest) = numbered(docs, key, text, *([length] if length else []))
+    columns, length = rows.columns, rest[0] if rest else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,4 +295,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 out = out.set_column(at, length, pa.array(sizes, batch.schema.field(length).type))
             yield out
 
-    return with_spans(docs, key, text, window).drop("_k").mapInArrow(run, docs.schema)
+    return with_spans(rows, key, text, window).drop("_k").mapInArrow(run, rows.schema).toDF(*docs.columns)

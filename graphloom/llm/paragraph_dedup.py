@@ -30,9 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import keyed, possible, stored
-from .ngram_join import LOWER, linked_sets, mix, parity_sketch, shared_signatures, shingles
+from .ngram_join import LOWER, WORDS, linked_sets, mix, parity_sketch, shared_signatures, shingles, window_hashes
 
-SENTENCE_END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+")
+ENDS = frozenset(b".!?")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def band_recall(similarity: float, bands: int, rows: int) -> float:
@@ -47,42 +48,68 @@ def tune_bands(similarity: float, recall: float, most: int = 64) -> tuple[int, i
     return b, r
 
 
-def min_hashes(s: np.ndarray, count: int) -> np.ndarray:
-    """Smallest value of each of ``count`` hash functions over a set."""
-    salts = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return mix(s[:, None] ^ salts[None]).min(0)
-
-
-def band_values(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    h = min_hashes(s, bands * rows).reshape(bands, rows)
-    out = np.arange(bands, dtype=np.uint64)
+def band_values(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band values (sets x bands) of the sets that lie one after the other in ``values``; repeats do no harm."""
+    # The values are hashes already, so an odd factor is enough to give another order.
+    factors = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    least = np.stack([np.minimum.reduceat(values * f, starts) for f in factors], 1).reshape(len(starts), bands, rows)
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(starts), bands))
     for k in range(rows):
-        out = mix(out * np.uint64(31) + h[:, k])
+        out = mix(out * np.uint64(31) + least[:, :, k])
     return out
 
 
-def paragraphs(raw: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the lines that have a word, in bytes without the space around them."""
-    out, at = [], 0
-    for line in raw.split(b"\n"):
-        inside = line.strip()
-        if inside:
-            start = at + line.index(inside[:1])
-            out.append((start, start + len(inside), len(inside.split())))
-        at += len(line) + 1
+def sentence_groups(words: list[bytes], least: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of whole sentences with at least ``least`` words; what is left over joins none."""
+    out, first = [], 0
+    for end in [*[i + 1 for i, w in enumerate(words) if w[-1] in ENDS], len(words)]:
+        if end - first >= least:
+            out.append((first, end))
+            first = end
     return out
 
 
-def sentence_groups(raw: bytes, start: int, end: int, least: int) -> list[tuple[int, int, int]]:
-    """(start, end, words) of runs of whole sentences with at least ``least`` words; what is left over joins none."""
-    out, first = [], start
-    for stop in [*(m.start() + len(m.group().rstrip()) for m in SENTENCE_END.finditer(raw, start, end)), end]:
-        n = len(raw[first:stop].split())
+def units_of(raw: bytes, least: int, group: int, size: int, bands: int, rows: int) -> tuple[list[tuple], list]:
+    """Paragraphs of at least ``least`` words and sentence groups of a text: (start, end, words, node), and the
+    band values of each paragraph (none for sentence groups)."""
+    out, values, at, lines = [], [], 0, []
+    for line in raw.translate(LOWER).split(b"\n"):
+        words = line.split()
+        if len(words) >= min(least, group):
+            lines.append((at, line, words))
+        at += len(line) + 1
+    if not lines:
+        return [], []
+    every = [w for _, _, words in lines for w in words]
+    h = np.fromiter(map(WORDS.__getitem__, every), np.int64, len(every))
+    lengths = np.fromiter(map(len, every), np.int64, len(every)) + 1
+    windows, before, texts, firsts = window_hashes(h.view(np.uint64), size), 0, [], []
+    for at, line, words in lines:
+        n = len(words)
+        own = slice(before, before + n)
+        before += n
+        stops = np.cumsum(lengths[own])
+        if stops[-1] == len(line) + 1:  # single spaces
+            stops += at - 1
+            begins = stops - lengths[own] + 1
+        else:
+            found = [m.span() for m in WORD.finditer(line)]
+            begins, stops = (np.array(x) + at for x in zip(*found))
         if n >= least:
-            first += len(raw[first:stop]) - len(raw[first:stop].lstrip())
-            out.append((first, stop, n))
-            first = stop
-    return out
+            s = windows[own.start:own.stop - size + 1] if n >= size else window_hashes(h[own].view(np.uint64), size)
+            firsts.append(len(out))
+            texts.append(s)
+            out.append((int(begins[0]), int(stops[-1]), n, xxhash.xxh3_64_intdigest(np.unique(s).tobytes()) - (1 << 63)))
+            values.append(None)
+        for a, b in sentence_groups(words, group):
+            node = xxhash.xxh3_64_intdigest(h[own.start + a:own.start + b].tobytes(), seed=1) - (1 << 63)
+            out.append((int(begins[a]), int(stops[b - 1]), b - a, node))
+            values.append(None)
+    if texts:
+        starts = np.cumsum([0, *map(len, texts[:-1])])
+        for i, v in zip(firsts, band_values(np.concatenate(texts), starts, bands, rows)):
+            values[i] = v.view(np.int64)
+    return out, values
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -99,24 +126,15 @@ def text_units(docs: DataFrame, text: str, least: int, group: int, size: int, ba
                 batch = whole.slice(at, 300)
                 owner, out, values = [], [], []
                 for i, raw in enumerate(_column(batch, text).cast(pa.binary()).to_pylist()):
-                    raw = raw or b""
-                    for start, end, n in paragraphs(raw):
-                        groups = sentence_groups(raw, start, end, group)
-                        if n >= least:
-                            s = shingles(raw[start:end], size)
-                            owner.append(i)
-                            out.append((start, end, n, xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)))
-                            values.append(band_values(s, bands, rows))
-                        for a, b, m in groups:
-                            node = xxhash.xxh3_64_intdigest(b" ".join(raw[a:b].translate(LOWER).split()), seed=1) - (1 << 63)
-                            owner.append(i)
-                            out.append((a, b, m, node))
-                            values.append(None)
+                    found, bands_of = units_of(raw or b"", least, group, size, bands, rows)
+                    owner += [i] * len(found)
+                    out += found
+                    values += bands_of
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays(
                         [_column(batch, "_k").take(pa.array(owner)), *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], pa.int64()),
-                         pa.array([None if v is None else v.view(np.int64) for v in values], pa.list_(pa.int64()))],
+                         pa.array(values, pa.list_(pa.int64()))],
                         names=["_k", "start", "end", "words", "node", "bands"])
 
     kind = docs.schema["_k"].dataType.simpleString()
@@ -154,7 +172,7 @@ def repeated_units(docs: DataFrame, text: str = "text", least: int = 20, group:
     place = F.struct("_k", "start", "end")
     places = long.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(place).alias("p")).select("node", "p.*")
     sets = stored(_paragraph_sets(docs, stored(places, "places"), text, size), "elements")
-    label = linked_sets(members, sets, percent)
+    label = linked_sets(members, sets.select("node", "n", "sketch"), lambda some: sets.join(some, "node").select("node", "elements"), percent)
     counted = units.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # A node without a link is its own cluster; only nodes that occur again or are linked are of interest.
     classes = counted.join(label, "node", "left").filter("n > 1 OR root IS NOT NULL").withColumn("cluster", F.coalesce("root", "node"))

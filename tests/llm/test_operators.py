@@ -463,6 +463,38 @@ def test_paragraphs_near_and_apart(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
 
 
+def test_passages_anywhere_in_a_text(spark):
+    rng = random.Random(21)
+
+    def plain(n):
+        return sentence(rng, n)[:-1]
+
+    long, verse, other = plain(60), "\n".join(plain(5) for _ in range(12)), plain(80).split(" ")
+    edited = " ".join([*other[:41], "changed", *other[42:]])
+    hosts = [(plain(a), plain(b)) for a, b in ((33, 41), (17, 50), (25, 25), (44, 13), (29, 37), (51, 22))]
+    planted = [long, long, verse, verse, " ".join(other), edited]
+    breaks = [(" ", " "), (". And so ", " then "), ("\n", "\n"), (" or ", "\n"), (" ", " "), (" but ", " ")]
+    texts = [a + x + p + y + b for (a, b), (x, y), p in zip(hosts, breaks, planted)]
+    texts += [plain(40) + " " + " ".join(plain(60).split(" ")[:12]), "x y " * 60]
+    got = {r.doc_id: r for r in paragraph_dedup.removable(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in (1, 3, 5):
+        raw = texts[i].encode()
+        assert [raw[a:b].decode() for a, b in zip(got[i].starts, got[i].ends)] == [planted[i]]
+        assert got[i].n_removed == 1
+    for i in (0, 2, 4, 6):
+        assert got[i].starts == []
+    assert paragraph_dedup.cut(texts[7].encode(), got[7].starts, got[7].ends).decode().split() == ["x", "y"] * 4
+
+
+def test_equal_stretches_share_an_anchor():
+    rng = np.random.default_rng(3)
+    same = rng.integers(0, 1 << 62, 20 - 8 + 1).astype(np.uint64)
+    for k in range(50):
+        sides = [[rng.integers(0, 1 << 62, k).astype(np.uint64), rng.integers(0, 1 << 62, 30).astype(np.uint64)] for _ in range(2)]
+        found = [{int(i) - len(a) for i in paragraph_dedup.anchors(np.concatenate([a, same, b]), len(same))} & set(range(len(same))) for a, b in sides]
+        assert found[0] & found[1]
+
+
 def test_components_and_bitmap(spark):
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 200), (200, 300), (7, 7), (None, 5)] + [(1000, 1000 + i) for i in range(1, 40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

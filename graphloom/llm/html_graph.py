@@ -11,8 +11,10 @@ grammar of page layouts, each element with its label, since the tables carry no
 takes any pages marked the same way.
 
 Defined results: null or empty html gives an empty text; whatever is left open or cut off at the end of a
-page is closed there; pages that repeat an id are extracted one by one; other columns are ignored. No text
-run is shortened or dropped but for its label.
+page is closed there; pages that repeat an id are extracted one by one; other columns are ignored. Scripts,
+styles, titles and what lies between both tags of the elements in ``DROPPED`` are no text; one that is not
+closed, or only after its parent, is a block like others. A head ends at its end tag or at the first thing that
+cannot stand in one. No text run is shortened or dropped but for its label.
 """
 
 from __future__ import annotations
@@ -31,13 +33,17 @@ JUNK, CONTENT, MIXED = 0, 1, 2
 
 # How HTML elements behave.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong "
-                   "sub sup time tt u var wbr br".split())
+                   "sub sup time tt u var wbr br object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom "
+                   "menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics annotation "
+                   "annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp".split())
-DROPPED = frozenset("head noscript template select button iframe object svg math canvas audio video datalist".split())
+DROPPED = frozenset("noscript template select button iframe svg canvas audio video datalist".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta noscript template".split())
+ALONE = frozenset("button select".split())  # one that opens ends one that is open
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-    "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",), "body": ("head",),
+    "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",), "button": ("button",), "select": ("select", "option"),
 }
 SCOPES = frozenset("ul ol dl table html body".split())
 
@@ -85,14 +91,53 @@ def _attributes(raw: str) -> tuple[int, int | None]:
     return hint, label
 
 
+def _tokens(page: str) -> list[tuple]:
+    """(start, end, closing, tag, attributes) of all markup; raw elements are one token without a tag."""
+    out, at = [], 0
+    while found := TOKEN.search(page, at):
+        at = found.end()
+        closing, tag, raw = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
+        if tag in RAW:
+            if not closing:  # nothing inside is markup
+                end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            tag = ""
+        out.append((found.start(), at, closing, tag, raw))
+    return out
+
+
+def _dropped_ends(tokens: list[tuple]) -> dict[int, int]:
+    """The end tags of the dropped elements that are closed before their parents, by the place of the start tag."""
+    out, stack, opened = {}, [], {}
+
+    def pop(tag: str) -> int:
+        while True:
+            i, last = stack.pop()
+            opened[last] -= 1
+            if last == tag:
+                return i
+
+    for i, (_, _, closing, tag, raw) in enumerate(tokens):
+        if not tag or tag in INLINE or tag in VOID:
+            continue
+        if (closing or tag in ALONE) and opened.get(tag):
+            start = pop(tag)
+            if closing and tag in DROPPED:
+                out[start] = i
+        if not closing and not (tag in DROPPED and raw.rstrip().endswith("/")):
+            stack.append((i, tag))
+            opened[tag] = opened.get(tag, 0) + 1
+    return out
+
+
 def parse(page: str) -> list[Node]:
     """The page's tree in page order; node 0 is the root, text runs are leaves with tag ``#text``."""
     nodes = [Node(-1, "#root")]
     stack = [0]
     opened: dict[str, int] = {}  # how many elements of each tag are open
     pieces: list[str] = []
-    links = dropped = anchors = 0
-    skip = ""
+    links = anchors = 0
+    head = False
 
     def flush() -> None:
         nonlocal links
@@ -111,37 +156,40 @@ def parse(page: str) -> list[Node]:
                 if last == tag:
                     return
 
-    at = 0
+    tokens = _tokens(page)
+    ends = _dropped_ends(tokens)
+    at = place = 0
     while at < len(page):
-        found = TOKEN.search(page, at)
-        start = found.start() if found else len(page)
-        if start > at and not dropped:
-            pieces.append(page[at:start])
-            if anchors:
-                links += len(page[at:start].strip())
-        if not found:
-            break
-        at = found.end()
-        closing, tag, raw = found.group(1), (found.group(2) or "").lower(), found.group(3) or ""
+        start, end, closing, tag, raw = tokens[place] if place < len(tokens) else (len(page), len(page), "", "", "")
+        if start > at:
+            head = head and page[at:start].isspace()
+            if not head:
+                pieces.append(page[at:start])
+                if anchors:
+                    links += len(page[at:start].strip())
+        at = end
+        place += 1
         if not tag:
             continue
-        if tag in RAW:
-            if not closing:  # nothing inside is markup
-                end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
+        if tag == "head" or head:
+            if tag == "head":
+                head = not closing and not raw.rstrip().endswith("/")
+                pieces.append(" ")
+                continue
+            if closing and tag not in ("body", "html", "br") or not closing and tag in IN_HEAD:
+                if place - 1 in ends:
+                    place = ends[place - 1] + 1
+                    at = tokens[place - 1][1]
+                continue
+            head = False
         if tag in DROPPED:
-            if closing:
-                dropped, skip = (0, "") if tag == skip else (dropped, skip)
-            elif not dropped and not raw.rstrip().endswith("/"):
-                dropped, skip = 1, tag
-            if not dropped:
+            if not closing and place - 1 in ends:
+                place = ends[place - 1] + 1
+                at = tokens[place - 1][1]
+                pieces.append(" ")
+                continue
+            if closing and not opened.get(tag) or not closing and raw.rstrip().endswith("/"):
                 pieces.append(" ")
-            continue
-        if dropped:
-            if skip == "head" and tag == "body":  # the head's end tag may be left out
-                dropped, skip = 0, ""
-            else:
                 continue
         if tag in INLINE:
             if tag == "br":

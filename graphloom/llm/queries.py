@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, html_graph, lattice_neighbours, ngram_join, paragraph_dedup, piece_codec, quality_cascade, source_mix, suffix_dedup, toxic_cnn, warc_shards
+from . import (checks, html_graph, lattice_neighbours, merkle_manifest, ngram_join, paragraph_dedup, piece_codec, quality_cascade, source_mix,
+               suffix_dedup, toxic_cnn, warc_shards)
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,8 @@ def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lattice_neighbours.near_duplicates(read(spark, folder, "embeddings"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.audit(read(spark, folder, "documents"))

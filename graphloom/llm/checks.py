@@ -88,3 +88,42 @@ SELECT l.doc_id, l.leaf, tree.digest AS subroot, root.digest AS root, coalesce(p
   now AS folded_root, now = root.digest AS verified
 FROM l JOIN tree ON tree.n = 1 AND tree.g = l.g JOIN walk ON walk.r = l.r AND i = len(steps) + 1 LEFT JOIN proof ON proof.r = l.r, root
 """
+
+
+# Matches of a pattern and the gaps between them alternate, so running lengths give the intervals.
+OP12_SECRET_LINKS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+pat(name, p) AS (VALUES
+  ('assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  ('access', 'AKIA[A-Z0-9]+'), ('hex', '[0-9a-f]+'),
+  ('user', '([uU][sS][eE][rR][nN][aA][mM][eE]|[uU][sS][eE][rR]_?[iI][dD]|[uU][sS][eE][rR]|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT]|[cC][lL][iI][eE][nN][tT]_?[iI][dD])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}'),
+  ('endpoint', '([hH][tT][tT][pP][sS]?|[fF][tT][pP]|[sS][sS][hH]|[pP][oO][sS][tT][gG][rR][eE][sS][qQ][lL]|[pP][oO][sS][tT][gG][rR][eE][sS]|[mM][yY][sS][qQ][lL]|[mM][oO][nN][gG][oO][dD][bB]|[rR][eE][dD][iI][sS]|[aA][mM][qQ][pP]|[sS]3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|([hH][oO][sS][tT][nN][aA][mM][eE]|[hH][oO][sS][tT]|[eE][nN][dD][pP][oO][iI][nN][tT]|[sS][eE][rR][vV][eE][rR])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9.-]{4,}'),
+  ('blob', '[A-Za-z0-9+/_-]{20,}')),
+m AS (SELECT r, text, name, unnest(regexp_extract_all(text, p)) AS word, unnest(string_split_regex(text, p)) AS gap,
+        generate_subscripts(string_split_regex(text, p), 1) AS i FROM d, pat),
+spot AS (SELECT r, text, name, word, sum(length(gap)) OVER w + coalesce(sum(length(word)) OVER w, 0) - length(word) AS s,
+         sum(length(gap)) OVER w + sum(length(word)) OVER w AS e
+       FROM m WHERE word IS NOT NULL WINDOW w AS (PARTITION BY r, name ORDER BY i)),
+sized AS (SELECT *, CASE WHEN name = 'assign' THEN length(regexp_replace(word, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?', '')) ELSE length(word) END AS n FROM spot),
+named AS (SELECT r, text, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE
+    WHEN name = 'assign' AND n >= 12 THEN 'assign' WHEN name = 'assign' AND n >= 6 THEN 'short'
+    WHEN name = 'access' AND n >= 18 THEN 'access' WHEN name = 'access' AND n >= 12 THEN 'key_id'
+    WHEN name = 'hex' AND n >= 16 THEN 'hex' WHEN name IN ('user', 'endpoint') THEN name
+    WHEN name = 'blob' AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]') AND regexp_matches(word, '[0-9]') THEN 'blob' END AS kind
+  FROM sized),
+ranked AS (SELECT *, list_position(['assign', 'access', 'hex', 'short', 'key_id', 'user', 'endpoint', 'blob'], kind) AS k,
+    CASE WHEN kind IN ('access', 'key_id', 'user') THEN 'identifier' WHEN kind = 'endpoint' THEN kind ELSE 'secret' END AS role,
+    len(regexp_extract_all(substring(text, 1, s), '\n(?:[\x20\x09\x0B-\x0D]*\n)+')) AS scope
+  FROM named WHERE kind IS NOT NULL),
+part AS (SELECT r, kind, k, role, s, e, scope FROM ranked a WHERE k <= 3 OR NOT EXISTS (
+    SELECT 1 FROM ranked b WHERE b.r = a.r AND (b.k <= 3 OR b.k < a.k) AND b.s < a.e AND a.s < b.e)),
+near AS (SELECT a.r, a.k, a.s, bool_or(b.role = 'identifier') AS identifier, bool_or(b.role = 'secret') AS secret
+  FROM part a JOIN part b ON a.r = b.r AND a.scope = b.scope AND (b.s >= a.e AND b.s - a.e <= 200 OR a.s >= b.e AND a.s - b.e <= 200)
+  WHERE a.k > 3 GROUP BY ALL),
+told AS (SELECT part.*, k <= 3 AS base FROM part LEFT JOIN near USING (r, k, s)
+  WHERE k <= 3 OR CASE role WHEN 'secret' THEN identifier WHEN 'identifier' THEN secret ELSE identifier AND secret END)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN told USING (r) GROUP BY r, doc_id
+"""

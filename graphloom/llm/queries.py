@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (checks, html_graph, lattice_neighbours, merkle_manifest, ngram_join, paragraph_dedup, piece_codec, quality_cascade, source_mix,
+from . import (checks, credential_links, exact_whitening, html_graph, lattice_neighbours, merkle_manifest, ngram_join, paragraph_dedup, piece_codec, quality_cascade, source_mix,
                suffix_dedup, toxic_cnn, warc_shards)
 from .common import read
 
@@ -74,3 +74,13 @@ def op10_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.audit(read(spark, folder, "documents"))
+
+
+@query
+def op12_secret_links(spark: SparkSession, folder: str) -> DataFrame:
+    return credential_links.digests(read(spark, folder, "documents"))
+
+
+@query
+def op13_exact_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_whitening.whiten(read(spark, folder, "embeddings"))

@@ -8,11 +8,13 @@ top ``n``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import normalise_camel, normalise_query, words
-from .scale import containing_pairs, grams, top_n
+from .scale import containing_pairs, first_per_key, grams, top_n
+from ..session import cut_lineage
 
 PLACE = ("name", "file", "start_line", "symbol_id")
 
@@ -108,22 +110,89 @@ def terms(text: Column, too_long: int = LONG_TERM) -> Column:
     return F.filter(found, lambda w: F.octet_length(w) < too_long)
 
 
-def bm25(queries: DataFrame, symbols: DataFrame, n: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Relevance ranking of symbols by their name terms; any query term may match.
+# Names of one block, on average.
+BLOCK = 32
+K1, B = 1.2, 0.75
+
 
-    Statistics count symbols, scores are computed once per distinct name.
+class TermIndex(NamedTuple):
+    """Inverted index over the distinct names of symbols, in blocks of equal impact.
+
+    ``names``: name, t (its terms). ``classes``: term, tf, len, impact, parts, one row per way a term can weigh in a name.
+    ``blocks``: term, tf, len, part, names. ``terms``: term, idf, top (its largest impact). ``stats``: one row.
     """
-    named = symbols.groupBy("name").agg(F.count("*").alias("copies")).withColumn("t", terms(F.col("name")))
-    stats = named.agg(F.sum("copies").alias("_docs"), (F.sum(F.size("t") * F.col("copies")) / F.sum("copies")).alias("_avg")).withColumn("_k", F.lit(1))
+
+    names: DataFrame
+    classes: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def _weight(tf: Column, size: Column, average: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
+
+
+def term_index(symbols: DataFrame) -> TermIndex:
+    """Index the name terms of ``symbols``; statistics count symbols, postings count distinct names.
+
+    What a term adds to a name's score depends on its count in the name and the name's length alone. Postings that agree
+    in both have one impact, so no list has to be sorted: it is dealt by hash into parts of about ``BLOCK`` names.
+    """
+    named = cut_lineage(symbols.groupBy("name").agg(F.count("*").alias("copies")).withColumn("t", terms(F.col("name"))))
+    stats = named.agg(F.sum("copies").alias("docs"), (F.sum(F.size("t") * F.col("copies")) / F.sum("copies")).alias("average"))
+    stats = cut_lineage(stats.withColumn("_k", F.lit(1)))
     post = named.select("name", "copies", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("name", "term").agg(
         F.count("*").alias("tf"), F.first("copies").alias("copies"), F.first("len").alias("len"))
-    df = post.groupBy("term").agg(F.sum("copies").alias("df"))
-    asked = queries.select("query", F.explode(terms(F.col("query"))).alias("term"))
-    hits = asked.join(post, "term").join(df, "term").withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")
-    idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    scores = hits.groupBy("query", "name").agg(F.round(F.sum(part), 6).alias("score"))
-    best = top_n(scores, ["query"], [F.desc("score"), F.col("name")], n)
+    post = cut_lineage(post)
+    found = post.groupBy("term", "tf", "len").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    df = found.groupBy("term").agg(F.sum("copies").alias("df")).withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k")
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    classes = found.join(df.select("term", idf.alias("idf"), "average"), "term").select(
+        "term", "tf", "len", "idf", (F.col("idf") * _weight(F.col("tf"), F.col("len"), F.col("average"))).alias("impact"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    classes = cut_lineage(classes)
+    part = F.pmod(F.hash("name"), F.col("parts"))
+    blocks = post.join(classes, ["term", "tf", "len"]).groupBy("term", "tf", "len", part.alias("part")).agg(F.collect_list("name").alias("names"))
+    best = classes.groupBy("term").agg(F.max("idf").alias("idf"), F.max("impact").alias("top"))
+    return TermIndex(named, classes.drop("idf"), cut_lineage(blocks), cut_lineage(best), stats)
+
+
+def bm25(queries: DataFrame, symbols: DataFrame, n: int = 10, index: TermIndex | None = None) -> DataFrame:
+    """Relevance ranking of symbols by their name terms; any query term may match.
+
+    One block per query term gives scores, and the ``n``-th of them is a floor for the query. The terms of a query stand
+    in order of what they can add. A name met first through one of them holds none before it, so at best it scores the
+    impact of its block plus all that later terms can add: only blocks for which that reaches the floor are read. Scores
+    of the names in them are exact.
+    """
+    index = index or term_index(symbols)
+    asked = queries.select("query", F.explode(terms(F.col("query"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("w"))
+    asked = asked.join(index.terms, "term").withColumn("most", F.col("w") * F.col("top"))
+    later = W.partitionBy("query").orderBy(F.desc("most"), "term").rowsBetween(1, W.unboundedFollowing)
+    asked = cut_lineage(asked.withColumn("later", F.coalesce(F.sum("most").over(later), F.lit(0.0))))
+    wanted = asked.groupBy("query").agg(F.collect_list(F.struct("term", "w", "idf")).alias("asks"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.distinct().join(index.names, "name").join(wanted, "query").withColumn("_k", F.lit(1)).join(F.broadcast(index.stats), "_k")
+
+        def part(ask: Column) -> Column:
+            tf = F.size(F.filter("t", lambda x: x == ask["term"]))
+            return ask["w"] * ask["idf"] * _weight(tf, F.size("t"), F.col("average"))
+
+        score = F.aggregate("asks", F.lit(0.0), lambda total, ask: total + part(ask))
+        return rows.select("query", "name", "copies", F.round(score, 6).alias("score"))
+
+    lead = first_per_key(index.classes, ["term"], [F.desc("impact"), F.col("tf"), F.col("len")]).select("term", "tf", "len", F.lit(0).alias("part"))
+    first = asked.join(index.blocks.join(lead, ["term", "tf", "len", "part"], "left_semi"), "term").select("query", F.explode("names").alias("name"))
+    seen = top_n(scored(first), ["query"], [F.desc("score"), F.col("name")], n, "_r")
+    so_far = F.sum("copies").over(W.partitionBy("query").orderBy("_r").rowsBetween(W.unboundedPreceding, 0))
+    floor = seen.withColumn("_have", so_far).groupBy("query").agg(F.max(F.when(F.col("_have") >= n, F.col("score"))).alias("floor"))
+    reach = asked.join(index.classes, "term").join(floor, "query", "left")
+    # Scores are rounded to six digits.
+    reach = reach.filter(F.col("floor").isNull() | (F.col("w") * F.col("impact") + F.col("later") >= F.col("floor") - 1e-6))
+    pairs = reach.select("query", "term", "tf", "len").join(index.blocks, ["term", "tf", "len"]).select("query", F.explode("names").alias("name"))
+    best = top_n(scored(pairs), ["query"], [F.desc("score"), F.col("name")], n).drop("copies")
     firsts = top_n(symbols.select("name", "symbol_id", "file"), ["name"], [F.col("symbol_id")], n)
     return top_n(best.join(firsts, "name"), ["query"], [F.desc("score"), F.col("name"), F.col("symbol_id")], n, "rank")
 

@@ -30,14 +30,18 @@ def delete_cascade(tables: Mapping[str, tuple[DataFrame, str]], gone: DataFrame,
     return {n: df.join(keys.withColumnRenamed(key, column), column, "left_anti") for n, (df, column) in tables.items()}
 
 
-def upsert_counters(history: DataFrame, batch: DataFrame) -> DataFrame:
-    """Merge error patterns: keep the first sighting and its message, move the last, add the hits."""
-    rows = history.unionByName(batch)
+def merge_counters(rows: DataFrame) -> DataFrame:
+    """One row per error pattern: the first sighting and its message stay, the last moves, hits add up."""
     return rows.groupBy("hash").agg(
         F.min_by("kind", F.struct("first_ms", "kind")).alias("kind"), F.min_by("message", F.struct("first_ms", "message")).alias("message"),
         F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("hits").alias("hits"))
 
 
+def upsert_counters(history: DataFrame, batch: DataFrame) -> DataFrame:
+    """Merge error patterns of a batch into their history."""
+    return merge_counters(history.unionByName(batch))
+
+
 def pattern_rows(errors: DataFrame) -> DataFrame:
     """Raw errors (kind, message, ts_ms) as pattern counters."""
     return errors.groupBy(F.xxhash64("kind", "message").alias("hash")).agg(

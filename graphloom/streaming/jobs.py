@@ -12,10 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import effective_tokens
-from ..operators.maintenance import upsert_counters
 from ..operators.outcomes import share, success_flag
 from ..operators.scale import top_n
-from ..session import discard
 
 
 def json_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,45 +48,6 @@ def replace_table(df: DataFrame, out: str, checkpoint: str, mode: str = "complet
     return df.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
-class VersionedTable:
-    """A table rewritten batch by batch: each version is a new folder, so replays are idempotent.
-
-    The store itself knows the last committed version, so a restarted job goes on where it stopped, and a
-    replayed batch finds the version before it; older versions are deleted.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def latest(self) -> int:
-        """Last committed version, -1 for none."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        store = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(place):
-            return -1
-        done = [f.getPath() for f in store.listStatus(place)]
-        done = [int(p.getName()[1:]) for p in done if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=-1)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.latest() if version is None else version
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.root}/v{version}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        discard(self.spark, f"{self.root}/v{version - 2}")
-
-    def run(self, stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-        """Merge every batch into the table and return its last version."""
-        def step(batch: DataFrame, batch_id: int) -> None:
-            self.write(merge(self.read(batch_id - 1), batch), batch_id)
-
-        drain(stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start())
-        return self.read()
-
-
 def distinct_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Idempotent ingest: an event id is accepted once within the watermark."""
     return (stream.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", delay)
@@ -102,37 +61,55 @@ def daily_tokens(stream: DataFrame) -> DataFrame:
         .select(F.unix_millis("w.start").alias("day_ms"), "events", "tokens"))
 
 
-def apply_file_changes(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """Last change of every path wins; removals stay as tombstones until the table is read."""
-    rows = table.select("path", "kind", "seq", "content").unionByName(batch.select("path", "kind", "seq", "content"))
+def last_changes(rows: DataFrame) -> DataFrame:
+    """Last change of every path; removals stay as tombstones until the table is read."""
     return top_n(rows, ["path"], [F.desc("seq")], 1)
 
 
+def expired_removals(keep: int) -> Callable[[DataFrame], DataFrame]:
+    """Drop tombstones more than ``keep`` changes behind the newest one."""
+    def forget(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max("seq").alias("_newest")).withColumn("_k", F.lit(1))
+        known = rows.withColumn("_k", F.lit(1)).join(F.broadcast(newest), "_k")
+        return known.filter((F.col("kind") != "remove") | (F.col("seq") > F.col("_newest") - keep)).select(*rows.columns)
+
+    return forget
+
+
 def live_files(table: DataFrame) -> DataFrame:
     return table.filter("kind <> 'remove'").select("path", "content")
 
 
-def capped_patterns(table: DataFrame, batch: DataFrame, cap: int = 500) -> DataFrame:
-    """Merge error counters and keep the most recent patterns over all kinds."""
-    return upsert_counters(table, batch).orderBy(F.desc("last_ms"), F.col("hash")).limit(cap)
+def recent_patterns(rows: DataFrame, cap: int = 500) -> DataFrame:
+    """The most recent patterns over all kinds."""
+    return rows.orderBy(F.desc("last_ms"), F.col("hash")).limit(cap)
 
 
 def patch_success(stream: DataFrame) -> DataFrame:
     return stream.groupBy("model_used").agg(F.count("*").alias("patches"), share(success_flag()).alias("success_rate"))
 
 
-def ring_buffer(table: DataFrame, batch: DataFrame, keep: int = 256) -> DataFrame:
+def newest_samples(rows: DataFrame, keep: int = 256) -> DataFrame:
     """Newest ``keep`` samples per operation."""
-    cols = ["operation", "latency_ms", "ts_ms", "event_id"]
-    return top_n(table.select(*cols).unionByName(batch.select(*cols)), ["operation"], [F.desc("ts_ms"), F.desc("event_id")], keep)
+    return top_n(rows.select("operation", "latency_ms", "ts_ms", "event_id"), ["operation"], [F.desc("ts_ms"), F.desc("event_id")], keep)
 
 
 def streamed_sessions(stream: DataFrame, gap: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Sessions per user. Appended once the watermark has passed them, or all of them, open ones too, in complete mode."""
+    """Sessions per user, appended once the watermark has passed them: state holds the sessions of the last hours."""
     return (stream.withWatermark("event_time", delay).groupBy("user_id", F.session_window("event_time", gap).alias("w"))
             .agg(F.count("*").alias("events"), F.min("event_time").alias("first"), F.max("event_time").alias("last")))
 
 
+def close_replay(rows: DataFrame, path: str, time: str = "event_time", after: str = "30 days") -> None:
+    """End a replay of ``rows`` with one row far beyond them, so that the watermark passes all there is.
+
+    Its other columns are null. What it opens stays open, so in append mode nothing of it comes out.
+    """
+    last = rows.agg((F.max(time) + F.expr(f"interval {after}")).alias(time)).filter(f"{time} IS NOT NULL")
+    columns = [F.col(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    last.select(*columns).write.mode("append").parquet(path)
+
+
 def first_sent(refs: DataFrame) -> DataFrame:
     """Batch form of context reuse: a reference is fresh where the session sees it first."""
     first = refs.groupBy("session_id", "ref").agg(F.min("pos").alias("first_pos"))

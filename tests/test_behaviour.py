@@ -228,29 +228,6 @@ def test_session_rows_are_ordered_across_chunks():
     assert [p for c in state.in_order(chunks) for p in c["pos"]] == [2, 7, 8, 9]
 
 
-def test_versioned_table_goes_on_after_a_restart(spark, tmp_path):
-    feed, root, chk = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "chk")
-    merge = lambda old, batch: old.unionByName(batch)
-
-    def replay():
-        return jobs.VersionedTable(spark, root, "k int").run(jobs.parquet_stream(spark, feed, "k int"), chk, merge)
-
-    spark.createDataFrame([(1,)], "k int").write.parquet(feed)
-    assert rows(replay()) == [(1,)]
-    assert rows(replay()) == [(1,)]  # nothing new, nothing lost
-    for k in (2, 3):
-        spark.createDataFrame([(k,)], "k int").write.mode("append").parquet(feed)
-        replay()
-    assert rows(replay()) == [(1,), (2,), (3,)]
-    assert not (tmp_path / "table" / "v0").exists()
-
-
-def test_patterns_are_capped_over_all_kinds(spark):
-    cols = "hash bigint, kind string, message string, first_ms bigint, last_ms bigint, hits bigint"
-    batch = spark.createDataFrame([(i, f"k{i % 3}", "m", i, i, 1) for i in range(6)], cols)
-    assert [r[0] for r in rows(jobs.capped_patterns(spark.createDataFrame([], cols), batch, cap=2).select("hash"))] == [4, 5]
-
-
 def test_weighted_intents(spark):
     cases = [("fix fetchData null error", "debug"), ("refactor fetchData for reuse", "refactor"), ("add retry handling to fetchData", "implement"),
              ("explain fetchData", "understand"), ("diagnose root cause for fetchData crash", "debug"), ("how does fetchData retry work", "understand"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.classify import is_test_path
 from ..functions.paths import module_of
 from ..session import cut_lineage
-from .graph import k_hop
+from .graph import k_hop, reached_counts
 from .scale import first_per_key
 
 
@@ -77,49 +77,44 @@ def caller_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def callee_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Resolved callee edges per symbol."""
-    resolved = resolve_callees(calls.select("caller_symbol", "file", "callee_symbol", "callee_file").distinct(), symbols)
+    return _callees_per_symbol(resolve_callees(calls.select("caller_symbol", "file", "callee_symbol", "callee_file").distinct(), symbols), symbols)
+
+
+def _callees_per_symbol(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     n = resolved.filter("callee_id IS NOT NULL").groupBy(F.col("caller_symbol").alias("name"), "file").agg(F.count("*").alias("n"))
     return symbols.select("symbol_id", "name", "file").join(n, ["name", "file"], "left").select(
         "symbol_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("callees"))
 
 
-class CallNeighbours:
-    """Neighbour expansion over the call graph for ``k_hop``.
+def call_links(calls: DataFrame, symbols: DataFrame, callees: bool = True, callers: bool = True) -> list[DataFrame]:
+    """The call graph as links for a search, resolved once.
 
-    Incoming edges without callee file are matched once per (seed, name) instead of once per symbol,
-    so hubs and frequent names cost no more than the edges they have.
+    A hop leads from a symbol to its keys, its name and its name in its file, and from a key to symbols. Calls are tied to
+    keys, so hubs and frequent names cost no more than the edges they have.
     """
-
-    def __init__(self, calls: DataFrame, symbols: DataFrame, callees: bool = True, callers: bool = True):
-        self.symbols = symbols.select(F.col("symbol_id").alias("node"), "name", "file")
-        self.callees, self.callers = callees, callers
-        out = resolve_callees(calls, symbols).filter("callee_id IS NOT NULL").select(
-            F.col("caller_symbol").alias("name"), "file", F.col("callee_id").alias("node")).distinct()
-        self.out = cut_lineage(out) if callees else None
-        if callers:
-            inn = cut_lineage(resolve_callers(calls, symbols).select(
-                F.col("callee_symbol").alias("name"), F.col("callee_file").alias("file"), F.col("caller_id").alias("node")).distinct())
-            self.by_name = inn.filter("file IS NULL").drop("file")
-            self.by_file = inn.filter("file IS NOT NULL")
-
-    def __call__(self, frontier: DataFrame) -> DataFrame:
-        here = frontier.join(self.symbols, "node").select("seed", "name", "file").distinct()
-        parts = []
-        if self.callees:
-            parts.append(here.join(self.out, ["name", "file"]).select("seed", "node"))
-        if self.callers:
-            parts.append(here.select("seed", "name").distinct().join(self.by_name, "name").select("seed", "node"))
-            parts.append(here.join(self.by_file, ["name", "file"]).select("seed", "node"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    here = F.concat(F.lit("in:"), "name", F.lit(chr(0)), "file")
+    keys = [here] if callees and not callers else [here, F.concat(F.lit("any:"), "name")]
+    parts = []
+    if callees:
+        parts.append(resolve_callees(calls, symbols).filter("callee_id IS NOT NULL").select(
+            F.col("caller_symbol").alias("name"), "file", F.col("callee_id").alias("dst")).select(here.alias("src"), "dst"))
+    if callers:
+        key = F.when(F.col("file").isNull(), F.concat(F.lit("any:"), "name")).otherwise(here)
+        parts.append(resolve_callers(calls, symbols).select(F.col("callee_symbol").alias("name"), F.col("callee_file").alias("file"), F.col("caller_id").alias("dst"))
+                     .filter("dst IS NOT NULL").select(key.alias("src"), "dst"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return [cut_lineage(symbols.select(F.col("symbol_id").alias("src"), F.explode(F.array(*keys)).alias("dst"))), cut_lineage(out.distinct())]
 
 
 def neighbourhood(calls: DataFrame, symbols: DataFrame, seeds: DataFrame, radius: int,
                   callees: bool = True, callers: bool = True, limits: DataFrame | None = None) -> DataFrame:
     """(seed, node, depth) within ``radius`` hops; seeds is a table (seed, node)."""
-    return k_hop(seeds, CallNeighbours(calls, symbols, callees, callers), radius, limits)
+    return k_hop(seeds, call_links(calls, symbols, callees, callers), radius, limits)
+
+
+def neighbourhood_sizes(calls: DataFrame, symbols: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
+    """(seed, depth, nodes) within ``radius`` hops."""
+    return reached_counts(seeds, call_links(calls, symbols), radius)
 
 
 def seeds_by_name(names: DataFrame, symbols: DataFrame, seed: str = "name") -> DataFrame:
@@ -325,12 +320,12 @@ def rank_root_causes(graph: DataFrame, frames: DataFrame, events: DataFrame, pat
     nodes = graph.join(info, "node")
     named = frames.select("event_id", "symbol").distinct()
     on_stack = named.withColumn("on_stack", F.lit(True))
-    resolved = resolve_callees(calls, symbols).filter("callee_id IS NOT NULL").select(
-        F.col("caller_symbol").alias("symbol"), "file", "callee_id").distinct()
+    edges = cut_lineage(resolve_callees(calls.select("caller_symbol", "file", "callee_symbol", "callee_file").distinct(), symbols).filter("callee_id IS NOT NULL"))
+    resolved = edges.select(F.col("caller_symbol").alias("symbol"), "file", "callee_id").distinct()
     callee = symbols.select(F.col("symbol_id").alias("callee_id"), F.col("name").alias("callee"))
     near = (named.withColumnRenamed("symbol", "callee").join(resolved.join(callee, "callee_id").select("symbol", "file", "callee").distinct(), "callee")
             .select("event_id", "symbol", "file").distinct().withColumn("near_stack", F.lit(True)))
-    degree = callee_counts(calls, symbols).withColumnRenamed("symbol_id", "node")
+    degree = _callees_per_symbol(edges, symbols).withColumnRenamed("symbol_id", "node")
     changes = patches.groupBy("symbol").agg(F.count("*").alias("changes"), F.max("ts_s").alias("last_s"))
     s = (nodes.join(on_stack, ["event_id", "symbol"], "left").join(near, ["event_id", "symbol", "file"], "left")
          .join(degree, "node").join(changes, "symbol", "left").join(events.select("event_id", "ts_s"), "event_id"))

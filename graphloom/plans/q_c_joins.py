@@ -172,6 +172,15 @@ def _(t):
     return cg.neighbourhood(t.kept("calls"), t.symbols, cg.seeds_by_name(hot, t.symbols), 2)
 
 
+SIZES = "SELECT seed, depth, count(*) AS nodes FROM hop GROUP BY 1, 2"
+
+
+@query("h01_thousand_neighbourhoods", f"WITH {RES}, {HOT.replace('LIMIT 5', 'LIMIT 1000')}, {hops('SELECT hot.name AS seed, aid AS node FROM hot JOIN ba USING (name)', 'nb', 2)} {SIZES}")
+def _(t):
+    hot = sm.hot_callees(t.kept("calls"), 1000).select(F.col("callee_symbol").alias("name"))
+    return cg.neighbourhood_sizes(t.kept("calls"), t.symbols, cg.seeds_by_name(hot, t.symbols), 2)
+
+
 @query("h02_directed_neighbourhood", f"WITH {RES}, {HOT}, {hops('SELECT hot.name AS seed, aid AS node FROM hot JOIN ba USING (name)', 'outn', 3)} SELECT * FROM hop")
 def _(t):
     hot = sm.hot_callees(t.kept("calls")).select(F.col("callee_symbol").alias("name"))
@@ -189,7 +198,7 @@ def _(t):
     key = lambda c: F.concat_ws(":", "symbol_id", c)
     e = flow.next_edges(t.nodes).select(key("from_pos").alias("src"), key("to_pos").alias("dst"))
     seeds = t.nodes.filter("node_type = 'Try'").select(key("pos").alias("seed"), key("pos").alias("node"))
-    return gr.k_hop(seeds, gr.edge_expander(e, directed=False), 2)
+    return gr.k_hop(seeds, gr.links_of(e, directed=False), 2)
 
 
 CHANGED = "SELECT DISTINCT name, file FROM m_symbols WHERE file LIKE 'src/auth%' AND type = 'class'"
@@ -251,13 +260,16 @@ def _(t):
     return cg.module_graph(t.calls, t.symbols)
 
 
-FAIL = """fe AS (SELECT o_orderkey AS event_id, CAST(floor(epoch_us(o_orderdate) / 1000000) AS BIGINT) AS ts_s FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 3),
+FAIL = """fe AS (SELECT o_orderkey AS event_id, CAST(floor(epoch_us(o_orderdate) / 1000000) AS BIGINT) AS ts_s FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 64),
 fr AS (SELECT DISTINCT l_orderkey AS event_id, s.name AS symbol FROM lineitem JOIN m_symbols s ON s.symbol_id = l_partkey WHERE l_orderkey IN (SELECT event_id FROM fe))"""
 
 
-def failures(t):
-    events = t.orders.filter("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(3).select(
-        F.col("o_orderkey").alias("event_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts_s"))
+def failures(t, newest=None):
+    """Failures and the symbols on their stacks; ``newest`` is a report on the latest ones."""
+    events = t.orders.filter("o_orderstatus = 'F'")
+    if newest:
+        events = events.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(newest)
+    events = events.select(F.col("o_orderkey").alias("event_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts_s"))
     lines = t.lineitem.join(events, F.col("l_orderkey") == F.col("event_id"), "left_semi").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("symbol_id"))
     return events, lines.join(t.symbols.select("symbol_id", F.col("name").alias("symbol")), "symbol_id").select("event_id", "symbol").distinct()
 
@@ -267,10 +279,18 @@ FAIL_HOPS = hops("SELECT DISTINCT event_id AS seed, aid AS node FROM fr JOIN ba
 
 @query("h09_debug_graph", f"WITH {RES}, {FAIL}, {FAIL_HOPS} SELECT seed AS event_id, node, depth FROM hop")
 def _(t):
-    _, frames = failures(t)
+    _, frames = failures(t, 64)
     return cg.debug_graph(frames, t.kept("calls"), t.symbols)
 
 
+@query("h09_debug_graph_sizes", f"WITH {RES}, {FAIL.replace('LIMIT 64', '')}, {FAIL_HOPS} {SIZES.replace('seed', 'seed AS event_id')}")
+def _(t):
+    """Every failure."""
+    _, frames = failures(t)
+    seeds = cg.seeds_by_name(frames.select(F.col("symbol").alias("name"), "event_id"), t.symbols, "event_id")
+    return cg.neighbourhood_sizes(t.kept("calls"), t.symbols, seeds, 2).withColumnRenamed("seed", "event_id")
+
+
 ROOT = f"""{RES}, {FAIL}, {FAIL_HOPS},
 dg AS (SELECT s.symbol_id AS id, count(rc.callee_id) AS n FROM m_symbols s LEFT JOIN rc ON rc.caller_symbol = s.name AND rc.file = s.file GROUP BY 1),
 pa AS (SELECT s.name AS symbol, count(*) AS changes, max(CAST(floor(epoch_us(o_orderdate) / 1000000) AS BIGINT)) AS last_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN m_symbols s ON s.symbol_id = l_partkey
@@ -287,7 +307,7 @@ sc AS (SELECT h.seed AS event_id, h.node, s.name AS symbol,
 
 @query("h10_root_causes", f"WITH {ROOT} SELECT event_id, node, symbol, round(score / max(score) OVER (PARTITION BY event_id), 6) AS probability FROM sc")
 def _(t):
-    events, frames = failures(t)
+    events, frames = failures(t, 64)
     patches = (t.lineitem.filter("l_returnflag = 'R'").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
                .join(t.symbols.select("symbol_id", F.col("name").alias("symbol")), F.col("l_partkey") == F.col("symbol_id"))
                .select("symbol", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts_s")))

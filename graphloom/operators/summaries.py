@@ -186,8 +186,13 @@ def filter_summary(files: DataFrame, relevant: DataFrame) -> DataFrame:
     return marked.filter(F.coalesce("_hit", F.lit(False)) | F.col("_none")).drop("_hit", "_none", "_k")
 
 
-def architecture_map(modules: DataFrame, symbols: DataFrame, calls: DataFrame, module_edges: DataFrame, recent: DataFrame) -> DataFrame:
-    """Module signals, importance and priority score.
+# What the support level of a module adds to its priority; without one it counts as a guess from the file system.
+SUPPORT = {"indexed": 30, "unsupported_source": 20, "unsupported_source_group": 10, "filesystem_heuristic": 0}
+
+
+def architecture_map(modules: DataFrame, symbols: DataFrame, calls: DataFrame, module_edges: DataFrame, recent: DataFrame,
+                     support: DataFrame) -> DataFrame:
+    """Module signals, importance and priority score; ``support`` is (module, support_level).
 
     Signals: risk words, recent change, fan-out of two or more, entry points, and no tests among
     two or more files.
@@ -200,7 +205,10 @@ def architecture_map(modules: DataFrame, symbols: DataFrame, calls: DataFrame, m
                                          F.max(is_test_path(F.col("file"))).alias("tested"))
     fan = module_edges.groupBy(F.col("from_module").alias("module")).agg(F.count("*").alias("fan_out"))
     out = (base.join(fan, "module", "left").join(points, "module", "left")
-           .join(recent.select("module").distinct().withColumn("active", F.lit(True)), "module", "left"))
+           .join(recent.select("module").distinct().withColumn("active", F.lit(True)), "module", "left")
+           .join(support.select("module", "support_level"), "module", "left"))
+    level = F.coalesce("support_level", F.lit("filesystem_heuristic"))
+    worth = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in SUPPORT.items() for x in pair]), level), F.lit(0))
     out = out.withColumns({"fan_out": F.coalesce("fan_out", F.lit(0).cast("bigint")), "entry_points": F.coalesce("entry_points", F.lit(""))})
     more = F.array_compact(F.array(
         F.when(F.col("active"), F.lit("high_activity")), F.when(F.col("fan_out") >= 2, F.lit("high_fanout")),
@@ -209,4 +217,4 @@ def architecture_map(modules: DataFrame, symbols: DataFrame, calls: DataFrame, m
     out = out.withColumn("importance", importance(F.col("signals")))
     rank = F.when(F.col("importance") == "high", 3).when(F.col("importance") == "medium", 2).otherwise(1)
     return out.select("module", "path", "files", "fan_out", "entry_points", F.array_join("signals", ",").alias("signals"),
-                      "importance", (rank * 100 + 30 + F.size("signals")).cast("bigint").alias("score"))
+                      "importance", level.alias("support_level"), (rank * 100 + worth + F.size("signals")).cast("bigint").alias("score"))

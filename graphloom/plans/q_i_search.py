@@ -261,7 +261,7 @@ def _(t):
     return sm.filter_summary(files, t.symbols.join(hot, "name", "left_semi"))
 
 
-ARCH = """en AS (SELECT DISTINCT module, name FROM m_symbols JOIN m_modules USING (file) WHERE type <> 'import' AND name NOT IN (SELECT callee_symbol FROM m_calls)),
+ARCH = """en AS (SELECT DISTINCT module, name FROM m_symbols JOIN m_modules USING (file) WHERE type <> 'import' AND name NOT IN (SELECT raw_name FROM m_rawcalls)),
 ep AS (SELECT module, string_agg(name, ',' ORDER BY name) AS entry_points FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY name) AS r FROM en) WHERE r <= 4 GROUP BY 1),
 rm AS (SELECT module FROM (SELECT module, max(price) AS m FROM m_symbols JOIN m_modules USING (file) GROUP BY 1) ORDER BY m DESC, module LIMIT 3),
 b AS (SELECT module, min(module_path) AS path, count(*) AS files, max(regexp_matches(lower(file), 'test|spec')) AS tested FROM m_modules GROUP BY 1),
@@ -273,10 +273,18 @@ s AS (SELECT *, list_filter([CASE WHEN regexp_matches(l, 'auth|login|jwt|token|s
 am AS (SELECT module, path, files, fan_out, entry_points, array_to_string(g, ',') AS signals, CASE WHEN list_has_any(g, ['security', 'payments', 'infrastructure', 'high_fanout', 'entry_points']) THEN 'high' WHEN len(g) = 0 THEN 'low' ELSE 'medium' END AS importance, len(g) AS n FROM s)"""
 
 
-@query("i20_architecture_map", f"WITH {ARCH} SELECT * EXCLUDE (n), CASE importance WHEN 'high' THEN 300 WHEN 'medium' THEN 200 ELSE 100 END + 30 + n AS score FROM am")
+LEVELS = ["indexed", "unsupported_source", "unsupported_source_group"]
+
+
+@query("i20_architecture_map", f"""WITH {ARCH}, lv AS (SELECT module, {LEVELS}[1 + length(module) % 4] AS support_level FROM b)
+SELECT * EXCLUDE (n), CASE importance WHEN 'high' THEN 300 WHEN 'medium' THEN 200 ELSE 100 END
+  + CASE support_level WHEN 'indexed' THEN 30 WHEN 'unsupported_source' THEN 20 WHEN 'unsupported_source_group' THEN 10 ELSE 0 END + n AS score
+FROM (SELECT * EXCLUDE (support_level), COALESCE(support_level, 'filesystem_heuristic') AS support_level FROM am JOIN lv USING (module))""")
 def _(t):
     recent = rk.recent_modules(t.symbols.join(t.modules, "file"), "module", F.col("price"))
-    return sm.architecture_map(t.modules, t.symbols, t.calls, t.module_edges, recent)
+    level = F.get(F.lit(LEVELS), F.length("module") % 4)
+    support = t.modules.select("module").distinct().select("module", level.alias("support_level")).filter("support_level IS NOT NULL")
+    return sm.architecture_map(t.modules, t.symbols, t.rawcalls.withColumnRenamed("raw_name", "callee_symbol"), t.module_edges, recent, support)
 
 
 @query("i21_similar_errors", """

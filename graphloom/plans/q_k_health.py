@@ -11,8 +11,9 @@ from ..functions import classify as cl
 DEPTH = """ch AS (SELECT path, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT path, regexp_replace(replace(content, ', ', '{'), '[^{:}\\n]', '', 'g') AS t FROM m_docs) WHERE t <> ''),
 cp AS (SELECT path, i, sum(CASE WHEN c IN ('{', ':') THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY i) AS s FROM ch),
 dp AS (SELECT path, CAST(max(s - least(0, m)) AS INT) AS depth FROM (SELECT path, s, min(s) OVER (PARTITION BY path ORDER BY i) AS m FROM cp) GROUP BY 1)"""
-AUTH = "cl AS (SELECT * FROM m_calls)"
-CODE = f"""{DEPTH}, {AUTH}, un AS (SELECT * FROM m_symbols WHERE name NOT IN (SELECT callee_symbol FROM cl)),
+# Calls as written, before imports resolve them: some names are never called.
+RAW = "cl AS (SELECT file, caller_symbol, raw_name AS callee_symbol FROM m_rawcalls)"
+CODE = f"""{DEPTH}, {RAW}, un AS (SELECT * FROM m_symbols WHERE name NOT IN (SELECT callee_symbol FROM cl)),
 fn AS (SELECT *, greatest(end_line - start_line, 0) + 1 AS len FROM m_symbols WHERE type = 'function'),
 ld AS (SELECT name, arg_max(file, symbol_id) AS f FROM m_symbols GROUP BY 1),
 fg AS (SELECT DISTINCT a.f AS x, b.f AS y FROM cl JOIN ld a ON a.name = caller_symbol JOIN ld b ON b.name = callee_symbol),
@@ -34,7 +35,7 @@ arch AS (SELECT m AS module, 'TightCoupling' AS issue_type, CAST(n AS STRING) AS
 
 def code_issues(t):
     files = t.docs.select("path", F.replace("content", F.lit(", "), F.lit("{")).alias("content"))
-    return hl.code_health(t.symbols, t.calls, t.modules, files)
+    return hl.code_health(t.symbols, t.rawcalls.withColumnRenamed("raw_name", "callee_symbol"), t.modules, files)
 
 
 def arch_issues(t):

@@ -44,3 +44,10 @@ def test_every_inventory_row_has_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_rule_occurs(spark):
+    kinds = {r[0] for r in entry.queries()["j01_code_health"](spark, FOLDER).select("issue_type").distinct().collect()}
+    assert {"DeadCode", "UnusedImport", "LargeFunction", "DuplicateLogic", "CircularDependency", "DeepNesting"} <= kinds
+    modules = entry.queries()["i20_architecture_map"](spark, FOLDER).collect()
+    assert any(m.entry_points for m in modules) and len({m.support_level for m in modules}) >= 3

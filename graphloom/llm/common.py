@@ -73,8 +73,8 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Add ``_k``: the id together with a hash of the text, which tells rows with the same id apart."""
-    return docs.withColumn("_k", F.struct(F.col(key).alias("id"), F.hash(text).alias("t")))
+    """Add ``_k``: the id together with a 64-bit hash of the text, which tells rows with the same id apart."""
+    return docs.withColumn("_k", F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("t")))
 
 
 def chunks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

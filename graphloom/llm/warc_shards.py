@@ -35,6 +35,7 @@ from ..session import scratch_path
 
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "graphloom/warc")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+READ_BYTES = 16 << 20  # of archives, for one reading task
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -198,15 +199,22 @@ def read_archives(target: str, manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)],
                                                  names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "url"])
 
-    files = manifest.select("file", "sha1")
-    return files.repartition(F.col("file")).mapInArrow(
+    # The manifest is tiny, so adaptive execution would read all archives in one task: the bytes behind it decide.
+    total, count = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    parts = max(-(-total // READ_BYTES), min(count, manifest.sparkSession.sparkContext.defaultParallelism), 1)
+    return manifest.select("file", "sha1").repartition(parts, "file").mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, url string")
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` with the scheme of the file system Spark finds it in, so that all executors mean the same place."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def round_trip(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Write ``pages`` below the cluster's shared folder and read the archives back."""
-    target = scratch_path(pages.sparkSession, "warc")
-    if ":" not in target.partition("/")[0]:
-        target = f"file://{target}"
+    target = qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
     manifest = write_archives(pages, target, key)
     return read_archives(target, manifest).drop("file", "url").withColumnRenamed("page_id", key)

@@ -241,37 +241,50 @@ def _may_link(percent: int) -> Column:
     return (small * 100 >= large * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
-def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 5,
+def _roots(parents: DataFrame, jumps: int = 3) -> DataFrame:
+    """(comp, root) after ``jumps`` doublings of the pointers (comp, root), which form a forest."""
+    for _ in range(jumps):
+        up = parents.select(F.col("comp").alias("root"), F.col("root").alias("_up"))
+        parents = parents.join(up, "root", "left").select("comp", F.coalesce("_up", "root").alias("root"))
+    return parents
+
+
+def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 8,
                 block: int = 2048) -> DataFrame:
     """(node, root) of all sets with a link, from the shared signatures ``members`` (sig, node) and the size and
     sketch of each set in ``info`` (node, n, sketch).
 
-    Pivots change from round to round until a round links hardly anything new, at most ``rounds`` times;
-    however many rounds there are, the comparison after them is complete.
+    A signature's pivot is its set of the component with the smallest hash in this round, so components linked to
+    their pivots' components form a forest, and a few pointer jumps contract them; components proper are worked out
+    once, at the end. Pivots change from round to round until a round links hardly anything new, at most ``rounds``
+    times; however many rounds there are, the comparison after them is complete.
     """
-    links, label, tested, first = None, None, None, 0
+    links, tested, first = None, None, 0
+    label = info.select("node", F.col("node").alias("comp"))
     full = stored(members.join(info, "node"), "described")
     columns = ("node", "n", "sketch")
 
     def labelled() -> DataFrame:
-        if label is None:
-            return full.withColumn("comp", F.col("node"))
-        return full.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return full.join(label, "node")
 
     for turn in range(rounds):
-        now, order = labelled(), F.xxhash64("node", F.lit(turn))
-        pivots = now.groupBy("sig").agg(F.min_by(F.struct(*columns, "comp"), order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        pivots = pivots.select("sig", F.col("p.comp").alias("pcomp"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in columns])
-        pairs = now.join(pivots, "sig").filter("comp <> pcomp").withColumnsRenamed({c: f"{c}_b" for c in columns})
-        pairs = pairs.filter(_may_link(percent)).groupBy(F.col("node_b").alias("b")).agg(F.min_by("node_a", F.xxhash64("node_a", F.lit(turn))).alias("a"))
-        pairs = stored(pairs.select("a", "b"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified(pairs, elements, percent)
+        now, rank = labelled(), F.xxhash64("comp", F.lit(turn))
+        pivots = now.groupBy("sig").agg(F.min_by(F.struct(*columns, "comp"), F.struct(rank, "comp", F.xxhash64("node", F.lit(turn)))).alias("p"),
+                                        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        pivots = pivots.select("sig", F.col("p.comp").alias("comp_a"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in columns])
+        pairs = now.withColumnRenamed("comp", "comp_b").join(pivots, "sig").filter("comp_b <> comp_a").withColumnsRenamed({c: f"{c}_b" for c in columns})
+        pairs = pairs.filter(_may_link(percent)).groupBy(F.col("node_b").alias("b"), "comp_b").agg(
+            F.min_by(F.struct("node_a", "comp_a"), F.xxhash64("node_a", F.lit(turn))).alias("p"))
+        pairs = stored(pairs.select("p.node_a", "b", "p.comp_a", "comp_b").withColumnRenamed("node_a", "a"), "pairs")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        found = verified(pairs.select("a", "b"), elements, percent)
         links = found if links is None else links.unionByName(found)
         n_found = found.count()
-        if not turn or n_found:
-            label = components(links)
         first = first or n_found
+        if n_found:
+            hooks = pairs.join(found, ["a", "b"]).groupBy(F.col("comp_b").alias("comp")).agg(
+                F.min_by("comp_a", F.struct(F.xxhash64("comp_a", F.lit(turn)), "comp_a")).alias("root"))
+            label = stored(label.join(_roots(hooks), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "labels")
         if 20 * n_found <= first:
             break
     # What still lies in different components is compared in full, but only pairs that may link become rows.
@@ -285,7 +298,7 @@ def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFra
     old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(old, ["a", "b"], "left_anti"), "pairs")
     drop_stored(full)
-    return label if rest.isEmpty() else components(links.unionByName(verified(rest, elements, percent)))
+    return components(links if rest.isEmpty() else links.unionByName(verified(rest, elements, percent)))
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:

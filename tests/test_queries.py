@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from graphloom.operators.summaries import SUPPORT
 from graphloom.plans.adapters import BASE
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -47,7 +48,11 @@ def test_flagship(spark):
 
 
 def test_every_rule_occurs(spark):
-    kinds = {r[0] for r in entry.queries()["j01_code_health"](spark, FOLDER).select("issue_type").distinct().collect()}
-    assert {"DeadCode", "UnusedImport", "LargeFunction", "DuplicateLogic", "CircularDependency", "DeepNesting"} <= kinds
-    modules = entry.queries()["i20_architecture_map"](spark, FOLDER).collect()
-    assert any(m.entry_points for m in modules) and len({m.support_level for m in modules}) >= 3
+    """On tables large enough for all of them: modules of over 80 symbols, three functions of one length."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    kinds = {r[0] for r in entry.queries()["j01_code_health"](spark, folder).select("issue_type").distinct().collect()}
+    assert kinds == {"DeadCode", "UnusedImport", "LargeFunction", "LargeModule", "DuplicateLogic", "CircularDependency", "DeepNesting"}
+    modules = entry.queries()["i20_architecture_map"](spark, folder).collect()
+    assert any(m.entry_points for m in modules) and {m.support_level for m in modules} == {*SUPPORT}

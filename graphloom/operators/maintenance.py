@@ -50,19 +50,25 @@ def pattern_rows(errors: DataFrame) -> DataFrame:
 
 
 def ingest_statistics(changes: DataFrame) -> DataFrame:
-    """Counters of one run over (path, change, ms, failed, excluded) rows."""
-    ok = ~F.col("failed") & ~F.col("excluded")
+    """Counters of one run over (path, change, ms, at, failure, excluded) rows.
+
+    ``failure`` is null, ``read`` or ``parse``; ``at`` is when a file's turn came, so ``last_ms`` is the time of the last one.
+    """
+    ok = F.col("failure").isNull() & ~F.col("excluded")
     indexed = ok & F.col("change").isin("new", "changed")
+    spent = F.when(indexed, F.col("ms"))
     return changes.agg(
         F.count_if(indexed).alias("indexed"), F.count_if(ok & (F.col("change") == "unchanged")).alias("skipped"),
         F.count_if(F.col("change") == "deleted").alias("deleted"), F.count_if(F.col("excluded")).alias("excluded"),
-        F.count_if(F.col("failed") & ~F.col("excluded")).alias("failed"), F.max(F.when(indexed, F.col("ms"))).alias("max_ms"),
-        F.round(F.avg(F.when(indexed, F.col("ms"))), 6).alias("avg_ms"))
+        F.count_if((F.col("failure") == "read") & ~F.col("excluded")).alias("read_failed"),
+        F.count_if((F.col("failure") == "parse") & ~F.col("excluded")).alias("parse_failed"),
+        F.max_by(F.col("ms"), F.when(indexed, F.col("at"))).alias("last_ms"), F.sum(spent).alias("total_ms"),
+        F.max(spent).alias("max_ms"), F.round(F.avg(spent), 6).alias("avg_ms"))
 
 
 def failing_paths(changes: DataFrame, n: int = 20) -> DataFrame:
     """First failing paths for the report."""
-    return changes.filter("failed AND NOT excluded").select("path").orderBy("path").limit(n)
+    return changes.filter("failure IS NOT NULL AND NOT excluded").select("path").orderBy("path").limit(n)
 
 
 def coverage_state(targets: DataFrame, files: DataFrame) -> DataFrame:

@@ -157,22 +157,24 @@ def _(t):
     return rd.read_experiments(t.spark, path)
 
 
-RUN = f"""{SNAP}, st AS (SELECT change, m.path, n_chars % 97 AS ms, n_chars > 9000 AS failed, repo = 'src5' AS excluded FROM chg JOIN m_docs m USING (path))"""
+RUN = f"""{SNAP}, st AS (SELECT change, m.path, n_chars % 97 AS ms, doc_id AS turn, CASE WHEN n_chars <= 9000 THEN NULL WHEN n_chars % 2 = 0 THEN 'read' ELSE 'parse' END AS failure, repo = 'src5' AS excluded FROM chg JOIN m_docs m USING (path))"""
 
 
 def run_rows(t):
     changes = mt.classify_changes(*snapshot(t))
-    return changes.join(t.docs.select("path", (F.col("n_chars") % 97).alias("ms"), (F.col("n_chars") > 9000).alias("failed"), (F.col("repo") == "src5").alias("excluded")), "path")
+    failure = F.when(F.col("n_chars") > 9000, F.when(F.col("n_chars") % 2 == 0, "read").otherwise("parse"))
+    return changes.join(t.docs.select("path", (F.col("n_chars") % 97).alias("ms"), F.col("doc_id").alias("at"), failure.alias("failure"), (F.col("repo") == "src5").alias("excluded")), "path")
 
 
 @query("a13_ingest_statistics", f"""WITH {RUN} SELECT count(CASE WHEN ok AND change IN ('new', 'changed') THEN 1 END) AS indexed, count(CASE WHEN ok AND change = 'unchanged' THEN 1 END) AS skipped,
-  count(CASE WHEN change = 'deleted' THEN 1 END) AS deleted, count(CASE WHEN excluded THEN 1 END) AS excluded, count(CASE WHEN failed AND NOT excluded THEN 1 END) AS failed,
-  max(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END) AS max_ms, round(avg(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END), 6) AS avg_ms FROM (SELECT *, NOT failed AND NOT excluded AS ok FROM st)""")
+  count(CASE WHEN change = 'deleted' THEN 1 END) AS deleted, count(CASE WHEN excluded THEN 1 END) AS excluded, count(CASE WHEN failure = 'read' AND NOT excluded THEN 1 END) AS read_failed,
+  count(CASE WHEN failure = 'parse' AND NOT excluded THEN 1 END) AS parse_failed, arg_max(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END, CASE WHEN ok AND change IN ('new', 'changed') THEN turn END) AS last_ms,
+  CAST(sum(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END) AS BIGINT) AS total_ms, max(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END) AS max_ms, round(avg(CASE WHEN ok AND change IN ('new', 'changed') THEN ms END), 6) AS avg_ms FROM (SELECT *, failure IS NULL AND NOT excluded AS ok FROM st)""")
 def _(t):
     return mt.ingest_statistics(run_rows(t))
 
 
-@query("a13_failing_paths", f"WITH {RUN} SELECT path FROM st WHERE failed AND NOT excluded ORDER BY path LIMIT 20")
+@query("a13_failing_paths", f"WITH {RUN} SELECT path FROM st WHERE failure IS NOT NULL AND NOT excluded ORDER BY path LIMIT 20")
 def _(t):
     return mt.failing_paths(run_rows(t))
 

@@ -251,3 +251,12 @@ def test_similar_names_fill_up_with_unlike_ones(spark):
 def test_completion_alone_counts_nothing(spark):
     e = spark.createDataFrame([(None, None, 5), (None, 3, None), (None, 3, 4), (9, 1, 1)], "total_tokens_reported bigint, prompt_tokens_estimated bigint, completion_tokens_estimated bigint")
     assert [r[0] for r in e.select(ev.effective_tokens()).collect()] == [0, 3, 7, 9]
+
+
+def test_ingest_statistics_tell_failures_apart(spark):
+    runs = spark.createDataFrame([("a", "new", 5, 1, None, False), ("b", "changed", 7, 9, None, False), ("c", "new", 50, 10, "read", False), ("d", "new", 60, 11, "parse", False),
+                                  ("e", "new", 70, 12, "parse", True), ("f", "unchanged", 1, 13, None, False), ("g", "deleted", 0, 14, None, False)],
+                                 "path string, change string, ms int, at int, failure string, excluded boolean")
+    r = mt.ingest_statistics(runs).first()
+    assert (r.indexed, r.skipped, r.deleted, r.excluded, r.read_failed, r.parse_failed, r.last_ms, r.total_ms, r.max_ms, r.avg_ms) == (2, 1, 1, 1, 1, 1, 7, 12, 7, 6.0)
+    assert [x.path for x in mt.failing_paths(runs).collect()] == ["c", "d"]

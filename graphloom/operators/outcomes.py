@@ -95,6 +95,29 @@ def route_quality(cases: DataFrame, flags: Sequence[str], mutation_intents: Sequ
         .withColumn("scope", F.when(F.col("g") == 1, "overall").otherwise(F.col("intent"))).drop("g", "intent"))
 
 
+# Flags of a route case that count over all cases, and over those that change code.
+CASE_FLAGS = ("reviewable_or_better", "high_confidence", "intent_match", "selected_tool_match", "budget_match", "reference_only_match",
+              "single_file_fast_path_match", "result_symbol_match", "project_summary_match")
+MUTATION_FLAGS = ("reviewable_or_better", "high_confidence", "retry_recovered", "ready", "ready_without_retry", "exact_ready", "blocked", "scope_aligned",
+                  "scope_incomplete", "scope_missing_files", "scope_extra_files", "scope_missing_symbols", "scope_extra_symbols")
+
+
+def route_report(cases: DataFrame) -> DataFrame:
+    """Every rate of the route quality report, overall and per intent, with exact p95 latency.
+
+    A case is exactly ready or blocked by its ``bundle_status`` and ``state``. A null flag counts as false. Cases without
+    an intent count overall only. Scopes without a case that changes code have mutation rates of zero.
+    """
+    flags = dict.fromkeys([*CASE_FLAGS, *MUTATION_FLAGS])
+    given = cases.withColumns({"exact_ready": F.col("bundle_status") == "exact_ready", "blocked": F.col("state") == "blocked"})
+    given = given.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags}).withColumn("intent", F.nullif("intent", F.lit("")))
+    rates = route_quality(given, CASE_FLAGS, mutation_flags=MUTATION_FLAGS)
+    scoped = given.select(F.explode(F.array(F.lit("overall"), F.col("intent"))).alias("scope"), "latency_ms", "approx_tokens")
+    tokens = scoped.groupBy("scope").agg(F.round(F.avg("approx_tokens"), 4).alias("avg_tokens"))
+    p95 = value_at_fraction(scoped, ["scope"], "latency_ms", {"p95_latency_ms": 0.95})
+    return rates.filter("scope IS NOT NULL").join(tokens, "scope").join(p95, "scope")
+
+
 def weighted_mean(df: DataFrame, keys: Sequence[str], metric: str, weight: str) -> DataFrame:
     """Weighted mean per key; zero weights do not count and an empty group has none."""
     used = df.filter(F.col(weight) != 0)
@@ -126,6 +149,33 @@ def experiment_summary(tasks: DataFrame) -> DataFrame:
     return out.withColumn("regression_alert", (F.col("savings_pct") < -25.0) | (F.col("step_savings_pct") < -10.0))
 
 
+def experiment_rates(tasks: DataFrame, keys: Sequence[str] = ("suite",), overrun_pct: float = 25.0, step_pct: float = 10.0) -> DataFrame:
+    """Percentages of both arms, retrieval quality and gates over paired task rows, in one aggregation.
+
+    Coverage is the share of expected terms found, over all tasks of the group; without expected terms it is zero.
+    Retrieval time is a whole number of milliseconds a task. A null flag counts as false.
+    """
+    flags = ("executed", "validated", "tests_passed", "target_match", "heavy_first", "escalated", "escalation_skipped", "trimmed")
+    hit, control = F.col("hits_with") >= 2, F.col("hits_without") >= 2
+    steps_without = 4 + F.least(F.col("file_mentions"), F.lit(3))
+    steps_with = 3 + F.least(F.col("impacted_files"), F.lit(3)) + (F.col("hits_with") == 0).cast("bigint")
+    pct = lambda flag: F.round(F.count_if(flag) / F.count("*") * 100, 6)
+    saved = lambda a, b: F.when(a == 0, F.lit(0.0)).otherwise((a - b) / a * 100)
+    tokens = saved(F.sum("tokens_without"), F.sum("tokens_with"))
+    steps = saved(F.sum(steps_without), F.sum(steps_with))
+    found, expected = F.sum("terms_found"), F.sum("terms_expected")
+    out = tasks.groupBy(*keys).agg(
+        F.count("*").alias("task_count"), pct(control).alias("success_without_pct"), pct(hit).alias("success_with_pct"),
+        pct(hit & F.col("validated")).alias("validated_success_pct"), *[pct(F.col(f)).alias(f"{f}_pct") for f in flags],
+        pct(F.col("impacted_files") == 0).alias("empty_ref_pct"), pct(F.col("tokens_with") > F.col("tokens_without")).alias("over_control_pct"),
+        pct(~F.col("target_match") & ~hit).alias("misdirection_pct"),
+        F.round(F.when(expected == 0, F.lit(0.0)).otherwise(found / expected * 100), 6).alias("context_coverage_pct"),
+        F.floor(F.sum("retrieval_ms") / F.count("*")).alias("avg_retrieval_ms"),
+        tokens.alias("savings"), steps.alias("step_savings"))
+    return out.withColumn("regression_alert", (F.col("savings") < -overrun_pct) | (F.col("step_savings") < -step_pct)).withColumns(
+        {"savings_pct": F.round("savings", 6), "step_savings_pct": F.round("step_savings", 6)}).drop("savings", "step_savings")
+
+
 def evolution_risk(patches: DataFrame, plans: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
     """Half failure rate, 0.3 plan volume (full at 100 plans), 0.2 share of files that are no tests."""
     lower = F.lower(path)

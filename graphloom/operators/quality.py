@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .outcomes import share
-from .scale import top_n, value_at_fraction
+from .scale import ordered_scan, top_n, value_at_fraction
 
 # Tolerances of the regression rules.
 LATENCY_PCT, LATENCY_ABS_MS, TINY_BASE_MS, TINY_ABS_MS, CEILING_JITTER_MS = 0.25, 16.0, 5.0, 30.0, 5.0
@@ -20,6 +20,8 @@ MIN_P95_MS, MIN_AVG_MS, DRIFT_P95_MS, DRIFT_AVG_MS, WATCH_P95_MS, WATCH_AVG_MS =
 RULES = {"target_match_rate": "non_decreasing", "top_file_match_rate": "non_decreasing", "top_span_match_rate": "non_decreasing",
          "omission_rate": "non_increasing", "overfetch_rate": "non_increasing", "avg_latency_ms": "latency",
          "p95_latency_ms": "latency", "avg_tokens": "tokens", "max_tokens": "tokens"}
+FIXTURE_MODES = ("incomplete", "missing_files", "extra_files", "missing_symbols", "extra_symbols")
+REPORTED_RATE = 0.005
 DRIFT_MODES = ("missing_files", "extra_files", "missing_symbols", "extra_symbols")
 
 
@@ -229,3 +231,39 @@ def leading_drift(runs: DataFrame) -> DataFrame:
              .when(trailing <= EPSILON, "new").when(delta > 0.01, "worsening").when(delta < -0.01, "improving").otherwise("flat"))
     return h.select("suite", "run_id", F.coalesce("now.mode", "then.mode").alias("mode"), trend.alias("trend"),
                     F.round(F.when(F.col("now.mode").isNull(), 0.0).otherwise(delta * 100), 6).alias("delta_points"))
+
+
+def leading_fixture(fixture_runs: DataFrame, n: int = 3) -> DataFrame:
+    """Fixture that drifts most in every run and its trend against its own mean over the ``n`` runs before.
+
+    A fixture leads with its largest mode, the later of two equal ones; a run with the first by name of its largest
+    fixtures. Fixtures without cases that change code take no part, and runs in which a fixture takes no part do not
+    count towards its mean. A run without drift reports the largest fixture of the runs before as cleared (the oldest
+    run, then the last name of equal ones), if there is one above the reporting limit; otherwise it has no row.
+
+    Every run meets the runs before it by its number, so a long history is a join on (suite, number) and no window.
+    """
+    best = F.struct(F.lit(EPSILON).alias("rate"), F.lit(None).cast("string").alias("mode"))
+    for m in FIXTURE_MODES:
+        rate = F.coalesce(f"{m}_rate", F.lit(0.0))
+        best = F.when((rate > EPSILON) & (rate >= best["rate"]), F.struct(rate.alias("rate"), F.lit(m).alias("mode"))).otherwise(best)
+    runs = fixture_runs.select("suite", "run_id").distinct().withColumn("one", F.lit(1))
+    numbers = ordered_scan(runs, ["suite"], ["run_id"], F.floor(F.col("run_id") / 4096), running_sum={"nth": "one"}).drop("one")
+    entries = fixture_runs.filter("mutation_case_count > 0").withColumn("_best", best).select(
+        "suite", "run_id", "fixture", F.col("_best.mode").alias("mode"), F.when(F.col("_best.mode").isNull(), 0.0).otherwise(F.col("_best.rate")).alias("rate"))
+    entries = entries.join(numbers, ["suite", "run_id"])
+    drifting = entries.filter("mode IS NOT NULL")
+    leaders = drifting.groupBy("suite", "run_id", "nth").agg(
+        F.min_by(F.struct("fixture", "mode", "rate"), F.struct(-F.col("rate"), F.col("fixture"))).alias("top")).select("suite", "run_id", "nth", "top.*")
+    past = entries.select("suite", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("age"), "fixture", "mode", "rate", F.col("nth").alias("at"))
+    past = past.withColumn("nth", F.col("at") + F.col("age")).drop("at")
+    trail = past.join(leaders.select("suite", "nth", "fixture"), ["suite", "nth", "fixture"], "left_semi").groupBy("suite", "nth", "fixture").agg(F.avg("rate").alias("trail"))
+    now = leaders.join(trail, ["suite", "nth", "fixture"], "left").withColumn("trail", F.coalesce("trail", F.lit(0.0)))
+    points = (F.col("rate") - F.col("trail")) * 100
+    trend = F.when(F.col("trail") <= EPSILON, "new").when(points > 1.0, "worsening").when(points < -1.0, "improving").otherwise("flat")
+    now = now.select("suite", "run_id", "fixture", "mode", F.round("rate", 6).alias("rate"), trend.alias("trend"), F.round(points, 6).alias("delta_points"))
+    calm = numbers.join(leaders.select("suite", "nth"), ["suite", "nth"], "left_anti")
+    before = past.filter(F.col("rate") > REPORTED_RATE).join(calm, ["suite", "nth"])
+    cleared = before.groupBy("suite", "run_id").agg(F.max(F.struct("rate", "age", "fixture", "mode")).alias("top"))
+    return now.unionByName(cleared.select(
+        "suite", "run_id", "top.fixture", "top.mode", F.lit(0.0).alias("rate"), F.lit("cleared").alias("trend"), F.round(-F.col("top.rate") * 100, 6).alias("delta_points")))

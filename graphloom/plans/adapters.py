@@ -138,6 +138,48 @@ def _cases(d: Dialect) -> str:
     FROM lineitem"""
 
 
+def _route_cases(d: Dialect) -> str:
+    flags = {"reviewable_or_better": "l_tax < 0.07", "high_confidence": "l_discount < 0.05", "intent_match": "l_quantity < 45",
+             "selected_tool_match": "l_suppkey % 8 <> 0", "budget_match": "l_partkey % 6 <> 0", "reference_only_match": "l_partkey % 9 <> 1",
+             "single_file_fast_path_match": "l_suppkey % 5 <> 2", "result_symbol_match": "l_discount < 0.09", "project_summary_match": "l_tax < 0.08",
+             "retry_recovered": "l_orderkey % 11 = 0", "ready_without_retry": "l_orderkey % 11 <> 0 AND l_quantity < 30", "ready": "l_quantity < 30",
+             "scope_aligned": "l_partkey % 4 <> 0", "scope_incomplete": "l_partkey % 4 = 0", "scope_missing_files": "l_partkey % 8 = 0",
+             "scope_extra_files": "l_partkey % 8 = 4", "scope_missing_symbols": "l_partkey % 12 = 0", "scope_extra_symbols": "l_partkey % 12 = 4"}
+    return f"""
+    SELECT concat('suite_', l_returnflag) AS suite, concat('fx', CAST(l_suppkey % 10 AS STRING)) AS fixture,
+           CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS BIGINT) AS run_id,
+           CASE l_linenumber % 4 WHEN 0 THEN 'implement' WHEN 1 THEN 'refactor' WHEN 2 THEN 'debug' ELSE 'understand' END AS intent,
+           CASE l_orderkey % 3 WHEN 0 THEN 'exact_ready' WHEN 1 THEN 'partial' ELSE 'none' END AS bundle_status,
+           CASE l_orderkey % 5 WHEN 0 THEN 'blocked' WHEN 1 THEN 'review' ELSE 'ready' END AS state,
+           CAST(l_quantity AS DOUBLE) AS latency_ms, CAST(floor(l_extendedprice) AS BIGINT) AS approx_tokens,
+           {', '.join(f'{v} AS {k}' for k, v in flags.items())}
+    FROM lineitem"""
+
+
+def _fixture_runs(d: Dialect) -> str:
+    quiet = "month(o_orderdate) % 4 = 0"
+    rates = {"incomplete": "o_custkey % 9 = 0", "missing_files": "o_orderkey % 7 = 0", "extra_files": "o_orderkey % 5 = 0",
+             "missing_symbols": "o_custkey % 6 = 0", "extra_symbols": "o_custkey % 4 = 0"}
+    share = "CAST(sum(CASE WHEN {0} AND NOT {1} THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS {2}_rate"
+    return f"""
+    SELECT concat('suite_', substr(o_orderpriority, 1, 1)) AS suite, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS run_id,
+           concat('fx', CAST(o_custkey % 10 AS STRING)) AS fixture,
+           CAST(sum(CASE WHEN o_orderkey % 4 <> 3 THEN 1 ELSE 0 END) AS BIGINT) AS mutation_case_count,
+           {', '.join(share.format(v, quiet, k) for k, v in rates.items())}
+    FROM orders GROUP BY 1, 2, 3"""
+
+
+def _experiments(d: Dialect) -> str:
+    flags = {"executed": "o_custkey % 7 <> 0", "validated": "o_orderstatus <> 'F'", "tests_passed": "o_orderstatus = 'O'", "target_match": "o_custkey % 3 <> 0",
+             "heavy_first": "o_orderkey % 9 = 0", "escalated": "o_custkey % 10 = 1", "escalation_skipped": "o_custkey % 10 = 2", "trimmed": "o_orderkey % 6 = 1"}
+    return f"""
+    SELECT o_orderpriority AS suite, o_orderkey AS task, CAST(floor(o_totalprice / 10) AS BIGINT) AS tokens_without,
+           CAST(floor(o_totalprice / 12) AS BIGINT) + o_custkey AS tokens_with, o_orderkey % 7 AS file_mentions, o_custkey % 5 AS impacted_files,
+           o_orderkey % 4 AS hits_without, o_custkey % 4 AS hits_with, o_custkey % 4 AS terms_found, o_custkey % 4 + o_orderkey % 3 AS terms_expected,
+           CAST(floor(o_totalprice / 5000) AS BIGINT) AS retrieval_ms, {', '.join(f'{v} AS {k}' for k, v in flags.items())}
+    FROM orders"""
+
+
 def _runs(d: Dialect) -> str:
     return f"""
     SELECT concat('suite_', substr(o_orderpriority, 1, 1)) AS suite,
@@ -272,7 +314,7 @@ MODELS = {
     "m_meta": _meta, "m_imports": _imports, "m_rawcalls": _rawcalls, "m_reexports": _reexports, "m_tasks": _tasks, "m_code": _code, "m_notes": _notes, "m_contracts": _contracts,
     "m_telemetry": _telemetry, "m_symbols": _symbols, "m_calls": _calls, "m_edges": _edges,
     "m_docs": _docs, "m_nodes": _nodes, "m_items": _items, "m_patches": _patches, "m_cases": _cases,
-    "m_runs": _runs, "m_repo_edges": _repo_edges, "m_repos": _repos, "m_modules": _modules, "m_module_edges": _module_edges,
+    "m_runs": _runs, "m_route_cases": _route_cases, "m_fixture_runs": _fixture_runs, "m_experiments": _experiments, "m_repo_edges": _repo_edges, "m_repos": _repos, "m_modules": _modules, "m_module_edges": _module_edges,
 }
 
 

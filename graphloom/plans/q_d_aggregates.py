@@ -150,6 +150,22 @@ def _(t):
     return oc.route_quality(t.cases, ["target_match", "top_file_match"], mutation_flags=["top_span_match", "target_match"])
 
 
+MUTATES = "intent IN ('implement', 'refactor')"
+ROUTE_RATES = ", ".join(
+    [f"round(avg(CAST({f} AS DOUBLE)), 6) AS {f}_rate" for f in oc.CASE_FLAGS]
+    + [f"round(COALESCE(avg(CASE WHEN {MUTATES} THEN CAST({f} AS DOUBLE) END), CAST(0 AS DOUBLE)), 6) AS mutation_{f}_rate" for f in oc.MUTATION_FLAGS])
+
+
+@query("d11_route_report", f"""
+WITH c AS (SELECT *, bundle_status = 'exact_ready' AS exact_ready, state = 'blocked' AS blocked FROM m_route_cases),
+s AS (SELECT *, 'overall' AS scope FROM c UNION ALL SELECT *, intent AS scope FROM c)
+SELECT scope, count(*) AS case_count, count(CASE WHEN {MUTATES} THEN 1 END) AS mutation_case_count, {ROUTE_RATES},
+  round(avg(latency_ms), 6) AS avg_latency_ms, max(approx_tokens) AS max_tokens, round(avg(approx_tokens), 4) AS avg_tokens,
+  {pct('list(latency_ms)', 'count(*)', 0.95)} AS p95_latency_ms FROM s GROUP BY 1""")
+def _(t):
+    return oc.route_report(t.route_cases)
+
+
 @query("d12_weighted_mean", """
 SELECT fixture, round(CAST(sum(CAST(latency_ms AS BIGINT) * approx_tokens) AS DOUBLE) / CAST(sum(approx_tokens) AS DOUBLE), 6) AS weighted_mean
 FROM m_cases WHERE approx_tokens <> 0 GROUP BY 1""")
@@ -246,6 +262,26 @@ def _(t):
     return oc.experiment_summary(tasks)
 
 
+EXPERIMENT_PCTS = ", ".join(f"round(CAST(count(CASE WHEN {flag} THEN 1 END) AS DOUBLE) / count(*) * 100, 6) AS {name}_pct" for name, flag in {
+    "success_without": "hits_without >= 2", "success_with": "hits_with >= 2", "validated_success": "hits_with >= 2 AND validated", "executed": "executed",
+    "validated": "validated", "tests_passed": "tests_passed", "target_match": "target_match", "heavy_first": "heavy_first", "escalated": "escalated",
+    "escalation_skipped": "escalation_skipped", "trimmed": "trimmed", "empty_ref": "impacted_files = 0", "over_control": "tokens_with > tokens_without",
+    "misdirection": "NOT target_match AND hits_with < 2"}.items())
+
+
+@query("d22_experiment_rates", f"""
+WITH s AS (SELECT suite, count(*) AS task_count, {EXPERIMENT_PCTS},
+    round(CAST(sum(terms_found) AS DOUBLE) / CAST(sum(terms_expected) AS DOUBLE) * 100, 6) AS context_coverage_pct,
+    CAST(floor(CAST(sum(retrieval_ms) AS DOUBLE) / count(*)) AS BIGINT) AS avg_retrieval_ms,
+    CAST(sum(tokens_without) - sum(tokens_with) AS DOUBLE) / CAST(sum(tokens_without) AS DOUBLE) * 100 AS savings,
+    CAST(sum(4 + least(file_mentions, 3)) - sum(3 + least(impacted_files, 3) + CAST(hits_with = 0 AS BIGINT)) AS DOUBLE)
+      / CAST(sum(4 + least(file_mentions, 3)) AS DOUBLE) * 100 AS step_savings FROM m_experiments GROUP BY 1)
+SELECT s.* EXCLUDE (savings, step_savings), round(savings, 6) AS savings_pct, round(step_savings, 6) AS step_savings_pct,
+  savings < -25 OR step_savings < -10 AS regression_alert FROM s""")
+def _(t):
+    return oc.experiment_rates(t.experiments)
+
+
 @query("d23_evolution_risk", f"""
 SELECT round((SELECT avg(CAST(NOT {OK} AS DOUBLE)) FROM m_patches) * 0.5 + (SELECT least(count(*) / CAST(100 AS DOUBLE), 1) FROM m_repo_edges) * 0.3
   + (SELECT 1 - avg(CAST(contains(lower(file), 'test') OR contains(lower(file), 'spec') AS DOUBLE)) FROM m_modules) * 0.2, 6) AS risk_score""")

@@ -230,6 +230,25 @@ def _(t):
     return ql.leading_drift(t.runs)
 
 
+@query("j12_leading_fixture", """
+WITH nr AS (SELECT suite, run_id, row_number() OVER (PARTITION BY suite ORDER BY run_id) AS nth FROM (SELECT DISTINCT suite, run_id FROM m_fixture_runs)),
+f AS (SELECT f.*, nth FROM m_fixture_runs f JOIN nr USING (suite, run_id) WHERE mutation_case_count > 0),
+u AS (SELECT suite, nth, fixture, 1 AS o, 'incomplete' AS mode, incomplete_rate AS rate FROM f UNION ALL SELECT suite, nth, fixture, 2, 'missing_files', missing_files_rate FROM f
+  UNION ALL SELECT suite, nth, fixture, 3, 'extra_files', extra_files_rate FROM f UNION ALL SELECT suite, nth, fixture, 4, 'missing_symbols', missing_symbols_rate FROM f
+  UNION ALL SELECT suite, nth, fixture, 5, 'extra_symbols', extra_symbols_rate FROM f),
+e AS (SELECT suite, nth, fixture, CASE WHEN rate > 0.000001 THEN mode END AS mode, CASE WHEN rate > 0.000001 THEN rate ELSE 0 END AS rate
+  FROM (SELECT *, row_number() OVER (PARTITION BY suite, nth, fixture ORDER BY rate DESC, o DESC) AS r FROM u) WHERE r = 1),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suite, nth ORDER BY rate DESC, fixture) AS r FROM e WHERE mode IS NOT NULL) WHERE r = 1),
+w AS (SELECT l.*, COALESCE((SELECT avg(e.rate) FROM e WHERE e.suite = l.suite AND e.fixture = l.fixture AND e.nth BETWEEN l.nth - 3 AND l.nth - 1), CAST(0 AS DOUBLE)) AS trail FROM l),
+c AS (SELECT nr.suite, nr.run_id, e.fixture, e.mode, e.rate, row_number() OVER (PARTITION BY nr.suite, nr.nth ORDER BY e.rate DESC, e.nth, e.fixture DESC) AS r
+  FROM nr JOIN e ON e.suite = nr.suite AND e.nth BETWEEN nr.nth - 3 AND nr.nth - 1 AND e.rate > 0.005 WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.suite = nr.suite AND l.nth = nr.nth))
+SELECT suite, run_id, fixture, mode, round(rate, 6) AS rate, CASE WHEN trail <= 0.000001 THEN 'new' WHEN (rate - trail) * 100 > 1 THEN 'worsening'
+  WHEN (rate - trail) * 100 < -1 THEN 'improving' ELSE 'flat' END AS trend, round((rate - trail) * 100, 6) AS delta_points FROM w JOIN nr USING (suite, nth)
+UNION ALL SELECT suite, run_id, fixture, mode, CAST(0 AS DOUBLE), 'cleared', round(-rate * 100, 6) FROM c WHERE r = 1""")
+def _(t):
+    return ql.leading_fixture(t.fixture_runs)
+
+
 @query("e13_symbols_per_file", """
 WITH c AS (SELECT callee_symbol AS name, count(*) AS calls FROM m_calls GROUP BY 1)
 SELECT file, name, symbol_id, calls FROM (SELECT file, name, symbol_id, COALESCE(calls, 0) AS calls,

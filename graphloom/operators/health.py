@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.classify import is_test_path_strict
 from ..functions.text import nesting_depth
-from ..session import cut_lineage
 from .callgraph import reciprocal
-from .scale import any_text_contains
+from .scale import any_text_contains, positions
 from .summaries import duplicate_lengths, module_symbol_counts
 
 
@@ -104,23 +103,9 @@ def improvement_plans(code: DataFrame, architecture: DataFrame) -> DataFrame:
 
 
 def evolution_graph(plans: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Chain the plans in order: node ``ev_i`` depends on ``ev_{i-1}``.
-
-    Positions are counted per leading text of the id first and shifted by the rows before it, so no
-    task sorts all plans.
-    """
-    head = F.substring(order[0], 1, 24)
-    rows = cut_lineage(plans).withColumn("_b", head)
-    local = rows.withColumn("_n", F.row_number().over(W.partitionBy("_b", F.substring(order[0], 25, 12)).orderBy(*order)))
-    sizes = rows.groupBy("_b", F.substring(order[0], 25, 12).alias("_c")).agg(F.count("*").alias("_size"))
-    inner = W.partitionBy("_b").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    outer = sizes.groupBy("_b").agg(F.sum("_size").alias("_all"))
-    outer = outer.withColumn("_out", F.coalesce(F.sum("_all").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = (local.withColumn("_c", F.substring(order[0], 25, 12)).join(sizes.select("_b", "_c", "_in"), ["_b", "_c"])
-              .join(outer.select("_b", "_out"), "_b"))
-    idx = F.col("_n") - 1 + F.col("_in") + F.col("_out")
-    return placed.withColumn("position", idx).select(
+    """Chain the plans in order: node ``ev_i`` depends on ``ev_{i-1}``. Equal plans follow each other in any order."""
+    placed = positions(plans, order)
+    return placed.select(
         F.concat(F.lit("ev_"), F.col("position").cast("string")).alias("node_id"),
         F.when(F.col("position") > 0, F.concat(F.lit("ev_"), (F.col("position") - 1).cast("string"))).alias("depends_on"),
         "position", *plans.columns)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import Window as W, functions as F
 
 from graphloom.operators import intervals as iv, maintenance as mt, scale, search as se
@@ -49,6 +50,32 @@ def test_value_at_fraction_is_the_exact_element(spark):
             assert got[k][name] == vals[min(math.floor(len(vals) * p), len(vals) - 1)]
 
 
+@pytest.mark.parametrize("values", [[i / 997 for i in range(997)], [-5.5, -0.25, -0.25, 0.0, 1e-9, 3.0, 1e18], [1.7e9 + i for i in range(300)], [0.0] * 5,
+                                    [float("-inf"), -1e300, 5e-324, float("inf"), float("inf")]])
+def test_value_at_fraction_of_any_numbers(spark, values):
+    mixed = random.Random(3).sample(values, len(values))
+    got = scale.value_at_fraction(spark.createDataFrame([("k", v) for v in mixed] + [("k", None)], "k string, v double"), ["k"], "v", {"p10": 0.1, "p50": 0.5, "p95": 0.95}).first()
+    for name, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95)):
+        assert got[name] == sorted(values)[min(math.floor(len(values) * p), len(values) - 1)]
+
+
+def test_rates_spread_over_many_bins(spark):
+    rates = spark.range(1, 1001).select(scale.quantile_bin(F.col("id") / 1000).alias("b"), "id")
+    assert rates.select("b").distinct().count() > 500
+    assert rates.orderBy("id").agg(F.collect_list("b").alias("l")).first().l == [r.b for r in rates.orderBy("b", "id").collect()]
+    last = spark.sql("SELECT double('NaN') AS v UNION ALL SELECT double('Infinity')").select(scale.quantile_bin(F.col("v")).alias("b"), "v").orderBy(F.desc("b")).first()
+    assert math.isnan(last.v)
+
+
+def test_positions_follow_the_order(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("abcd") * rng.randrange(4), rng.randrange(50)) for _ in range(700)] + [("same", 1)] * 300
+    df = spark.createDataFrame(data, "a string, b int").repartition(7)
+    got = sorted((r.position, r.a, r.b) for r in scale.positions(df, ["a", "b"]).collect())
+    assert [p for p, _, _ in got] == list(range(1000)) and [(a, b) for _, a, b in got] == sorted(data)
+    assert scale.positions(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_containing_pairs_equals_nested_loop(spark):
     random.seed(11)
     words = ["".join(random.choice("abc") for _ in range(random.randrange(1, 9))) for _ in range(60)]

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 MARK = "▁"
 LITERAL_MARK = "literal mark"  # a symbol of its own, so that a mark in a text is no space
@@ -157,10 +157,29 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _make_room(df: DataFrame, new: list[str]) -> DataFrame:
+    """``df`` with columns that clash with ``new`` names, in either case, renamed to ``own_`` and their name."""
+    taken = {c.lower() for c in [*df.columns, *new]}
+    clash = {c.lower() for c in new}
+    names = []
+    for c in df.columns:
+        name = c
+        while name.lower() in clash or name != c and name.lower() in taken:
+            name = f"own_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
+
+
 def encode(docs: DataFrame, text: str = "text", model: str = DEFAULT_MODEL, ids: str = "ids") -> DataFrame:
-    """``docs`` without its text but with the piece ids, their number and whether they decode to the text."""
+    """``docs`` without its text but with the piece ids, their number and whether they decode to the text.
+
+    Null and empty texts have no pieces. Every row is coded by itself, repeated ones too; an empty table gives an empty
+    table. Own columns that are called like a new one stay as ``own_`` and their name (again ``own_`` while that is taken).
+    """
     vocabulary = read_vocabulary(model)  # goes to the tasks with the function; as large as its file, whatever the input
-    kept = [c for c in docs.columns if c not in (text, ids, "n_tokens", "round_trip")]
+    docs = _make_room(docs, [c for c in (ids, "n_tokens", "round_trip") if c != text])
+    kept = [c for c in docs.columns if c != text]
     inner = docs.select(*kept, text)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{ids}` array<int>, n_tokens long, round_trip boolean"])
 
@@ -195,8 +214,3 @@ def decode(rows: DataFrame, ids: str = "ids", model: str = DEFAULT_MODEL, text:
             yield pa.RecordBatch.from_arrays([*[_column(batch, c) for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
 
     return rows.select(*kept, ids).mapInArrow(run, schema)
-
-
-def token_counts(encoded: DataFrame, by: str) -> DataFrame:
-    """Documents and pieces per value of a column."""
-    return encoded.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

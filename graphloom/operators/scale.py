@@ -182,27 +182,35 @@ def grams(text: Column, n: int) -> Column:
     )).otherwise(F.array().cast("array<string>"))
 
 
+# Texts of a gram are dealt over this many join keys: those of short needles, whose grams are in most texts, and others.
+SHORT_SALTS, GRAM_SALTS = 64, 4
+
+
 def containing_pairs(needles: DataFrame, needle: str, hay: DataFrame, text: str,
                      size: int = 3) -> DataFrame:
     """Pairs (needle, text) of distinct strings where ``text`` contains ``needle``.
 
     An equality join on one gram per needle replaces the nested loop: of all grams of the needle
     the one that occurs in the fewest texts is used, so common grams do not build large groups.
+    Texts are cut into grams once and keep only grams that some needle has. The texts of a gram are
+    dealt over several keys, those of a gram shorter than ``size`` over many.
     """
     n = needles.select(needle).distinct().filter(F.length(needle) > 0)
-    h = hay.select(text).distinct()
-    lengths = range(1, size + 1)
-    every = F.array_distinct(F.concat(*[grams(F.col(text), k) for k in lengths]))
-    posting = h.select(text, F.explode(every).alias("_g"))
-    df = posting.groupBy("_g").agg(F.count("*").alias("_df"))
     own = F.when(F.length(needle) < size, F.array(F.col(needle))).otherwise(grams(F.col(needle), size))
+    asked = n.select(needle, F.explode(own).alias("_g"), F.size(own).alias("_need"))
+    every = F.array_distinct(F.concat(*[grams(F.col(text), k) for k in range(1, size + 1)]))
+    posting = hay.select(text).distinct().select(text, F.explode(every).alias("_g")).join(asked.select("_g").distinct(), "_g", "left_semi")
+    salts = F.when(F.length("_g") < size, SHORT_SALTS).otherwise(GRAM_SALTS)
+    posting = cut_lineage(posting.withColumn("_salt", F.pmod(F.xxhash64(text), salts).cast("int")))
+    df = posting.groupBy("_g").agg(F.count("*").alias("_df"))
     rare = (
-        n.select(needle, F.explode(own).alias("_g")).join(df, "_g")
+        asked.join(df, "_g")
         .groupBy(needle).agg(F.min_by("_g", F.struct("_df", "_g")).alias("_g"),
-                             F.count("*").alias("_found"), F.first(F.size(own)).alias("_need"))
+                             F.count("*").alias("_found"), F.first("_need").alias("_need"))
         .filter(F.col("_found") == F.col("_need"))
     )
-    return rare.join(posting, "_g").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
+    dealt = rare.select(needle, "_g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    return dealt.join(posting, ["_g", "_salt"]).filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
 
 
 def any_text_contains(needles: DataFrame, needle: str, hay: DataFrame, text: str) -> DataFrame:

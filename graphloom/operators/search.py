@@ -351,48 +351,124 @@ def file_evidence(symbols: DataFrame, imports: DataFrame) -> DataFrame:
 KIND_ORDER = {"struct": 0, "enum": 0, "trait": 0, "implblock": 1, "method": 2, "function": 3, "module": 4}
 
 
-def ranked_symbols(queries: DataFrame, typed: DataFrame, imports: DataFrame, n: int) -> DataFrame:
-    """Rank matches by path, crate and import evidence, then by name, ownership, kind and place;
-    equal (name, file, start) rows count once."""
-    rows = matched_symbols(queries, typed).join(typed, "symbol_id").withColumn("h", query_hints(F.col("query")))
+def with_evidence(rows: DataFrame, imports: DataFrame) -> DataFrame:
+    """Add ``qualified``, ``by_import``, ``own_file`` and the sorting ``key`` to (``h``, typed symbol) rows.
+
+    Path, crate and import evidence come first, then name, ownership, kind and place.
+    """
     low = lambda c: F.coalesce(F.lower(c), F.lit(""))
     name, owner, trait, module, crate = (low(c) for c in ("name", "owner_name", "trait_name", "module_path", "crate_name"))
     hint, norm, leaf = F.col("h.module_hint"), F.col("h.normalized"), F.col("h.leaf")
-    evid = imports.select("file", F.lower("local_name").alias("leaf")).distinct().withColumn("hit", F.lit(True))
-    by_leaf = evid.withColumnRenamed("hit", "by_leaf")
-    by_trait = evid.select("file", F.col("leaf").alias("trait"), F.col("hit").alias("by_trait"))
-    own = imports.filter(F.col("file") == F.col("target_file")).select("file").distinct().withColumn("own_file", F.lit(True))
-    rows = (rows.withColumns({"leaf": leaf, "trait": trait}).join(by_leaf, ["file", "leaf"], "left")
-            .join(by_trait, ["file", "trait"], "left").join(own, "file", "left"))
+    evid = imports.select("file", F.lower("local_name").alias("_leaf")).distinct().withColumn("_hit", F.lit(True))
+    by_leaf = evid.withColumnRenamed("_hit", "_by_leaf")
+    by_trait = evid.select("file", F.col("_leaf").alias("_trait"), F.col("_hit").alias("_by_trait"))
+    own = imports.filter(F.col("file") == F.col("target_file")).select("file").distinct().withColumn("_own", F.lit(True))
+    rows = (rows.withColumns({"_leaf": leaf, "_trait": trait}).join(by_leaf, ["file", "_leaf"], "left")
+            .join(by_trait, ["file", "_trait"], "left").join(own, "file", "left"))
     qualified = (F.when(hint.isNull(), 1).when((module == hint) | F.endswith(module, F.concat(F.lit("::"), hint)) | (name == norm), 0)
                  .when(F.contains(module, hint) | F.contains(name, hint), 1).otherwise(2))
     crate_bias = F.when(crate == F.col("h.crate_hint"), 0).otherwise(1)
-    import_bias = F.when(F.coalesce("by_leaf", "by_trait", F.lit(False)), 0).otherwise(2)
-    resolved_bias = F.when(F.coalesce("own_file", F.lit(False)), 0).otherwise(2)
+    import_bias = F.when(F.coalesce("_by_leaf", "_by_trait", F.lit(False)), 0).otherwise(2)
+    resolved_bias = F.when(F.coalesce("_own", F.lit(False)), 0).otherwise(2)
     exact = F.when(name == norm, 0).otherwise(1)
     ownership = F.when((owner == norm) | (trait == norm), 0).when(F.contains(name, norm), 1).otherwise(2)
     kinds = F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])
-    kind = F.coalesce(kinds[F.lower("kind")], F.lit(5))
+    kind = F.coalesce(kinds[kind_of("kind")], F.lit(5))
     type_bias = F.when(F.col("type") == "class", 0).when(F.col("type") == "function", 1).otherwise(2)
     key = F.struct(qualified.alias("a"), crate_bias.alias("b"), import_bias.alias("c"), resolved_bias.alias("d"), exact.alias("e"),
                    ownership.alias("f"), kind.alias("g"), type_bias.alias("h"), F.coalesce("crate_name", F.lit("")).alias("i"),
                    F.col("file").alias("j"), F.col("start_line").alias("k"))
-    rows = rows.withColumn("key", key)
+    return rows.withColumns({"qualified": qualified, "by_import": import_bias == 0, "own_file": resolved_bias == 0, "key": key}).drop(
+        "_leaf", "_trait", "_by_leaf", "_by_trait", "_own")
+
+
+def kind_of(kind: str) -> Column:
+    """Kind of a symbol in one spelling: ``impl_block``, ``ImplBlock`` and ``implblock`` are the same."""
+    return F.lower(F.replace(kind, F.lit("_"), F.lit("")))
+
+
+def ranked_symbols(queries: DataFrame, typed: DataFrame, imports: DataFrame, n: int) -> DataFrame:
+    """First ``n`` matches by evidence (``with_evidence``); equal (name, file, start) rows count once."""
+    rows = matched_symbols(queries, typed).join(typed, "symbol_id").withColumn("h", query_hints(F.col("query")))
+    rows = with_evidence(rows, imports)
     one = top_n(rows, ["query", "name", "file", "start_line"], [F.col("key"), F.col("symbol_id")], 1)
     return top_n(one, ["query"], [F.col("key"), F.col("symbol_id")], n, "rank")
 
 
-def type_context(queries: DataFrame, typed: DataFrame, n: int) -> DataFrame:
-    """Definitions, implementation blocks and methods of a type, within the definition's crate."""
-    owned = queries.select("query", F.lower("query").alias("_o")).distinct().join(
-        typed.withColumn("_o", F.lower("owner_name")), "_o")
-    group = (F.when(F.col("kind") == "Struct", "definition").when(F.col("kind") == "ImplBlock", "impl_block")
-             .when(F.col("kind") == "Method", "method"))
-    owned = owned.withColumn("group", group).filter("group IS NOT NULL")
-    order = ["file", "start_line", "symbol_id"]
-    crate = owned.filter("group = 'definition'").groupBy("query").agg(F.min_by("crate_name", F.struct(*order)).alias("_crate"))
-    kept = owned.join(crate, "query", "left").filter(F.col("_crate").isNull() | (F.col("_crate") == F.col("crate_name")))
-    return top_n(kept, ["query", "group"], [F.col(c) for c in order], n, "rank").select("query", "group", "rank", "symbol_id", "name", "file")
+# Kinds that define a name; items per group up to so many tokens, and beyond; how much of an item is shown.
+DEFINING = ("struct", "enum", "trait", "function")
+CONTEXT_ITEMS = ((250, 3), (500, 6), (900, 10), (None, 14))
+CONTEXT_DETAIL = ((280, "signature_first"), (600, "bounded_span"), (None, "expanded_span"))
+
+
+def _by_tokens(table: Sequence[tuple], max_tokens: int):
+    return next(value for limit, value in table if limit is None or max_tokens <= limit)
+
+
+def module_of(file: str) -> Column:
+    """Module path that a source file stands for by its place alone; crate and module roots stand for their folder."""
+    path = F.regexp_replace(F.replace(file, F.lit("\\"), F.lit("/")), r"(\.rs)+(/.*)?$", ".rs")
+    path = F.regexp_replace(F.regexp_replace(path, r"(^|/)(lib|main|mod)\.rs$", ""), r"\.rs$", "")
+    return F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "::")
+
+
+def type_context(queries: DataFrame, typed: DataFrame, imports: DataFrame, max_tokens: int) -> DataFrame:
+    """Definitions, implementation blocks, methods and modules of a type, one row per item.
+
+    Definitions carry the query's last segment as their name and lie in its module and crate. The crate of the best of
+    them is preferred: only its symbols take part; without a definition all do. Implementation blocks belong to the name
+    as their owner or trait; methods belong to it or to the owner of one of the blocks shown, or their name contains it.
+    Both are ordered by evidence; under a qualified query those that its path or an import of their file supports push
+    out the others, unless there are none. Modules are those of all items shown. Names compare without regard to case.
+    ``max_tokens`` sets the number of items per group and their detail.
+    """
+    n = _by_tokens(CONTEXT_ITEMS, max_tokens)
+    h = cut_lineage(queries.select("query").filter("query IS NOT NULL").distinct().withColumn("h", query_hints(F.col("query"))).withColumn("_leaf", F.col("h.leaf")))
+    low = lambda c: F.coalesce(F.lower(c), F.lit(""))
+    hint, crate_hint = F.col("h.module_hint"), F.col("h.crate_hint")
+    best = [F.col("key"), F.col("symbol_id")]
+    place = ["query", "name", "file", "start_line"]
+
+    names = typed.filter(kind_of("kind").isin(*DEFINING)).withColumn("_leaf", F.lower("name"))
+    inside = (hint.isNull() | F.contains(low("module_path"), hint)) & (
+        crate_hint.isNull() | (low("crate_name") == "") | (low("crate_name") == crate_hint) | F.startswith(low("module_path"), crate_hint))
+    found = with_evidence(h.join(names, "_leaf").filter(inside), imports)
+    found = cut_lineage(top_n(found, place, best, 1))
+    anchor = first_per_key(found, ["query"], best).select("query", F.col("crate_name").alias("preferred_crate"))
+    asked = cut_lineage(h.join(anchor, "query", "left"))
+    preferred = F.col("preferred_crate").isNull() | F.col("crate_name").eqNullSafe(F.col("preferred_crate"))
+    defined = top_n(found.join(anchor, "query").filter(preferred), ["query"], best, n, "rank")
+
+    def supported(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """First ``n`` of (query, symbol_id) pairs: none without support if any has it."""
+        rows = asked.join(pairs.distinct(), "query").join(members, "symbol_id").filter(preferred)
+        rows = top_n(with_evidence(rows, imports), place, best, 1)
+        rows = rows.withColumn("_ok", hint.isNull() | (F.col("qualified") == 0) | F.col("by_import") | F.col("own_file"))
+        rows = top_n(rows, ["query"], [F.desc("_ok"), *best], n, "rank")
+        return rows.withColumn("_any", F.max("_ok").over(W.partitionBy("query"))).filter("_ok OR NOT _any")
+
+    def related(members: DataFrame, *columns: str) -> DataFrame:
+        keyed = members.select("symbol_id", F.explode(F.array_distinct(F.array_compact(F.array(*[F.lower(c) for c in columns])))).alias("_leaf"))
+        return asked.select("query", "_leaf").join(keyed, "_leaf").select("query", "symbol_id")
+
+    blocks = typed.filter(kind_of("kind") == "implblock")
+    shown = cut_lineage(supported(related(blocks, "owner_name", "trait_name"), blocks))
+    methods = typed.filter(kind_of("kind") == "method").withColumn("_n", F.lower("name"))
+    owners = shown.select("query", F.lower("owner_name").alias("_o")).filter("_o IS NOT NULL").distinct()
+    owned = owners.join(methods.select("symbol_id", F.lower("owner_name").alias("_o")), "_o").select("query", "symbol_id")
+    named = containing_pairs(asked, "_leaf", methods, "_n")
+    named = asked.select("query", "_leaf").join(named, "_leaf").join(methods.select("symbol_id", "_n"), "_n").select("query", "symbol_id")
+    pairs = related(methods, "owner_name", "trait_name").unionByName(owned).unionByName(named)
+    members = supported(pairs, methods.drop("_n"))
+
+    cols = ["query", "rank", "symbol_id", "name", "file", "module_path", "preferred_crate"]
+    items = defined.select(*cols).withColumn("group", F.lit("definition"))
+    items = items.unionByName(shown.select(*cols).withColumn("group", F.lit("impl_block"))).unionByName(members.select(*cols).withColumn("group", F.lit("method")))
+    items = cut_lineage(items)
+    modules = items.select("query", "preferred_crate", F.coalesce("module_path", module_of("file")).alias("name")).filter("name != ''").distinct()
+    modules = modules.withColumns({"rank": F.row_number().over(W.partitionBy("query").orderBy("name")), "group": F.lit("module"),
+                                   "symbol_id": F.lit(None).cast(typed.schema["symbol_id"].dataType), "file": F.lit(None).cast("string")})
+    return items.drop("module_path").unionByName(modules).withColumn("detail", F.lit(_by_tokens(CONTEXT_DETAIL, max_tokens)))
 
 
 def symbol_bundle(seeds: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:

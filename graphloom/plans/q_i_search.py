@@ -195,14 +195,52 @@ def _(t):
     return se.ranked_symbols(typed_queries(t), t.symbols.join(t.meta, "symbol_id"), t.imports, 10).select("query", "symbol_id", "name", "file", "rank")
 
 
-@query("i15_type_context", """
-WITH q AS (SELECT DISTINCT owner_name AS query FROM m_meta), d AS (SELECT query, s.*, m.crate_name, CASE kind WHEN 'Struct' THEN 'definition' WHEN 'ImplBlock' THEN 'impl_block' WHEN 'Method' THEN 'method' END AS "group"
-  FROM q JOIN m_meta m ON lower(m.owner_name) = lower(query) JOIN m_symbols s USING (symbol_id)),
-c AS (SELECT query, arg_min(crate_name, (file, start_line, symbol_id)) AS crate FROM d WHERE "group" = 'definition' GROUP BY 1)
-SELECT query, "group", CAST(r AS INT) AS rank, symbol_id, name, file FROM (SELECT d.*, row_number() OVER (PARTITION BY query, "group" ORDER BY file, start_line, symbol_id) AS r FROM d LEFT JOIN c USING (query)
-  WHERE "group" IS NOT NULL AND (crate IS NULL OR crate = crate_name)) WHERE r <= 12""")
+KEYS = "a, b, c, dd, e, f, gk, ht, crate_name, file, start_line, symbol_id"
+
+
+def evidence(rows):
+    """Rows with the columns they are ordered by, one of equal name, file and line."""
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, name, file, start_line ORDER BY {KEYS}) AS r1 FROM (SELECT z.*,
+  CASE WHEN mh IS NULL THEN 1 WHEN lm = mh OR ends_with(lm, '::' || mh) OR ln = n THEN 0 WHEN contains(lm, mh) OR contains(ln, mh) THEN 1 ELSE 2 END AS a, CASE WHEN lc = ch THEN 0 ELSE 1 END AS b,
+  CASE WHEN EXISTS (SELECT 1 FROM m_imports i WHERE i.file = z.file AND lower(i.local_name) IN (leaf, lt)) THEN 0 ELSE 2 END AS c, CASE WHEN z.file IN (SELECT file FROM m_imports WHERE file = target_file) THEN 0 ELSE 2 END AS dd,
+  CASE WHEN ln = n THEN 0 ELSE 1 END AS e, CASE WHEN lo = n OR lt = n THEN 0 WHEN contains(ln, n) THEN 1 ELSE 2 END AS f,
+  CASE kind WHEN 'Struct' THEN 0 WHEN 'ImplBlock' THEN 1 WHEN 'Method' THEN 2 WHEN 'Function' THEN 3 ELSE 5 END AS gk, CASE type WHEN 'class' THEN 0 WHEN 'function' THEN 1 ELSE 2 END AS ht FROM ({rows}) z)) WHERE r1 = 1)"""
+
+
+def shown(rows):
+    """Ten best rows per query: those without support only where none has it."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ok DESC, {KEYS}) AS r, bool_or(ok) OVER (PARTITION BY query) AS found
+  FROM (SELECT *, mh IS NULL OR a = 0 OR c = 0 OR dd = 0 AS ok FROM {evidence(rows)})) WHERE r <= 10 AND (ok OR NOT found)"""
+
+
+# Two thirds of the typed symbols belong to a symbol of the table. Owners, traits, names and qualified names are asked for.
+OWNED = """y AS (SELECT s.*, kind, trait_name, module_path, crate_name, CASE WHEN s.symbol_id % 3 = 0 OR o.name IS NULL THEN owner_name ELSE o.name END AS owner_name
+  FROM m_symbols s JOIN m_meta USING (symbol_id) LEFT JOIN m_symbols o ON o.symbol_id = s.symbol_id - s.symbol_id % 4),
+q AS (SELECT owner_name AS query FROM y UNION SELECT trait_name FROM y WHERE trait_name IS NOT NULL UNION SELECT upper(name) FROM y WHERE kind IN ('Struct', 'Function') UNION SELECT module_path || '::' || name FROM y WHERE kind = 'Struct')"""
+
+
+@query("i15_type_context", f"""
+WITH {OWNED}, h1 AS (SELECT query, lower(query) AS n, list_filter(string_split(lower(query), '::'), lambda x: x <> '') AS g FROM q),
+h AS (SELECT query, n, g[len(g)] AS leaf, CASE WHEN len(g) > 1 THEN array_to_string(g[1:len(g) - 1], '::') END AS mh, CASE WHEN len(g) > 1 THEN g[1] END AS ch FROM h1),
+d AS (SELECT *, lower(name) AS ln, COALESCE(lower(owner_name), '') AS lo, COALESCE(lower(trait_name), '') AS lt, lower(module_path) AS lm, lower(crate_name) AS lc FROM y),
+de AS {evidence("SELECT * FROM h JOIN d ON ln = leaf WHERE kind IN ('Struct', 'Function') AND (mh IS NULL OR contains(lm, mh) AND (lc = ch OR starts_with(lm, ch)))")},
+an AS (SELECT query, crate_name AS preferred_crate FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {KEYS}) AS r FROM de) WHERE r = 1),
+hh AS (SELECT * FROM h LEFT JOIN an USING (query)), dx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY {KEYS}) AS r FROM de JOIN an USING (query) WHERE crate_name = preferred_crate) WHERE r <= 10),
+ib AS ({shown("SELECT * FROM hh JOIN d ON lo = leaf OR lt = leaf WHERE kind = 'ImplBlock' AND (preferred_crate IS NULL OR crate_name = preferred_crate)")}),
+mp AS (SELECT query, symbol_id FROM hh JOIN d ON lo = leaf OR lt = leaf OR contains(ln, leaf) WHERE kind = 'Method' UNION SELECT ib.query, d.symbol_id FROM ib JOIN d ON d.lo = ib.lo WHERE d.kind = 'Method' AND d.lo <> ''),
+me AS ({shown("SELECT * FROM hh JOIN mp USING (query) JOIN d USING (symbol_id) WHERE preferred_crate IS NULL OR crate_name = preferred_crate")}),
+al AS (SELECT query, 'definition' AS "group", r, symbol_id, name, file, preferred_crate, module_path FROM dx UNION ALL SELECT query, 'impl_block', r, symbol_id, name, file, preferred_crate, module_path FROM ib
+  UNION ALL SELECT query, 'method', r, symbol_id, name, file, preferred_crate, module_path FROM me)
+SELECT query, "group", CAST(r AS INT) AS rank, symbol_id, name, file, preferred_crate, 'expanded_span' AS detail FROM al
+UNION ALL SELECT query, 'module', CAST(row_number() OVER (PARTITION BY query ORDER BY module_path) AS INT), NULL, module_path, NULL, preferred_crate, 'expanded_span' FROM (SELECT DISTINCT query, module_path, preferred_crate FROM al)""")
 def _(t):
-    return se.type_context(t.meta.select(F.col("owner_name").alias("query")).distinct(), t.symbols.join(t.meta, "symbol_id"), 12)
+    owner = t.symbols.select((F.col("symbol_id") + 0).alias("_o"), F.col("name").alias("_owner"))
+    y = t.symbols.join(t.meta, "symbol_id").withColumn("_o", F.col("symbol_id") - F.col("symbol_id") % 4).join(owner, "_o", "left")
+    y = y.withColumn("owner_name", F.when((F.col("symbol_id") % 3 == 0) | F.col("_owner").isNull(), F.col("owner_name")).otherwise(F.col("_owner"))).drop("_o", "_owner")
+    y = se.cut_lineage(y)
+    q = (y.select(F.col("owner_name").alias("query")).union(y.select("trait_name").filter("trait_name IS NOT NULL")).union(y.filter("kind IN ('Struct', 'Function')").select(F.upper("name")))
+         .union(y.filter("kind = 'Struct'").select(F.concat_ws("::", "module_path", "name"))))
+    return se.type_context(q, y, t.imports, 700).select("query", "group", "rank", "symbol_id", "name", "file", "preferred_crate", "detail")
 
 
 @query("i16_repo_map", "SELECT module, file, name, type, start_line, end_line FROM m_modules LEFT JOIN m_symbols USING (file)")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import classify as cl, code, paths, text as tx
-from graphloom.operators import callgraph as cg, events as ev, flow, graph as gr, health as hl, lookups as lk, maintenance as mt, outcomes as oc, search as se
+from graphloom.operators import callgraph as cg, events as ev, flow, graph as gr, health as hl, lookups as lk, maintenance as mt, outcomes as oc, scale as sc, search as se
 from graphloom.sources import readers as rd
 from graphloom.streaming import jobs, state
 
@@ -260,3 +260,40 @@ def test_ingest_statistics_tell_failures_apart(spark):
     r = mt.ingest_statistics(runs).first()
     assert (r.indexed, r.skipped, r.deleted, r.excluded, r.read_failed, r.parse_failed, r.last_ms, r.total_ms, r.max_ms, r.avg_ms) == (2, 1, 1, 1, 1, 1, 7, 12, 7, 6.0)
     assert [x.path for x in mt.failing_paths(runs).collect()] == ["c", "d"]
+
+
+def test_type_context_groups_follow_the_definition(spark):
+    typed = spark.createDataFrame([
+        (1, "Store", "class", "b/src/store.rs", 1, "Struct", None, None, "core::store", "core"), (2, "Store", "class", "a/src/store.rs", 1, "Struct", None, None, "edge::store", "edge"),
+        (3, "impl Store", "block", "b/src/store.rs", 9, "ImplBlock", "Store", None, "core::store", "core"), (4, "impl Store for Disk", "block", "b/src/disk.rs", 3, "impl_block", "Disk", "store", None, "core"),
+        (5, "get", "function", "b/src/store.rs", 10, "Method", "Store", None, "core::store", "core"), (6, "flush", "function", "b/src/disk.rs", 4, "method", "Disk", None, None, "core"),
+        (7, "restore", "function", "b/src/other.rs", 2, "Method", "Other", None, "core::other", "core"), (8, "put", "function", "a/src/store.rs", 2, "Method", "Store", None, "edge::store", "edge"),
+        (9, "impl Lone", "block", "b/lib.rs", 1, "ImplBlock", "Lone", None, None, None), (10, "Store", "class", "b/src/store.rs", 1, "Struct", None, None, "core::store", "core"),
+    ], "symbol_id int, name string, type string, file string, start_line int, kind string, owner_name string, trait_name string, module_path string, crate_name string")
+    imports = spark.createDataFrame([("b/src/disk.rs", "Store", "b/src/store.rs")], "file string, local_name string, target_file string")
+
+    def groups(query, max_tokens=900):
+        asked = spark.createDataFrame([(query,), (query,), (None,)], "query string")
+        found = {}
+        for r in se.type_context(asked, typed, imports, max_tokens).orderBy("group", "rank").collect():
+            found.setdefault(r["group"], []).append(r["name"] if r["group"] == "module" else r["symbol_id"])
+        return found
+
+    # Core comes before edge, a repeated row counts once, Disk's methods come through its block, restore by its name.
+    plain = groups("Store")
+    assert plain["definition"] == [1] and sorted(plain["impl_block"]) == [3, 4] and sorted(plain["method"]) == [5, 6, 7]
+    assert plain["module"] == ["b::src::disk", "core::other", "core::store"]
+    # Neither the path nor an import supports restore.
+    assert sorted(groups("core::store::Store")["method"]) == [5, 6]
+    assert groups("edge::store::Store") == {"definition": [2], "method": [8], "module": ["edge::store"]}
+    # No definition: symbols of any crate, also without one.
+    assert groups("lone") == {"impl_block": [9], "module": ["b"]}
+    assert groups("nowhere") == {} and len(groups("Store", 200)["method"]) == 3
+    assert se.type_context(spark.createDataFrame([], "query string"), typed, imports, 900).count() == 0
+
+
+def test_one_letter_needles_are_dealt_over_many_keys(spark):
+    names = spark.range(4000).select(F.concat(F.lit("a"), F.col("id")).alias("t"))
+    pairs = sc.containing_pairs(spark.createDataFrame([("a",), ("a39",), ("",), (None,), ("zz",)], "n string"), "n", names, "t")
+    assert {r.n: r["count"] for r in pairs.groupBy("n").count().collect()} == {"a": 4000, "a39": 111}
+    assert sc.SHORT_SALTS >= 64

@@ -14,7 +14,8 @@ Defined results: null or empty html gives an empty text; whatever is left open o
 page is closed there; pages that repeat an id are extracted one by one; other columns are ignored. Scripts,
 styles, titles and what lies between both tags of the elements in ``DROPPED`` are no text; one that is not
 closed, or only after its parent, is a block like others. A head ends at its end tag or at the first thing that
-cannot stand in one. No text run is shortened or dropped but for its label.
+cannot stand in one. ``xmp`` is text as it stands. Plain ``div`` elements round a single element are no nodes, so
+depth alone tells nothing. No text run is shortened or dropped but for its label; a ``header`` is boilerplate, with a title in it too.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 JUNK, CONTENT, MIXED = 0, 1, 2
+LOOSE = 3  # in labelled pages: mixed, and the runs of the element itself are content
 
 # How HTML elements behave.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong "
@@ -37,7 +39,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd semantics annotation "
                    "annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp".split())
+RAW = frozenset("script style title textarea xmp".split())  # xmp shows what it holds, the others do not
 DROPPED = frozenset("noscript template select button iframe svg canvas audio video datalist".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta noscript template".split())
 ALONE = frozenset("button select".split())  # one that opens ends one that is open
@@ -65,34 +67,39 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class Node:
     parent: int
     tag: str
-    hint: int = 0  # -1 junk, 1 content
+    hint: int = 0  # -1 junk, 1 content, 2 both
     label: int | None = None
     text: str = ""
     links: int = 0  # characters of the run that are links
     total: int = 0
     total_links: int = 0
+    alone: bool = False  # the only child: its links are its parent's
+    share: int = 0  # of the page's text, in steps
     children: list[int] = field(default_factory=list)
 
 
 def _attributes(raw: str) -> tuple[int, int | None]:
-    hint, label = 0, None
+    label, hidden, junk, content = None, False, False, False
     for name, a, b, c in ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name == "data-y":
             label = int(value)
         elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-            hint = -1
+            hidden = True
         elif name != "style":
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & JUNK_WORDS:
-                hint = -1
-            elif words & CONTENT_WORDS and not hint:
-                hint = 1
-    return hint, label
+            for part in value.split():
+                words = [w.lower() for w in WORD.findall(part)]
+                bad, good = not JUNK_WORDS.isdisjoint(words), not CONTENT_WORDS.isdisjoint(words)
+                junk |= bad
+                content |= good and not (bad and words[-1] in JUNK_WORDS)  # post-meta is meta, comment-body both
+    return -1 if hidden or junk and not content else 2 if junk else int(content), label
 
 
 def _tokens(page: str) -> list[tuple]:
-    """(start, end, closing, tag, attributes) of all markup; raw elements are one token without a tag."""
+    """(start, end, closing, tag, attributes) of all markup; raw elements are one token without a tag.
+
+    Only ``xmp`` is three: its tags, and ``#xmp`` with what they hold as attributes.
+    """
     out, at = [], 0
     while found := TOKEN.search(page, at):
         at = found.end()
@@ -100,7 +107,11 @@ def _tokens(page: str) -> list[tuple]:
         if tag in RAW:
             if not closing:  # nothing inside is markup
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
+                inside, until = at, end.start() if end else len(page)
                 at = end.end() if end else len(page)
+                if tag == "xmp":
+                    out += [(found.start(), inside, "", tag, raw), (inside, until, "", "#xmp", page[inside:until]), (until, at, "/", tag, "")]
+                    continue
             tag = ""
         out.append((found.start(), at, closing, tag, raw))
     return out
@@ -118,7 +129,7 @@ def _dropped_ends(tokens: list[tuple]) -> dict[int, int]:
                 return i
 
     for i, (_, _, closing, tag, raw) in enumerate(tokens):
-        if not tag or tag in INLINE or tag in VOID:
+        if not tag or tag in INLINE or tag in VOID or tag == "#xmp":
             continue
         if (closing or tag in ALONE) and opened.get(tag):
             start = pop(tag)
@@ -130,6 +141,27 @@ def _dropped_ends(tokens: list[tuple]) -> dict[int, int]:
     return out
 
 
+def _without_wrappers(nodes: list[Node]) -> list[Node]:
+    """The tree without plain ``div`` elements that hold one element and nothing else, however many lie in each other."""
+    held = [0] * len(nodes)
+    only = [0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        held[n.parent] += 1
+        only[n.parent] = i
+    place, out = [0] * len(nodes), []
+    for i, n in enumerate(nodes):
+        if n.parent >= 0:
+            n.parent = place[n.parent]
+        if n.tag == "div" and not n.hint and held[i] == 1 and nodes[only[i]].tag != "#text":
+            inner = nodes[only[i]]
+            inner.label = n.label if inner.label is None else inner.label
+            place[i] = n.parent
+        else:
+            place[i] = len(out)
+            out.append(n)
+    return out
+
+
 def parse(page: str) -> list[Node]:
     """The page's tree in page order; node 0 is the root, text runs are leaves with tag ``#text``."""
     nodes = [Node(-1, "#root")]
@@ -171,6 +203,9 @@ def parse(page: str) -> list[Node]:
         place += 1
         if not tag:
             continue
+        if tag == "#xmp":
+            pieces.append(entities.escape(raw))  # no markup and no references in it
+            continue
         if tag == "head" or head:
             if tag == "head":
                 head = not closing and not raw.rstrip().endswith("/")
@@ -217,6 +252,7 @@ def parse(page: str) -> list[Node]:
         stack.append(len(nodes) - 1)
         opened[tag] = opened.get(tag, 0) + 1
     flush()
+    nodes = _without_wrappers(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         n = nodes[i]
         if n.text:
@@ -226,6 +262,10 @@ def parse(page: str) -> list[Node]:
         up.total_links += n.total_links
     for i, n in enumerate(nodes[1:], 1):
         nodes[n.parent].children.append(i)
+        n.share = sum(20 * n.total >= k * nodes[0].total for k in (1, 5, 12))
+    for n in nodes:
+        if len(n.children) == 1:
+            nodes[n.children[0]].alone = True
     return nodes
 
 
@@ -235,8 +275,8 @@ def features(n: Node) -> list[tuple]:
     linked = -1 if share < 0 else 0 if share < 0.05 else 1 if share < 0.35 else 2 if share < 0.8 else 3
     if n.tag == "#text":
         size = min(5, int(math.log2(len(n.text) + 1) // 1.5))
-        return [("size", size), ("run links", linked), ("sentence", n.text[-1] in ".!?:…\"”»" or ". " in n.text)]
-    return [("tag", n.tag), ("hint", n.hint), ("links", linked)]
+        return [("size", size), *[("run links", linked)] * (not n.alone), ("sentence", n.text[-1] in ".!?:…\"”»" or ". " in n.text)]
+    return [("tag", n.tag), ("hint", n.hint), ("links", linked), ("share", n.tag == "form", n.share)]
 
 
 class Model:
@@ -306,14 +346,19 @@ def _scaled(x: list[float]) -> list[float]:
 
 
 def labelled_tree(page: str) -> list[Node]:
-    """Tree of a page whose elements carry ``data-y``; nodes without it take their parent's label."""
+    """Tree of a page whose elements carry ``data-y``; nodes without it take their parent's label.
+
+    Text runs that lie in a mixed element itself are boilerplate, content in one that is marked ``LOOSE``.
+    """
     nodes = parse(page)
     nodes[0].label = MIXED
     for n in nodes[1:]:
         if n.label is None:
             n.label = nodes[n.parent].label
-        if n.tag == "#text" and n.label == MIXED:
-            n.label = JUNK
+        if n.tag == "#text" and n.label in (MIXED, LOOSE):
+            n.label = JUNK if n.label == MIXED else CONTENT
+    for n in nodes:
+        n.label = MIXED if n.label == LOOSE else n.label
     return nodes
 
 
@@ -351,20 +396,22 @@ def labelled_pages(count: int = 600, seed: int = 9) -> Iterator[str]:
         body = sentences()
         if rng.random() < 0.2:
             body = f"{words(1, 5)} <a href='/x'>{words(1, 3)}</a> {body}"
+        if rng.random() < 0.08:
+            return tag("p", CONTENT, link())
         return tag("p", CONTENT, body if rng.random() < 0.8 else words(1, 12))
 
     def block() -> str:
         return rng.choices([
             paragraph, lambda: tag(rng.choice(["h2", "h3", "h4"]), CONTENT, words(1, 8)),
-            lambda: tag(rng.choice(["ul", "ol"]), CONTENT, "".join(tag("li", CONTENT, rng.choice([words(1, 8), sentences(1, 2)])) for _ in range(rng.randint(1, 6)))),
+            lambda: tag(rng.choice(["ul", "ol"]), CONTENT, "".join(tag("li", CONTENT, rng.choice([words(1, 8), words(1, 8), sentences(1, 2)])) for _ in range(rng.randint(1, 6)))),
             lambda: tag("blockquote", CONTENT, paragraph()), lambda: tag("pre", CONTENT, words(3, 20)), lambda: tag("div", CONTENT, sentences()),
             lambda: tag("table", CONTENT, "".join(tag("tr", CONTENT, "".join(tag("td", CONTENT, words(1, 4)) for _ in range(3))) for _ in range(rng.randint(1, 4)))),
             lambda: tag("figure", CONTENT, tag("figcaption", CONTENT, words(2, 9))), lambda: tag("section", CONTENT, paragraph() + paragraph()),
             lambda: tag("dl", CONTENT, tag("dt", CONTENT, words(1, 3)) + tag("dd", CONTENT, sentences(1, 2))),
-        ], [12, 2, 1, 1, 0.5, 1, 0.5, 0.3, 0.5, 0.3])[0]()
+        ], [12, 2, 3, 1, 0.5, 1, 0.5, 0.3, 0.5, 0.3])[0]()
 
     def advert() -> str:
-        inside = rng.choice([sentences(1, 3), link(), tag("p", JUNK, sentences(1, 2)), words(1, 8)])
+        inside = rng.choice([sentences(1, 3), link(), tag("p", JUNK, sentences(1, 2)), tag("p", JUNK, link()), words(1, 8)])
         return tag(rng.choice(["div", "div", "section", "aside", "p"]), JUNK, inside, rng.choice(["ad", "ads", "advert", "sponsored", "promo", "banner", "ad-slot"]))
 
     def aside() -> str:
@@ -383,7 +430,7 @@ def labelled_pages(count: int = 600, seed: int = 9) -> Iterator[str]:
         def one() -> str:
             inside = tag("p", JUNK, sentences(1, 6)) * rng.randint(1, 2)
             return rng.choice([tag("li", JUNK, inside), tag("div", JUNK, tag("h4", JUNK, words(1, 2)) + inside, "comment"), tag("article", JUNK, inside, "comment"), inside])
-        return tag(rng.choice(["section", "div", "ol"]), JUNK, "".join(one() for _ in range(rng.randint(1, 6))), "comments", "comment-list", "respond", "discussion")
+        return tag(rng.choice(["section", "div", "ol"]), JUNK, "".join(one() for _ in range(rng.randint(1, 6))), "comments", "comment-list", "respond", "discussion", "post comments")
 
     def top() -> str:
         inside = rng.choice(["", tag("h1", JUNK, words(1, 3))]) + rng.choice(["", tag("p", JUNK, words(1, 8)), tag("div", JUNK, sentences(1, 1))]) + rng.choice(["", links()])
@@ -405,15 +452,28 @@ def labelled_pages(count: int = 600, seed: int = 9) -> Iterator[str]:
         inside = "".join(parts)
         return either(lambda: tag("article", CONTENT, inside), lambda: tag("article", CONTENT, tag("div", CONTENT, inside, "entry-content", "post-body")),
                       lambda: tag("main", CONTENT, inside), lambda: tag("div", CONTENT, inside, "content", "post", "main", "story", "articleBody"),
+                      lambda: tag(rng.choice(["article", "div"]), CONTENT, inside, "post type-post meta", "content has-sidebar", "entry tag-notice hentry", "story with-ads"),
                       lambda: tag("main", MIXED, tag("article", CONTENT, inside)), lambda: tag("div", CONTENT, inside), lambda: tag("section", CONTENT, inside), lambda: inside)
 
+    def loose() -> str:
+        return rng.choice([" ", "<br><br>", "<p>"]).join(sentences(2, 6) for _ in range(rng.randint(1, 4)))
+
     for _ in range(count):
-        front = "".join(x() for x, chance in ((notice, 0.2), (top, 0.6), (nav, 0.8), (advert, 0.5), (form, 0.1)) if rng.random() < chance)
-        back = "".join(x() for x, chance in ((comments, 0.3), (advert, 0.2), (aside, 0.3), (form, 0.1), (notice, 0.1), (foot, 0.8)) if rng.random() < chance)
+        front = "".join(x() for x, chance in ((notice, 0.2), (top, 0.6), (nav, 0.8), (advert, 0.5), (form, 0.2)) if rng.random() < chance)
+        back = "".join(x() for x, chance in ((comments, 0.3), (advert, 0.2), (aside, 0.3), (form, 0.15), (notice, 0.1), (foot, 0.8)) if rng.random() < chance)
         left = aside() if rng.random() < 0.2 else ""
+        style = rng.random()
+        if style < 0.06:  # text without a block, with or without anything round it
+            inside = rng.choice([loose(), front + loose() + tag("div", JUNK, links(), "footer", "menu")]).replace("<p>", '<p data-y="1">')
+            yield f'<html data-y="{MIXED}"><head><title>{words(1, 6)}</title></head><body data-y="{LOOSE}">{inside}</body></html>'
+            continue
         middle = left + article()
         middle = either(lambda: middle, lambda: tag("div", MIXED, middle), lambda: tag("div", MIXED, tag("div", MIXED, middle)))
-        yield f'<html data-y="2"><head><title>{words(1, 6)}</title></head><body data-y="2">{front}{middle}{back}</body></html>'
+        odd = words(1, 4) if rng.random() < 0.1 else ""
+        whole = front + odd + middle + back
+        if style < 0.12:  # a form round the whole page
+            whole = tag("form", MIXED, whole)
+        yield f'<html data-y="{MIXED}"><head><title>{words(1, 6)}</title></head><body data-y="{MIXED}">{whole}</body></html>'
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

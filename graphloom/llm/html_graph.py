@@ -276,7 +276,7 @@ def features(n: Node) -> list[tuple]:
     if n.tag == "#text":
         size = min(5, int(math.log2(len(n.text) + 1) // 1.5))
         return [("size", size), *[("run links", linked)] * (not n.alone), ("sentence", n.text[-1] in ".!?:…\"”»" or ". " in n.text)]
-    return [("tag", n.tag), ("hint", n.hint), ("links", linked), ("share", n.tag == "form", n.share)]
+    return [("tag", n.tag), ("hint", n.hint), ("links", n.tag == "p", linked), ("share", n.tag == "form", n.share)]
 
 
 class Model:

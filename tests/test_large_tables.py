@@ -79,3 +79,12 @@ def test_a_path_is_normalised_once(spark):
     assert got[0][:2] == ["src/b/y.ts", "src/b/y.tsx"] and got[1] == ["src/a/b/c.py", "src/a/b/c/__init__.py", "src/a/b/c"]
     assert got[2:] == [["m.rs"], None, None]
     assert rows.select(tried.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_texts_of_a_target_are_normalised_once(spark):
+    rows = [(1, "fix createTask fails", "createTask", "x"), (1, "fix createTask fails", "fix", "x"), (2, "nothing", "main", None), (3, None, "a", None), (4, "explain id", "id", "ID")]
+    c = spark.createDataFrame(rows, "task_id int, text string, symbol string, pref string")
+    # 90 + 10 as written, 220 + 11 as words, 120 + 2 * 3 for both words and 5 for each.
+    assert sorted(map(tuple, se.best_target(c, "pref").collect())) == [(1, "createTask", 467), (4, "id", 2**30)]
+    plan = c.select(se.target_score(F.col("text"), F.col("symbol"), F.col("pref")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 5

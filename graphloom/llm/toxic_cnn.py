@@ -5,11 +5,11 @@ stem are known too. Filters of several widths slide over the words of a whole te
 response, and a logistic layer turns these into a score between 0 and 1. Thresholds per language, calibrated
 on labelled rows that did not train the filters, give ``flagged`` beside the language-free ``predicted``.
 
-The classifier sees at most ``sample`` labelled documents of ``chars`` characters in all, half of them toxic if there
-are as many, picked by a hash of the id, and as many more for the thresholds; texts longer than a 64th of ``chars``
-are scored like all others but not used to fit; everything else runs over all documents. Rows of
-the held-out fold are in neither. Only texts are inputs: neither labels nor language, source or id reach a
-score.
+Every labelled row outside the held-out fold is used: fold 1 sets the thresholds, the other rows fit. They are dealt by a hash
+over shares of about ``rows`` rows and ``chars`` characters. A task fits one share, starting from the common model, and what
+its steps changed is averaged over the shares that changed it; several shares do this in rounds. Counts of buckets and the
+scores behind the thresholds are aggregated inside Spark; only the model and one threshold per language reach the driver.
+Only texts are inputs: neither labels nor language, source or id reach a score.
 
 Each worker multiplies a word with all filters once and keeps the products of the words it has seen, up to a
 fixed number, so that a text costs a look-up and an addition per word and filter.
@@ -28,8 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..operators.scale import ordered_scan
+from .common import stored
+
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 8, (1, 2, 3)
 WORD = re.compile(r"\w+")
 PAD = ""
@@ -76,16 +80,15 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.pooled(products) @ self.out + self.shift, -30, 30))))
 
 
-def fit(texts: list[str], toxic: np.ndarray, rate: float, updates: int = 12_000, step: float = 0.05, seed: int = 5) -> Classifier:
-    """Train on labelled texts with about so many updates. ``rate`` is the share of toxic rows where the sample comes from."""
-    epochs = max(4, min(40, updates // max(1, len(texts))))
-    rng = np.random.default_rng(seed)
-    parts = [np.array([word_parts(w) for w in words_of(t)]) for t in texts]
-    # The first embedding dimension starts as each bucket's log odds of being in a toxic text.
-    seen = np.full((2, BUCKETS), 0.5)
-    for p, y in zip(parts, toxic):
-        seen[y, np.unique(p)] += 1
-    total = np.bincount(toxic, minlength=2)[:, None] + 1.0
+BLOCKS = 128  # pieces of the parameters, averaged apart
+
+
+def started(seen: np.ndarray, totals: np.ndarray, rng: np.random.Generator) -> Classifier:
+    """Model before any step, from the number of texts of each kind (clean, toxic) that hold a bucket.
+
+    The first embedding dimension starts as each bucket's log odds of being in a toxic text.
+    """
+    seen, total = seen + 0.5, totals[:, None] + 1.0
     odds = np.log(seen[1] / total[1]) - np.log(seen[0] / total[0])
     odds[seen.sum(0) < 4] = 0
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -93,9 +96,31 @@ def fit(texts: list[str], toxic: np.ndarray, rate: float, updates: int = 12_000,
     filters = [rng.normal(0, 0.2, (s, WIDTH, FILTERS)) for s in SPANS]
     for f in filters:
         f[:, 0, ::2] = 1.0 / len(f)
-    bias, out, shift = np.zeros(FILTERS * len(SPANS)), rng.normal(0, 0.1, FILTERS * len(SPANS)), 0.0
+    out = rng.normal(0, 0.1, FILTERS * len(SPANS))
     out[::2] = 0.3
-    for epoch in range(epochs):
+    return Classifier(e, filters, np.zeros(FILTERS * len(SPANS)), out, 0.0)
+
+
+def flat(model: Classifier) -> np.ndarray:
+    return np.concatenate([model.embedding.ravel(), *[f.ravel() for f in model.filters], model.bias, model.out, [model.shift]])
+
+
+def shaped(values: np.ndarray) -> Classifier:
+    sizes = [BUCKETS * WIDTH, *[s * WIDTH * FILTERS for s in SPANS], FILTERS * len(SPANS), FILTERS * len(SPANS)]
+    parts = np.split(values, np.cumsum(sizes))
+    filters = [f.reshape(s, WIDTH, FILTERS) for f, s in zip(parts[1:], SPANS)]
+    return Classifier(parts[0].reshape(BUCKETS, WIDTH), filters, parts[-3], parts[-2], float(parts[-1][0]))
+
+
+def stepped(model: Classifier, texts: list[str], toxic: np.ndarray, epochs: range, rng: np.random.Generator, step: float = 0.05) -> Classifier:
+    """The model after so many epochs over these texts."""
+    ready: dict[str, np.ndarray] = {}
+    for t in texts:
+        if t not in ready:
+            ready[t] = np.array([word_parts(w) for w in words_of(t)], np.int32)
+    parts = [ready[t] for t in texts]
+    e, filters, bias, out, shift = model.embedding.copy(), [f.copy() for f in model.filters], model.bias.copy(), model.out.copy(), model.shift
+    for epoch in epochs:
         rate_now = step / (1 + epoch)
         for i in rng.permutation(len(parts)):
             p = parts[i]
@@ -122,9 +147,7 @@ def fit(texts: list[str], toxic: np.ndarray, rate: float, updates: int = 12_000,
                     moved = (f[j] * g).T
                     f[j] -= rate_now * x[at].T * g
                     np.add.at(e, p[at], -rate_now * moved[:, None, :])
-    share = toxic.mean()
-    shift += np.log(rate / (1 - rate)) - np.log(share / (1 - share))
-    return Classifier(e.astype(np.float32), [f.astype(np.float32) for f in filters], bias.astype(np.float32), out.astype(np.float32), float(shift))
+    return Classifier(e, filters, bias, out, float(shift))
 
 
 class Scorer:
@@ -172,7 +195,8 @@ def fold(key: str) -> Column:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, key: str, sample: int, chars: int) -> list:
-    """At most ``sample`` labelled documents of ``chars`` characters in all, half of each kind, in the order of a hash of the id.
+    """A look at the labelled rows: at most ``sample`` of ``chars`` characters in all, half of each kind, in the order of a hash of
+    the id. Nothing is fitted on it.
 
     Rows are chosen by lengths and hashes inside Spark; only texts that were chosen reach the driver, each once however
     often its row repeats.
@@ -210,26 +234,95 @@ def language_thresholds(scores: list[float], toxic: list[int], langs: list[str |
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 3000, chars: int = 1 << 26) -> tuple[Classifier, dict[str | None, float]]:
-    """Classifier and thresholds from labelled rows outside the held-out fold; fold 1 only calibrates."""
+def best_thresholds(scored: DataFrame, least: int = 20) -> dict[str | None, float]:
+    """What ``language_thresholds`` finds, for any number of rows (lang, score, toxic): hits are summed along buckets of scores."""
+    counts = (scored.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("lang").isNull().alias("none"), "score", "toxic", (-F.col("score")).alias("down"))
+              .groupBy("lang", "none", "score", "down").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")))
+    keys = ["lang", "none"]
+    along = ordered_scan(counts, keys, ["down"], F.floor(-F.log(F.col("score") / (1 - F.col("score"))) * 256),
+                         lead={"below": "score"}, running_sum={"taken": "n", "hits": "p"})
+    known = counts.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sum("p").alias("positive")).filter((F.col("rows") >= least) & (F.col("positive") > 0))
+    f1 = 2 * F.col("hits") / (F.col("taken") + F.col("positive"))
+    best = along.join(known, keys).groupBy(*keys).agg(F.max(F.struct(f1.alias("f1"), ((F.coalesce("below", F.lit(0.0)) + F.col("score")) / 2).alias("at"))).alias("best"))
+    return {None if r["none"] else r["lang"]: r["best"]["at"] for r in best.collect()}
+
+
+def _seen(rows: DataFrame) -> np.ndarray:
+    """For either kind the number of texts that hold a bucket, counted in tasks and added up by Spark."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[y, np.unique(np.array([word_parts(w) for w in set(words_of(text))]))] += 1
+        at = np.flatnonzero(seen.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["bucket", "clean", "toxic"])
+
+    out = np.zeros((2, BUCKETS))
+    parts = rows.select("text", "toxic").mapInArrow(count, "bucket long, clean long, toxic long")
+    for r in parts.groupBy("bucket").agg(F.sum("clean"), F.sum("toxic")).collect():  # one row a bucket
+        out[:, r[0]] = r[1], r[2]
+    return out
+
+
+def _round(rows: DataFrame, key: str, values: np.ndarray, epochs: range, rng: np.random.Generator | None) -> np.ndarray:
+    """Parameters after every share took its steps from ``values``; a parameter moves by the mean of the shares that moved it."""
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_c", key, "toxic", "_h"], kind="stable")
+        own = rng or np.random.default_rng([5, epochs.start, int(group["_share"].iloc[0])])
+        texts = [t if isinstance(t, str) else "" for t in group["text"]]
+        moved = flat(stepped(shaped(values), texts, group["toxic"].to_numpy(np.int64), epochs, own)) - values
+        return pd.DataFrame({"block": range(BLOCKS), "moved": np.array_split(moved, BLOCKS)})
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        moved = np.stack(group["moved"].to_numpy())
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "moved": [moved.sum(0) / np.maximum((moved != 0).sum(0), 1)]})
+
+    kind = "block long, moved array<double>"
+    blocks = rows.groupBy("_share").applyInPandas(share, kind).groupBy("block").applyInPandas(mean, kind)
+    return values + np.concatenate([r["moved"] for r in sorted(blocks.collect(), key=lambda r: r["block"])])
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3000, chars: int = 1 << 24,
+          updates: int = 12_000, rounds: int = 2) -> tuple[Classifier, dict[str | None, float]]:
+    """Classifier and thresholds from all labelled rows outside the held-out fold; fold 1 only calibrates."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).select(key, F.col("toxic").cast("int").alias("toxic"))
     fitting, other = known.filter(fold(key) > 1), known.filter(fold(key) == 1)
     n, positive = fitting.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    rows = _sampled(docs, fitting, key, sample, chars) if 0 < positive < n else []
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
-    if len(set(toxic.tolist())) < 2:
+    hashes = [F.crc32(F.col(key).cast("string").cast("binary")).alias("_c"), F.xxhash64("text", "lang").alias("_h")]
+    given = stored(docs.select(key, "text", "lang", *hashes).join(fitting, key), "labelled") if 0 < positive < n else None
+    size = {r["toxic"]: r for r in given.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")).collect()} if given else {}
+    if len(size) < 2:
         empty = [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS]
         zero = np.zeros(FILTERS * len(SPANS), np.float32)
         return Classifier(np.zeros((BUCKETS, WIDTH), np.float32), empty, zero, zero, 0.0, positive / n if n else 0.0), {}
-    model = fit([r["text"] for r in rows], toxic, positive / n)
+    found, length = (sum(r[c] for r in size.values()) for c in ("n", "chars"))
+    shares = max(1, -(-found // rows), -(-length // chars))
+    dealt = given.withColumn("_share", F.pmod(F.xxhash64(key, "toxic", "_h"), F.lit(shares)))
+    rng = np.random.default_rng(5)
+    values = flat(started(_seen(given), np.array([size[0]["n"], size[1]["n"]]), rng))
+    epochs = max(4, min(40, updates * shares // found))
+    cuts = [epochs * i // rounds for i in range(rounds + 1)] if shares > 1 else [0, epochs]
+    for at, end in zip(cuts, cuts[1:]):
+        values = _round(dealt, key, values, range(at, end), rng if shares == 1 else None)
+    rate, part = positive / n, size[1]["n"] / found
+    made = shaped(values)
+    model = Classifier(made.embedding.astype(np.float32), [f.astype(np.float32) for f in made.filters], made.bias.astype(np.float32), made.out.astype(np.float32),
+                       made.shift + float(np.log(rate / (1 - rate)) - np.log(part / (1 - part))))
     model.name = zlib.crc32(model.embedding.tobytes())
-    scorer, held = Scorer(model), _sampled(docs, other, key, sample, chars)
-    return model, language_thresholds([scorer(r["text"]) for r in held], [r["toxic"] for r in held], [r["lang"] for r in held])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model)
+        for batch in batches:
+            scores = pa.array([scorer(t) for t in batch.column(0).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), scores], names=["lang", "toxic", "score"])
+
+    held = docs.select(key, "text", "lang").join(other, key).select("text", "lang", "toxic")
+    return model, best_thresholds(stored(held.mapInArrow(run, "lang string, toxic int, score double"), "calibration"))
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = 3000, chars: int = 1 << 26) -> DataFrame:
-    """(key, held_out, score, predicted, flagged) of every document. Nothing is shuffled but the bounded samples."""
-    model, thresholds = train(docs, labels, key, sample, chars)
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3000, chars: int = 1 << 24) -> DataFrame:
+    """(key, held_out, score, predicted, flagged) of every document. Nothing is shuffled but labelled rows and parameters."""
+    model, thresholds = train(docs, labels, key, rows, chars)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,5 +337,5 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int =
                     [get[key], get["held_out"], pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32()), pa.array(flagged, pa.bool_())],
                     names=[key, "held_out", "score", "predicted", "flagged"])
 
-    rows = docs.select(key, "text", "lang", F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, f"{key} {kind}, held_out boolean, score double, predicted int, flagged boolean")
+    given = docs.select(key, "text", "lang", F.coalesce(fold(key) == 0, F.lit(False)).alias("held_out"))
+    return given.mapInArrow(run, f"{key} {kind}, held_out boolean, score double, predicted int, flagged boolean")

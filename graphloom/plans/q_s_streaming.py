@@ -83,10 +83,17 @@ REFS = """r AS (SELECT conv_id AS session_id, turn AS pos, CAST(length(text) % 5
 SESSION_REFS = "session_id BIGINT, pos BIGINT, ts_ms BIGINT, ref STRING, revision BIGINT"
 
 
-def reused(t, rows):
-    """Replay (session_id, pos, ts_ms, ref, revision) in order of time, one file per micro-batch."""
+# Rows of a micro-batch when a table is replayed, on average.
+BATCH_ROWS = 1 << 22
+
+
+def reused(t, rows, size):
+    """Replay (session_id, pos, ts_ms, ref, revision) in order of time, one file per micro-batch.
+
+    Files follow ``size``, the number of rows, so that what a task sorts does not grow with the table.
+    """
     src, out, chk = (scratch_path(t.spark, n) for n in ("refs", "reuse", "chk"))
-    write_in_order(rows, src, "ts_ms", 4)
+    write_in_order(rows, src, "ts_ms", max(4, -(-size // BATCH_ROWS)))
     stream = state.reuse_context(jobs.parquet_stream(t.spark, src, SESSION_REFS, files_per_batch=1))
     jobs.drain(state.on_rocksdb(t.spark, lambda: jobs.append_table(stream, out, chk)))
     return t.spark.read.schema(state.SentRefs.OUT).parquet(out)
@@ -94,7 +101,7 @@ def reused(t, rows):
 
 @query("s05_context_reuse", f"""WITH {REFS.format('conversations')} SELECT session_id, ref, count(*) AS sent, count(*) - 1 AS suppressed FROM r GROUP BY 1, 2""")
 def _(t):
-    done = reused(t, t.conversations.selectExpr("conv_id AS session_id", "turn AS pos", "(turn + 1) * 1000 AS ts_ms", "CAST(length(text) % 5 AS STRING) AS ref", "CAST(0 AS BIGINT) AS revision"))
+    done = reused(t, t.conversations.selectExpr("conv_id AS session_id", "turn AS pos", "(turn + 1) * 1000 AS ts_ms", "CAST(length(text) % 5 AS STRING) AS ref", "CAST(0 AS BIGINT) AS revision"), t.conversations.count())
     return done.groupBy("session_id", "ref").agg(F.count("*").alias("sent"), F.count_if(~F.col("fresh")).alias("suppressed"))
 
 
@@ -112,7 +119,7 @@ def _(t):
     """Sessions long enough to reach the cap of 200 references, with changes of revision and silences of over an hour."""
     key = "(l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS pos"
     return reused(t, t.lineitem.selectExpr("l_suppkey % 100 AS session_id", key, "(l_orderkey + 1) * 20000 AS ts_ms", "CAST(l_partkey % 450 AS STRING) AS ref",
-                                           "CAST(floor(l_orderkey / 10000) AS BIGINT) AS revision").distinct())
+                                           "CAST(floor(l_orderkey / 10000) AS BIGINT) AS revision").distinct(), t.lineitem.count())
 
 
 @query("s05_context_reuse_batch", f"""WITH {REFS.format('conversations')} SELECT session_id, pos, ref, row_number() OVER (PARTITION BY session_id, ref ORDER BY pos) = 1 AS fresh FROM r""")

@@ -70,6 +70,6 @@ def test_replays_write_files_by_rows(spark, monkeypatch):
     files, write = [], qs.write_in_order
     monkeypatch.setattr(qs, "BATCH_ROWS", 10)
     monkeypatch.setattr(qs, "write_in_order", lambda rows, path, order, n: files.append(n) or write(rows, path, order, n))
-    rows = spark.createDataFrame([(i % 3, i, i * 1000, str(i % 4), 0) for i in range(75)], qs.SESSION_REFS)
+    rows = spark.createDataFrame([(i % 3, i, (i + 1) * 1000, str(i % 4), 0) for i in range(75)], qs.SESSION_REFS)
     found = qs.reused(type("Tables", (), {"spark": spark})(), rows, rows.count())
     assert files == [8] and found.count() == 75

@@ -6,7 +6,7 @@ response, and a logistic layer turns these into a score between 0 and 1. Thresho
 on labelled rows that did not train the filters, give ``flagged`` beside the language-free ``predicted``.
 
 Every labelled row outside the held-out fold is used: fold 1 sets the thresholds, the other rows fit. They are dealt by a hash
-over shares of about ``rows`` rows and ``chars`` characters. A task fits one share, starting from the common model, and what
+over shares of about ``rows`` rows and ``chars`` characters; texts of other rows are never moved. A task fits one share, starting from the common model, and what
 its steps changed is averaged over the shares that changed it; several shares do this in rounds. Counts of buckets and the
 scores behind the thresholds are aggregated inside Spark; only the model and one threshold per language reach the driver.
 Only texts are inputs: neither labels nor language, source or id reach a score.
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.scale import ordered_scan
-from .common import stored
+from .common import possible, stored
 
 BUCKETS, WIDTH, FILTERS, SPANS = 1 << 15, 12, 8, (1, 2, 3)
 WORD = re.compile(r"\w+")
@@ -282,6 +282,11 @@ def _round(rows: DataFrame, key: str, values: np.ndarray, epochs: range, rng: np
     return values + np.concatenate([r["moved"] for r in sorted(blocks.collect(), key=lambda r: r["block"])])
 
 
+def _maybe_labelled(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows that may have one of the labels, so that no other text is scored or moved by a join."""
+    return possible(docs, key, labels, 1 << 26) if docs.schema[key].dataType == labels.schema[key].dataType else docs
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3000, chars: int = 1 << 24,
           updates: int = 12_000, rounds: int = 2) -> tuple[Classifier, dict[str | None, float]]:
     """Classifier and thresholds from all labelled rows outside the held-out fold; fold 1 only calibrates."""
@@ -289,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3
     fitting, other = known.filter(fold(key) > 1), known.filter(fold(key) == 1)
     n, positive = fitting.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     hashes = [F.crc32(F.col(key).cast("string").cast("binary")).alias("_c"), F.xxhash64("text", "lang").alias("_h")]
-    given = stored(docs.select(key, "text", "lang", *hashes).join(fitting, key), "labelled") if 0 < positive < n else None
+    given = stored(_maybe_labelled(docs.select(key, "text", "lang", *hashes), fitting, key).join(fitting.hint("merge"), key), "labelled") if 0 < positive < n else None
     size = {r["toxic"]: r for r in given.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars")).collect()} if given else {}
     if len(size) < 2:
         empty = [np.zeros((s, WIDTH, FILTERS), np.float32) for s in SPANS]
@@ -313,11 +318,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            scores = pa.array([scorer(t) for t in batch.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), scores], names=["lang", "toxic", "score"])
+            scores = pa.array([scorer(t) for t in batch.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), scores], names=[key, "lang", "score"])
 
-    held = docs.select(key, "text", "lang").join(other, key).select("text", "lang", "toxic")
-    return model, best_thresholds(stored(held.mapInArrow(run, "lang string, toxic int, score double"), "calibration"))
+    # Texts are scored where they are; only scores meet their labels.
+    held = _maybe_labelled(docs.select(key, "text", "lang"), other, key)
+    kind = docs.schema[key].dataType.simpleString()
+    scored = held.mapInArrow(run, f"{key} {kind}, lang string, score double").join(other, key).select("lang", "toxic", "score")
+    return model, best_thresholds(stored(scored, "calibration"))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = 3000, chars: int = 1 << 24) -> DataFrame:

@@ -40,3 +40,18 @@ def test_long_texts_fit_and_thresholds_see_every_score(spark):
     want = toxic_cnn.language_thresholds([r.score for r in rows], [r.toxic for r in rows], [r.lang for r in rows])
     assert toxic_cnn.best_thresholds(scored) == pytest.approx(want) and set(want) == {"en", None}
     assert toxic_cnn.best_thresholds(scored.filter(F.lit(False))) == {}
+
+
+def test_only_texts_that_may_be_labelled_move(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 590, ("grim " if i % 2 else "fine ") * 3, "en") for i in range(600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 590, 3)], "doc_id long, toxic int")
+    plans, stored = {}, toxic_cnn.stored
+    monkeypatch.setattr(toxic_cnn, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or stored(df, name))
+    model, thresholds = toxic_cnn.train(docs, labels)
+    # The join of texts does not turn from a broadcast into a shuffle as labels grow, and only possible keys reach it.
+    assert "SortMergeJoin" in plans["labelled"] and "bitmap_construct_agg" in plans["labelled"]
+    # Scores, not texts, meet the labels that set thresholds.
+    assert 0 <= plans["calibration"].find("Join") < plans["calibration"].find("MapInArrow")
+    scorer = toxic_cnn.Scorer(model)
+    rows = [(scorer(r.text), r.toxic, r.lang) for r in docs.join(labels, "doc_id").collect() if fold(r.doc_id) == 1]
+    assert thresholds == pytest.approx(toxic_cnn.language_thresholds(*map(list, zip(*rows))))

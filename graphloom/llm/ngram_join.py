@@ -14,8 +14,9 @@ own band and, if it can be the larger partner, in the band below.
 Signatures with at least two different sets give candidates. They are not expanded to all pairs: in
 rounds each set meets one pivot, an exact check decides, and components contract what is linked. Only
 sets of different components that still share a signature are then compared, behind a size bound and a
-parity sketch that bounds the difference from below, and checked exactly. A signature shared by very many
-sets is dealt over blocks.
+parity sketch that bounds the difference from below, and checked exactly. A sketch of fixed size says nothing
+about large sets, so sets of more than ``SMALL`` elements have a second one that grows with them. A signature
+shared by very many sets is dealt over blocks.
 
 Equal sets are one node from the start. 64-bit hashes stand for shingles.
 
@@ -39,6 +40,7 @@ from .common import drop_stored, numbered, possible, stored, without
 from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SMALL = 800  # elements: up to here the short sketch tells unlike sets apart
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -157,6 +159,12 @@ def parity_sketch(s: np.ndarray, longs: int = 8) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray | None:
+    """Parity sketch of a large set, 16 to 64 longs by its size; none for a small one. Folding the halves of a
+    sketch onto each other gives the one of half the length."""
+    return parity_sketch(s, 16 if len(s) <= 2 * SMALL else 32 if len(s) <= 4 * SMALL else 64) if len(s) > SMALL else None
+
+
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -179,18 +187,19 @@ def _packed(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, size: int, percent: int | None = None, n_docs: int = 0) -> DataFrame:
-    """(key, n, node, node2, sketch): set size, 128-bit identity and parity sketch of every document; given
+    """(key, n, node, node2, sketch, wide): set size, 128-bit identity and parity sketches of every document; given
     ``percent``, with its signatures."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, text, size):
-            cols = [_column(batch, key), pa.array([len(s) for s in sets], pa.int64()), *_identity(sets), _packed([parity_sketch(s) for s in sets])]
+            cols = [_column(batch, key), pa.array([len(s) for s in sets], pa.int64()), *_identity(sets), _packed([parity_sketch(s) for s in sets]),
+                    pa.array([wide_sketch(s) for s in sets], pa.list_(pa.int64()))]
             if percent:
                 cols.append(_packed([signatures(s, percent, n_docs) if len(s) else s for s in sets]))
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "node", "node2", "sketch", "sigs"][:len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "n", "node", "node2", "sketch", "wide", "sigs"][:len(cols)])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long, sketch array<long>" + ", sigs array<long>" * bool(percent))
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, node long, node2 long, sketch array<long>, wide array<long>" + ", sigs array<long>" * bool(percent))
 
 
 def signature_rows(docs: DataFrame, text: str, size: int, percent: int, n_docs: int) -> DataFrame:
@@ -241,6 +250,22 @@ def _may_link(percent: int) -> Column:
     return (small * 100 >= large * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
+def _wide_may_link(percent: int) -> Column:
+    """The same by the sketches of large sets, the longer of two folded to the length of the other."""
+    a, b = F.col("wide_a"), F.col("wide_b")
+    n = F.least(F.size(a), F.size(b))
+
+    def xor(x: Column, y: Column) -> Column:
+        return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) > n, xor(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n))).otherwise(x)
+
+    differ = F.aggregate(xor(folded(a), folded(b)), F.lit(0), lambda total, x: total + F.bit_count(x))
+    return a.isNull() | b.isNull() | (F.greatest(F.size(a), F.size(b)) > 2 * n) | (
+        differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
 def _roots(parents: DataFrame, jumps: int = 3) -> DataFrame:
     """(comp, root) after ``jumps`` doublings of the pointers (comp, root), which form a forest."""
     for _ in range(jumps):
@@ -252,7 +277,7 @@ def _roots(parents: DataFrame, jumps: int = 3) -> DataFrame:
 def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 8,
                 block: int = 2048) -> DataFrame:
     """(node, root) of all sets with a link, from the shared signatures ``members`` (sig, node) and the size and
-    sketch of each set in ``info`` (node, n, sketch).
+    sketches of each set in ``info`` (node, n, sketch, wide).
 
     A signature's pivot is its set of the component with the smallest hash in this round, so components linked to
     their pivots' components form a forest, and a few pointer jumps contract them; components proper are worked out
@@ -261,7 +286,8 @@ def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFra
     """
     links, tested, first = None, None, 0
     label = info.select("node", F.col("node").alias("comp"))
-    full = stored(members.join(info, "node"), "described")
+    full = stored(members.join(info.drop("wide"), "node"), "described")
+    wide = stored(info.filter("wide IS NOT NULL").select("node", "wide"), "wide")
     columns = ("node", "n", "sketch")
 
     def labelled() -> DataFrame:
@@ -273,7 +299,10 @@ def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFra
                                         F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
         pivots = pivots.select("sig", F.col("p.comp").alias("comp_a"), *[F.col(f"p.{c}").alias(f"{c}_a") for c in columns])
         pairs = now.withColumnRenamed("comp", "comp_b").join(pivots, "sig").filter("comp_b <> comp_a").withColumnsRenamed({c: f"{c}_b" for c in columns})
-        pairs = pairs.filter(_may_link(percent)).groupBy(F.col("node_b").alias("b"), "comp_b").agg(
+        pairs = pairs.filter(_may_link(percent)).select("node_a", "n_a", "comp_a", "node_b", "n_b", "comp_b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(wide.toDF(f"node_{side}", f"wide_{side}"), f"node_{side}", "left")
+        pairs = pairs.filter(_wide_may_link(percent)).groupBy(F.col("node_b").alias("b"), "comp_b").agg(
             F.min_by(F.struct("node_a", "comp_a"), F.xxhash64("node_a", F.lit(turn))).alias("p"))
         pairs = stored(pairs.select("p.node_a", "b", "p.comp_a", "comp_b").withColumnRenamed("node_a", "a"), "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
@@ -288,16 +317,18 @@ def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFra
         if 20 * n_found <= first:
             break
     # What still lies in different components is compared in full, but only pairs that may link become rows.
-    now = labelled()
+    now = full.select("sig", "node").join(label, "node")
     open_sigs = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    now = now.join(open_sigs.select("sig", F.ceil(F.col("size") / block).alias("blocks")), "sig")
+    now = now.join(open_sigs.select("sig", F.ceil(F.col("size") / block).alias("blocks")), "sig").join(info, "node")
+    columns = (*columns, "wide")
     left = now.select("sig", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *[F.col(c).alias(f"{c}_a") for c in (*columns, "comp")])
     right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in (*columns, "comp")])
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-    rest = left.join(right, ["sig", "block"]).filter(apart & _may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = left.join(right, ["sig", "block"]).filter(apart & _may_link(percent) & _wide_may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(old, ["a", "b"], "left_anti"), "pairs")
     drop_stored(full)
+    drop_stored(wide)
     return components(links if rest.isEmpty() else links.unionByName(verified(rest, elements, percent)))
 
 
@@ -325,7 +356,7 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int, keep
     nodes = full.groupBy("node").agg(F.min(key).alias("rep"))
     members = shared_signatures(full.select("node", F.explode("sigs").alias("sig")) if keep_signatures
                                 else signature_rows(docs, text, size, percent, n_docs))
-    info = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    info = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
 
     def elements(some: DataFrame) -> DataFrame:
         """Sets of some nodes, each from one document; only texts that may be wanted are shuffled."""

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import keyed, possible, stored
-from .ngram_join import LOWER, WORDS, linked_sets, mix, parity_sketch, shared_signatures, shingles, window_hashes
+from .ngram_join import LOWER, WORDS, linked_sets, mix, parity_sketch, shared_signatures, shingles, wide_sketch, window_hashes
 
 SURE = 20  # words: equal stretches at least as long share an anchor
 REACH = 32  # words around a repeated anchor that are looked up; more than SURE, to pass an edit
@@ -185,7 +185,7 @@ def repeated_windows(docs: DataFrame, marks: DataFrame, text: str, group: int) -
 
 
 def _paragraph_sets(docs: DataFrame, places: DataFrame, text: str, size: int) -> DataFrame:
-    """(node, n, sketch, elements) of the paragraphs at the given places (_k, start, end, node)."""
+    """(node, n, sketch, wide, elements) of the paragraphs at the given places (_k, start, end, node)."""
     own = places.groupBy("_k").agg(F.collect_list(F.struct("start", "end", "node")).alias("_own"))
     rows = possible(docs.select("_k", text), "_k", places).join(own, "_k").dropDuplicates(["_k"])
     rows = rows.select(text, *[F.col(f"_own.{c}").alias(f"_{c}") for c in ("start", "end", "node")])
@@ -200,9 +200,10 @@ def _paragraph_sets(docs: DataFrame, places: DataFrame, text: str, size: int) ->
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([n for n, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()),
                      pa.array([parity_sketch(s) for _, s in found], pa.list_(pa.int64())),
-                     pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["node", "n", "sketch", "elements"])
+                     pa.array([wide_sketch(s) for _, s in found], pa.list_(pa.int64())),
+                     pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["node", "n", "sketch", "wide", "elements"])
 
-    return rows.mapInArrow(run, "node long, n long, sketch array<long>, elements array<long>")
+    return rows.mapInArrow(run, "node long, n long, sketch array<long>, wide array<long>, elements array<long>")
 
 
 def repeated_units(docs: DataFrame, text: str = "text", least: int = 20, group: int = 8, size: int = 5, percent: int = 80,
@@ -219,7 +220,7 @@ def repeated_units(docs: DataFrame, text: str = "text", least: int = 20, group:
     place = F.struct("_k", "start", "end", "at")
     places = long.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min(place).alias("p")).select("node", "p.*")
     sets = stored(_paragraph_sets(docs, stored(places, "places"), text, size), "elements")
-    label = linked_sets(members, sets.select("node", "n", "sketch"), lambda some: sets.join(some, "node").select("node", "elements"), percent)
+    label = linked_sets(members, sets.select("node", "n", "sketch", "wide"), lambda some: sets.join(some, "node").select("node", "elements"), percent)
     counted = long.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     # A node without a link is its own cluster; only nodes that occur again or are linked are of interest.
     classes = counted.join(label, "node", "left").filter("n > 1 OR root IS NOT NULL").withColumn("cluster", F.coalesce("root", "node"))

@@ -40,9 +40,11 @@ def _slot(key: Column, bits: int) -> Column:
 
 
 def _bitmap(ids: DataFrame, key: str, bits: int) -> DataFrame:
+    """(_bk, _bm): bitmaps as lists of 32-bit numbers, the first byte highest; a bit of them is read without a copy."""
     slot = _slot(F.col(key), bits)
-    return ids.select(slot.alias("_s")).groupBy(F.expr("bitmap_bucket_number(_s)").alias("_bk")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(_s))").alias("_bm"))
+    rows = ids.select(slot.alias("_s")).groupBy(F.expr("bitmap_bucket_number(_s)").alias("_bk")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_s))").alias("_bytes"))
+    return rows.select("_bk", F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(_bytes, i * 4 + 1, 4)), 16, 10) as bigint))").alias("_bm"))
 
 
 def mark_possible(df: DataFrame, key: str, ids: DataFrame, flag: str, bits: int = 1 << 23) -> DataFrame:
@@ -55,9 +57,9 @@ def mark_possible(df: DataFrame, key: str, ids: DataFrame, flag: str, bits: int
     where = _slot(F.col(key), bits)
     out = df.withColumn("_s", where).withColumn("_bk", F.expr("bitmap_bucket_number(_s)"))
     out = out.join(F.broadcast(_bitmap(ids, key, bits)), "_bk", "left")
-    byte = F.expr("conv(hex(substring(_bm, cast(bitmap_bit_position(_s) div 8 as int) + 1, 1)), 16, 10)").cast("int")
-    hit = F.expr("cast(power(2, bitmap_bit_position(_s) % 8) as int)")
-    return out.withColumn(flag, F.coalesce(byte.bitwiseAND(hit) != 0, F.lit(False))).drop("_s", "_bk", "_bm")
+    at = F.expr("bitmap_bit_position(_s)").cast("int")
+    word, bit = F.get("_bm", F.floor(at / 32).cast("int")), 24 - F.floor(at % 32 / 8).cast("int") * 8 + at % 8
+    return out.withColumn(flag, F.coalesce(F.getbit(word, bit) == 1, F.lit(False))).drop("_s", "_bk", "_bm")
 
 
 def possible(df: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:

@@ -16,7 +16,8 @@ rounds each set meets one pivot, an exact check decides, and components contract
 sets of different components that still share a signature are then compared, behind a size bound and a
 parity sketch that bounds the difference from below, and checked exactly. A sketch of fixed size says nothing
 about large sets, so sets of more than ``SMALL`` elements have a second one that grows with them. A signature
-shared by very many sets is dealt over blocks.
+shared by many sets, such as that of a stock phrase, still means all their pairs: these are dealt over tiles, and in a
+tile sketches are compared as whole arrays.
 
 Equal sets are one node from the start. 64-bit hashes stand for shingles.
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from .components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SMALL = 800  # elements: up to here the short sketch tells unlike sets apart
+HOT = 64  # sets: signatures of more are compared in tiles
 C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -160,9 +163,9 @@ def parity_sketch(s: np.ndarray, longs: int = 8) -> np.ndarray:
 
 
 def wide_sketch(s: np.ndarray) -> np.ndarray | None:
-    """Parity sketch of a large set, 16 to 64 longs by its size; none for a small one. Folding the halves of a
-    sketch onto each other gives the one of half the length."""
-    return parity_sketch(s, 16 if len(s) <= 2 * SMALL else 32 if len(s) <= 4 * SMALL else 64) if len(s) > SMALL else None
+    """Parity sketch of a large set, 16 longs or as often twice that as the set is twice as large, so that no sketch is
+    full; none for a small one. Folding the halves of a sketch onto each other gives the one of half the length."""
+    return parity_sketch(s, 8 << ((len(s) - 1) // SMALL).bit_length()) if len(s) > SMALL else None
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -266,6 +269,66 @@ def _wide_may_link(percent: int) -> Column:
         differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
 
 
+class _Sketches(NamedTuple):
+    """Sets of a tile; sketches have a row per long. ``longs`` and ``place`` tell a set's place among its wide ones."""
+
+    node: np.ndarray
+    n: np.ndarray
+    comp: np.ndarray
+    short: np.ndarray
+    longs: np.ndarray
+    place: np.ndarray
+    wide: dict[int, np.ndarray]
+
+
+def _sketches(rows: pa.Table) -> _Sketches:
+    node, n, comp = (rows[c].to_numpy() for c in ("node", "n", "comp"))
+    short = pa.compute.list_flatten(rows["sketch"]).to_numpy().view(np.uint64).reshape(len(n), -1)
+    longs = pa.compute.coalesce(pa.compute.list_value_length(rows["wide"]), pa.scalar(0, pa.int32())).to_numpy()
+    values, starts = pa.compute.list_flatten(rows["wide"]).to_numpy().view(np.uint64), np.cumsum(longs) - longs
+    place, wide = np.zeros(len(n), np.int64), {}
+    for k in np.unique(longs[longs > 0]).tolist():
+        own = np.flatnonzero(longs == k)
+        place[own] = np.arange(len(own))
+        wide[k] = np.ascontiguousarray(values[starts[own][:, None] + np.arange(k)].T)
+    return _Sketches(node, n, comp, np.ascontiguousarray(short.T), longs, place, wide)
+
+
+def _folded(sketches: np.ndarray, longs: int) -> np.ndarray:
+    while len(sketches) > longs:
+        sketches = sketches[:len(sketches) // 2] ^ sketches[len(sketches) // 2:]
+    return sketches
+
+
+def _tile_pairs(percent: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The pairs (a, b) of sets from the two sides of a tile (sig, x, y) that may link by their sizes and sketches."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        one, a, b = key[1].equals(key[2]), _sketches(left), _sketches(right.sort_by("n"))
+        low, high = np.searchsorted(b.n, -(-a.n * percent // 100)), np.searchsorted(b.n, a.n * 100 // percent, "right")
+        found = [np.empty((0, 2), np.int64)]
+        for i, (node, n, lo, hi) in enumerate(zip(a.node, a.n, low, high)):
+
+            def fits(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+                differ = np.bitwise_count(x ^ y).sum(0, dtype=np.int64)
+                return differ * (100 + percent) <= (sizes + n) * (100 - percent)
+
+            keep = fits(b.short[:, lo:hi], a.short[:, i:i + 1], b.n[lo:hi]) & (b.comp[lo:hi] != a.comp[i])
+            at = lo + np.flatnonzero(keep & (b.node[lo:hi] > node) if one else keep)
+            if a.longs[i] and len(at):
+                own = a.wide[a.longs[i]][:, a.place[i]:a.place[i] + 1]
+                parts = [at[b.longs[at] == 0]]
+                for longs, sketches in b.wide.items():
+                    part, least = at[b.longs[at] == longs], min(longs, len(own))
+                    parts.append(part[fits(_folded(sketches[:, b.place[part]], least), _folded(own, least), b.n[part])])
+                at = np.concatenate(parts)
+            found.append(np.stack([np.minimum(b.node[at], node), np.maximum(b.node[at], node)], 1))
+        pairs = np.concatenate(found)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
 def _roots(parents: DataFrame, jumps: int = 3) -> DataFrame:
     """(comp, root) after ``jumps`` doublings of the pointers (comp, root), which form a forest."""
     for _ in range(jumps):
@@ -319,16 +382,21 @@ def linked_sets(members: DataFrame, info: DataFrame, elements: Callable[[DataFra
     # What still lies in different components is compared in full, but only pairs that may link become rows.
     now = full.select("sig", "node").join(label, "node")
     open_sigs = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    now = now.join(open_sigs.select("sig", F.ceil(F.col("size") / block).alias("blocks")), "sig").join(info, "node")
-    columns = (*columns, "wide")
-    left = now.select("sig", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *[F.col(c).alias(f"{c}_a") for c in (*columns, "comp")])
-    right = now.select("sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in (*columns, "comp")])
+    now = now.join(open_sigs.select("sig", "size", F.ceil(F.col("size") / block).alias("tiles")), "sig").join(info, "node")
+    now, columns = stored(now, "open"), (*columns, "wide", "comp")
+    left, right = (now.filter(F.col("size") <= HOT).select("sig", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in ("a", "b"))
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b"))
-    rest = left.join(right, ["sig", "block"]).filter(apart & _may_link(percent) & _wide_may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = left.join(right, "sig").filter(apart & _may_link(percent) & _wide_may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    tile, last = F.pmod(F.xxhash64("node"), "tiles"), F.col("tiles") - 1
+    hot = now.filter(F.col("size") > HOT).withColumn("x", tile).withColumn("y", tile)
+    left = hot.withColumn("y", F.explode(F.sequence("x", last))).select("sig", "x", "y", *columns)
+    right = hot.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), "y"))).select("sig", "x", "y", *columns)
+    tiles = left.groupBy("sig", "x", "y").cogroup(right.groupBy("sig", "x", "y")).applyInArrow(_tile_pairs(percent), "a long, b long")
+    rest = rest.unionByName(tiles).distinct()
     old = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(old, ["a", "b"], "left_anti"), "pairs")
-    drop_stored(full)
-    drop_stored(wide)
+    for done in (full, wide, now):
+        drop_stored(done)
     return components(links if rest.isEmpty() else links.unionByName(verified(rest, elements, percent)))
 
 
@@ -348,14 +416,17 @@ def _classes(docs: DataFrame, key: str, text: str, size: int, percent: int, keep
     """(key, n, node, ...) of every document, and (node, rep, root) of every set: its smallest key and its component.
 
     Signatures are by far the largest intermediate result, the more so the lower the threshold. Two passes
-    need them: they are kept on disk, or without ``keep_signatures`` computed again.
+    need them: they are kept on disk until then, or without ``keep_signatures`` computed again.
     """
     n_docs = docs.count()
     base = stored(shingle_sets(docs, key, text, size, percent if keep_signatures else None, n_docs), "sets")
+    members = shared_signatures(base.filter("n > 0").select("node", F.explode("sigs").alias("sig")) if keep_signatures
+                                else signature_rows(docs, text, size, percent, n_docs))
+    if keep_signatures:
+        whole, base = base, stored(base.drop("sigs"), "sets")
+        drop_stored(whole)
     full = base.filter("n > 0")
     nodes = full.groupBy("node").agg(F.min(key).alias("rep"))
-    members = shared_signatures(full.select("node", F.explode("sigs").alias("sig")) if keep_signatures
-                                else signature_rows(docs, text, size, percent, n_docs))
     info = full.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
 
     def elements(some: DataFrame) -> DataFrame:

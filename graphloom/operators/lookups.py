@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.paths import import_candidates
+from ..functions.paths import import_base, import_kind, with_endings
 from .scale import first_per_key
 
 
@@ -39,7 +39,13 @@ def section_for(sections: DataFrame, wanted: Column) -> DataFrame:
 
 
 def resolve_specifiers(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(importer, specifier, resolved): the first candidate path that exists."""
-    tried = imports.select("importer", "specifier", F.posexplode(import_candidates(F.col("importer"), F.col("specifier"))).alias("rank", "path"))
-    return (tried.join(files.select("path"), "path")
-            .groupBy("importer", "specifier").agg(F.min_by("path", "rank").alias("resolved")))
+    """(importer, specifier, resolved): the first candidate path that exists.
+
+    Imports that name one path share its candidates, so only distinct paths are tried. Rows may repeat; they meet the
+    resolved paths and lose their repeats in one shuffle, since an import's path follows from it.
+    """
+    asked = imports.select("importer", "specifier", import_base(F.col("importer"), F.col("specifier")).alias("_base"),
+                           import_kind(F.col("importer")).alias("_kind")).filter("_base IS NOT NULL")
+    tried = asked.select("_base", "_kind").distinct().select("_base", "_kind", F.posexplode(with_endings(F.col("_base"), F.col("_kind"))).alias("rank", "path"))
+    found = tried.join(files.select("path"), "path").groupBy("_base", "_kind").agg(F.min_by("path", "rank").alias("resolved"))
+    return asked.join(found, ["_base", "_kind"]).select("_base", "_kind", "importer", "specifier", "resolved").distinct().drop("_base", "_kind")

@@ -311,7 +311,7 @@ def _(t):
     a, b = t.symbols.select(F.col("symbol_id").alias("src"), F.col("file").alias("importer")), t.symbols.select(F.col("symbol_id").alias("dst"), F.col("file").alias("target"))
     parts = F.split("target", "/")
     spec = F.concat(F.lit("../"), parts[1], F.lit("/./"), F.regexp_replace(parts[2], r"\.ts$", ""))
-    wanted = t.edges.join(a, "src").join(b, "dst").select("importer", spec.alias("specifier")).distinct()
+    wanted = t.edges.join(a, "src").join(b, "dst").select("importer", spec.alias("specifier"))
     return lk.resolve_specifiers(wanted, t.symbols.select(F.col("file").alias("path")).distinct())
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import import_candidates
+from graphloom.operators import lookups
 from graphloom.operators import scale, search as se
 from graphloom.plans import tables
 
@@ -88,3 +89,14 @@ def test_texts_of_a_target_are_normalised_once(spark):
     assert sorted(map(tuple, se.best_target(c, "pref").collect())) == [(1, "createTask", 467), (4, "id", 2**30)]
     plan = c.select(se.target_score(F.col("text"), F.col("symbol"), F.col("pref")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 5
+
+
+def test_imports_of_one_path_try_its_endings_once(spark):
+    imports = spark.createDataFrame([(f"src/a/f{i % 40}.ts", "../b/./x") for i in range(80)] + [("src/c/g.ts", "./x"), ("src/c/h.py", ".x"), (None, "./x"), ("src/c/g.ts", "y")],
+                                    "importer string, specifier string")
+    files = spark.createDataFrame([("src/b/x.tsx",), ("src/b/x/index.ts",), ("src/c/x.js",)], "path string")
+    found = lookups.resolve_specifiers(imports, files)
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows) == sorted([*((f"src/a/f{i}.ts", "../b/./x", "src/b/x.tsx") for i in range(40)), ("src/c/g.ts", "./x", "src/c/x.js")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Generate", 1)[1].split("LogicalRDD", 1)[0]  # distinct paths, not rows, are expanded

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .registry import query
 from .q_c_joins import HOT, RES
 from ..operators import callgraph as cg, context as cx, outcomes as oc, ranking as rk, search as se, summaries as sm
+from ..session import cut_lineage
 
 ASK = """q AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_' || CAST(p_size AS STRING) AS query FROM part
   UNION SELECT DISTINCT upper(split_part(p_name, ' ', 2)) FROM part UNION SELECT DISTINCT substr(p_name, 2, 4) || 'x' || substr(p_brand, 7) FROM part)"""
@@ -405,12 +406,13 @@ r AS (SELECT f.request_id, f.file, s.file IS NULL AS unknown, h.file IS NULL AS
 v AS (SELECT request_id, max(NOT unknown AND nohit AND named) AS bad, max(unknown) AS unk FROM r GROUP BY 1)
 SELECT request_id, CASE WHEN bad THEN false WHEN unk THEN NULL ELSE true END AS aligned, CASE WHEN lower(anchor_symbol) <> lower(target_symbol) THEN false ELSE anchor_file IS NOT DISTINCT FROM top_file END AS anchored FROM sc JOIN v USING (request_id)""")
 def _(t):
-    i = (t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.symbols, F.col("symbol_id") == F.col("l_partkey"))
-         .select(F.col("o_orderkey").alias("request_id"), "file", F.col("name").alias("symbol"), "l_linenumber"))
+    i = cut_lineage(t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.symbols, F.col("symbol_id") == F.col("l_partkey"))
+                    .select(F.col("o_orderkey").alias("request_id"), "file", F.col("name").alias("symbol"), "l_linenumber"))
     files = i.select("request_id", F.when(F.col("l_linenumber") == 7, F.concat("file", F.lit(".missing"))).otherwise(F.col("file")).alias("file"))
     key = F.struct("l_linenumber", "symbol", "file")
-    scopes = i.groupBy("request_id").agg(F.min_by("symbol", key).alias("target_symbol"), F.min_by("file", key).alias("top_file"),
-                                         F.max_by("symbol", key).alias("anchor_symbol"), F.when(F.count("*") % 2 == 0, F.max_by("file", key)).alias("anchor_file"))
+    ends = i.groupBy("request_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n"))
+    scopes = ends.select("request_id", F.col("lo.symbol").alias("target_symbol"), F.col("lo.file").alias("top_file"), F.col("hi.symbol").alias("anchor_symbol"),
+                         F.when(F.col("n") % 2 == 0, F.col("hi.file")).alias("anchor_file"))
     return cx.impact_scope_alignment(scopes, files, i.filter("l_linenumber > 1").select("request_id", F.upper("symbol").alias("symbol")), t.symbols)
 
 

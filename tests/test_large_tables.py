@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.functions.paths import import_candidates
-from graphloom.operators import lookups
+from graphloom.operators import context, lookups
 from graphloom.operators import scale, search as se
 from graphloom.plans import tables
 
@@ -100,3 +100,30 @@ def test_imports_of_one_path_try_its_endings_once(spark):
     assert sorted(rows) == sorted([*((f"src/a/f{i}.ts", "../b/./x", "src/b/x.tsx") for i in range(40)), ("src/c/g.ts", "./x", "src/c/x.js")])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Generate", 1)[1].split("LogicalRDD", 1)[0]  # distinct paths, not rows, are expanded
+
+
+def test_scope_alignment_with_common_and_rare_names(spark, monkeypatch):
+    rng = random.Random(4)
+    places = ["packages/a/x.ts", "packages/b/y.ts", "src/z.ts", "src/w.ts", "lib/q.ts", None]
+    symbols = [(rng.choice(places), rng.choice(["Main", "run", "stop", "go", None])) for _ in range(14)]
+    files = [(rng.choice([*range(60), None]), rng.choice([*places, "gone.ts"])) for _ in range(110)]
+    names = [(rng.choice([*range(60), None]), rng.choice(["main", "RUN", "other", "go", None])) for _ in range(60)]
+    scopes = [(i % 65, rng.choice(["go", "Go", "run"]), rng.choice(places), rng.choice(["go", "run", None]), rng.choice(places)) for i in range(90)] + [(None, "go", None, "go", None)]
+    low, inside = (lambda x: x and x.lower()), (lambda f: "/".join(f.split("/")[:2]) if f and f.startswith("packages/") else None)
+    want = []
+    for r, target, top, anchor, anchor_file in scopes:
+        own, said = {f for q, f in files if q == r and r is not None}, {low(n) for q, n in names if q == r and r is not None}
+        tops = {inside(s[2]) for s in scopes if s[0] == r} - {None}
+        crossing = any(a != b for a in tops for b in {inside(f) for f in own} - {None})
+        known = {f for f, _ in symbols} - {None}
+        missed = any(f in known and said and not any(f == g and n is not None and low(n) in said for g, n in symbols) for f in own)
+        aligned = True if not own else False if crossing or missed else None if own - known else True
+        anchored = None if anchor is None else low(anchor) == low(target) and anchor_file == top
+        want.append((r, aligned, anchored))
+    tables_ = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (scopes, "request_id int, target_symbol string, top_file string, anchor_symbol string, anchor_file string"),
+        (files, "request_id int, file string"), (names, "request_id int, symbol string"), (symbols, "file string, name string"))]
+    for common in (1, 2, 64):
+        monkeypatch.setattr(context, "COMMON", common)
+        got = context.impact_scope_alignment(*tables_).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

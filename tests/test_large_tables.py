@@ -150,3 +150,26 @@ def test_summaries_and_lookup_tables_never_go_through_the_driver(spark, tmp_path
     for df in plans:
         df.collect()
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edit_distances_of_a_block_and_the_nearest_of_it(spark, monkeypatch):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abAé_") for _ in range(n)) for n in (0, 1, 4, 4, 4, 7, 7, 7) for _ in range(12)})
+    asked = ["", "a", "abba", "é_ab", "aaaaaaa", "zzz", "b_aébab_"]
+    for length in (0, 4, 7):
+        own = [n for n in names if len(n) == length]
+        assert all(se.edit_distances(q, se._characters(own, length)).tolist() == [edits(q, n) for n in own] for q in asked)
+    monkeypatch.setattr(se, "STEP", 16)
+    assert se.edit_distances("abba", se._characters(names[-1:] * 9, len(names[-1]))).tolist() == [edits("abba", names[-1])] * 9
+    monkeypatch.setattr(se, "LENGTH_BLOCK", 5)
+    monkeypatch.setattr(se, "GRAM_NAMES", 1)
+    rows = [(i, n, f"f{i % 3}", i % 5) for i, n in enumerate(names * 2)]
+    symbols = spark.createDataFrame(rows, "symbol_id long, name string, file string, start_line int")
+    got = se.fuzzy_top_k(spark.createDataFrame([(q,) for q in [*asked, None]], "query string"), symbols, 4).filter("query IS NOT NULL").collect()
+
+    def score(q, n):
+        longest = max(len(q.lower().encode()), len(n.lower().encode()))
+        return round(1 - edits(q.lower(), n.lower()) / longest, 6) if longest else 1.0
+
+    want = [(q, r, i) for q in asked for r, (*_, i) in enumerate(sorted((-score(q, n), n, f, s, i) for i, n, f, s in rows)[:4], 1)]
+    assert sorted((r.query, r["rank"], r.symbol_id) for r in got) == sorted(want)
